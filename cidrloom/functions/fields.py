@@ -150,7 +150,7 @@ def _variant(scalar: Column) -> Column:
 def project_fields(
     df: DataFrame, record: str, key: str, fields: list[ProjectedField], array_sep: str = ", ", max_depth: int = 8
 ) -> DataFrame:
-    """Flat projection as a long table `key, ord, name, value VARIANT`, one row per output field.
+    """Flat projection as a long table `key, name, value VARIANT`, one row per output field.
 
     A path that names an object expands to its leaves under the output name, except leaves that are
     listed themselves; a later field of the same name replaces an earlier one; missing paths give no
@@ -181,13 +181,13 @@ def project_fields(
     order = F.struct(F.col("p.i"), F.col("ord"))
     # Fields of one record are few, so both groups stay small.
     return hits.groupBy(key, F.col("p.name").alias("name")).agg(
-        F.max_by("p.value", order).alias("value"), F.min(order).alias("ord")
+        F.max_by("p.value", order).alias("value")
     )
 
 
 def project_record(projected: DataFrame, key: str) -> DataFrame:
-    """Pack projected rows into one JSON object text per record, fields in order."""
+    """Pack projected rows into one JSON object text per record, keys sorted."""
     pair = F.concat(F.to_json(F.col("name").cast("variant")), F.lit(":"), F.to_json("value"))
-    packed = projected.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", pair.alias("pair")))).alias("pairs"))
+    packed = projected.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", pair.alias("pair")))).alias("pairs"))
     body = F.array_join(F.transform("pairs", lambda p: p["pair"]), ",")
     return packed.select(key, F.concat(F.lit("{"), body, F.lit("}")).alias("record"))

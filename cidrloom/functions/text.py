@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from cidrloom.functions.ip import let, parse_addresses, strip
+from cidrloom.functions.ip import CIDR_TYPE, let, parse_addresses, strip
 
 # ISO 3166-1 alpha-2 codes per continent code.
 CONTINENT_COUNTRIES = {
@@ -149,13 +149,23 @@ def cast_cell_bool(cell: Column) -> Column:
     return _cast(value, value.isNull())
 
 
+def no_nets() -> Column:
+    """Empty prefix list."""
+    return F.array().cast(f"array<{CIDR_TYPE}>")
+
+
+def _cell_nets(cell: Column) -> Column:
+    return F.when(cell["kind"] == "string", parse_addresses(cell["s"])["nets"]).when(cell["kind"] == "empty", no_nets())
+
+
 def cast_cell_addresses(cell: Column) -> Column:
     """Address cells never fail on bad tokens; only a cell of another type drops the row."""
-    kind = cell["kind"]
-    nets = F.when(kind == "string", parse_addresses(cell["s"])["nets"]).when(
-        kind == "empty", F.array().cast("array<struct<family:int,plen:int,hi:bigint,lo:bigint>>")
-    )
-    return _cast(nets, ~kind.isin("string", "empty"))
+    return _cast(_cell_nets(cell), ~cell["kind"].isin("string", "empty"))
+
+
+def address_lists(cells: list[Column]) -> Column:
+    """Prefix lists of several cells, in order; null for a cell of another type."""
+    return F.transform(F.array(*cells), _cell_nets)
 
 
 CELL_CASTS = {
@@ -168,5 +178,5 @@ CELL_CASTS = {
 
 def merge_addresses(cells: list[Column]) -> Column:
     """Addresses of several cells in order without repeats; null when there are none."""
-    parts = [F.coalesce(cast_cell_addresses(c)["value"], F.array().cast("array<struct<family:int,plen:int,hi:bigint,lo:bigint>>")) for c in cells]
-    return let(F.array_distinct(F.flatten(F.array(*parts))), lambda nets: F.when(F.size(nets) > 0, nets))
+    lists = F.transform(address_lists(cells), lambda nets: F.coalesce(nets, no_nets()))
+    return let(F.array_distinct(F.flatten(lists)), lambda nets: F.when(F.size(nets) > 0, nets))

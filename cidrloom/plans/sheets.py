@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text
+from cidrloom.functions.text import no_nets
 from cidrloom.operators.conflicts import duplicate_cidrs, group_membership, group_table, import_statistics, rows_in_nets
 from cidrloom.sources.sheets import SheetConfig, kept_rows, sheet_summary, type_rows
 
@@ -25,7 +26,7 @@ class SheetTable:
 
 def row_cidrs(rows: DataFrame, config: SheetConfig) -> DataFrame:
     """Prefixes of typed rows as `ord, source, net, network`, in column order."""
-    arrays = [F.coalesce(F.col(c.name), F.array().cast("array<struct<family:int,plen:int,hi:bigint,lo:bigint>>")) for c in config.columns if c.type == "addresses"]
+    arrays = [F.coalesce(F.col(c.name), no_nets()) for c in config.columns if c.type == "addresses"]
     nets = rows.select(*ROW_KEY, "sheettype", F.posexplode(F.concat(*arrays)).alias("pos", "net"))
     return nets.select(
         F.struct("file", "sheet", "row_index", F.col("pos").cast("bigint").alias("pos")).alias("ord"),
@@ -46,7 +47,7 @@ def build_sheet_table(
     typed = type_rows(cells, config)
     rows = kept_rows(typed)
     if filters is not None:
-        arrays = [F.coalesce(F.col(c.name), F.array().cast("array<struct<family:int,plen:int,hi:bigint,lo:bigint>>")) for c in config.columns if c.type == "addresses"]
+        arrays = [F.coalesce(F.col(c.name), no_nets()) for c in config.columns if c.type == "addresses"]
         rows = rows_in_nets(rows.withColumn("_nets", F.concat(*arrays)), ROW_KEY, "_nets", filters, net).drop("_nets")
     members, unknown = group_membership(group_table(cells.sparkSession, groups or {}), rows)
     conflicts = duplicate_cidrs(row_cidrs(rows, config), members)

@@ -43,8 +43,14 @@ def bad_line_count(parsed: DataFrame) -> DataFrame:
 
 
 def _text(spark: SparkSession, path: str) -> DataFrame:
-    # The id numbers lines within their split, straight off the scan, so a retried task gives the same ids.
-    return spark.read.text(path).withColumn("line_id", F.monotonically_increasing_id())
+    """Lines with a unique `line_id` and their place in the input as `line_ord` (file, split start, line).
+
+    Both come straight off the scan, so a retried task gives the same values.
+    """
+    lines = spark.read.text(path).select("value", "_metadata.file_path", "_metadata.file_block_start")
+    lines = lines.withColumn("line_id", F.monotonically_increasing_id())
+    place = F.struct("file_path", "file_block_start", "line_id").alias("line_ord")
+    return lines.select("value", "line_id", place)
 
 
 def parse_trace_lines(lines: DataFrame) -> DataFrame:
@@ -69,12 +75,12 @@ def read_whois(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     if strict:
         return strict_lines(parsed, "registry").select("network", parse_cidr(F.col("network")).alias("net"), "whois")
     rows = good_lines(parsed).withColumn("net", parse_cidr(F.col("network"))).filter(F.col("net").isNotNull())
-    last = rows.groupBy("net").agg(F.max_by(F.struct("network", "whois"), "line_id").alias("r"))
+    last = rows.groupBy("net").agg(F.max_by(F.struct("network", "whois"), "line_ord").alias("r"))
     return last.select("r.network", "net", "r.whois")
 
 
 def parse_sheet_lines(lines: DataFrame) -> DataFrame:
-    """Text column `value` plus `line_id` to `ord, source, fields VARIANT`; lines that are no object go."""
+    """Text column `value` plus `line_ord` to `ord, source, fields VARIANT`; lines that are no object go."""
     record = lines.withColumn("fields", F.try_parse_json("value"))
     record = record.filter(F.schema_of_variant("fields").startswith("OBJECT"))
 
@@ -86,8 +92,8 @@ def parse_sheet_lines(lines: DataFrame) -> DataFrame:
     row = F.coalesce(F.try_variant_get("fields", "$._source.row_index", "bigint"), F.lit(0)).cast("bigint")
     kind = F.when(text("sheettype") == "hosting", "hosting").otherwise("backbone")
     source = F.struct(file.alias("file"), sheet.alias("sheet"), row.alias("row_index"), kind.alias("sheettype"))
-    rows = record.select(source.alias("source"), "fields", "line_id")
-    order = F.struct("source.file", "source.sheet", "source.row_index", "line_id")
+    rows = record.select(source.alias("source"), "fields", "line_ord")
+    order = F.struct("source.file", "source.sheet", "source.row_index", "line_ord")
     return rows.select(order.alias("ord"), "source", "fields")
 
 
@@ -117,7 +123,7 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         parsed = _text(spark, path).withColumn("record", F.try_parse_json("value"))
         return parsed.filter(F.col("record").isNotNull()).select(F.col("line_id").alias("log_id"), "record")
-    array = spark.read.option("multiLine", True).option("mode", "FAILFAST").schema("v variant").option("singleVariantColumn", "v").json(path)
+    array = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
     return array.select(F.monotonically_increasing_id().alias("log_id"), F.col("v").alias("record"))
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, strip
-from cidrloom.functions.text import CELL_CASTS, merge_addresses, number_text, snake_case
+from cidrloom.functions.text import CELL_CASTS, address_lists, no_nets, number_text, snake_case
 from cidrloom.operators.skew import join_to_unique
 from cidrloom.sources.schemas import CELL
 
@@ -85,28 +85,28 @@ def type_rows(cells: DataFrame, config: SheetConfig) -> DataFrame:
     def has(n: str) -> Column:
         return F.coalesce(F.array_contains(F.map_values("names"), n), F.lit(False))
 
-    casts, skipped = [], F.lit(False)
+    # All address headers go through one parse expression, evaluated once per row.
+    addressed = sorted({n for c in config.columns if c.type == "addresses" for n in (c.sheet_names or (c.sheet_name or "",))})
+    rows = rows.withColumn("_parsed", address_lists([F.when(has(n), slot[n]).otherwise(empty) for n in addressed]))
+    parsed = {n: F.col("_parsed")[i] for i, n in enumerate(addressed)}
+    values, skipped = [], F.lit(False)
     for c in config.columns:
         if c.sheet_names:
-            casts.append(merge_addresses([F.when(has(n), slot[n]).otherwise(empty) for n in c.sheet_names]).alias(f"_v_{c.name}"))
-            continue
-        name = c.sheet_name or ""
-        casts.append(F.when(has(name), CELL_CASTS[c.type](slot[name])).alias(f"_v_{c.name}"))
-        skipped = skipped | F.coalesce(F.col(f"_v_{c.name}.bad"), F.lit(False))
-    rows = rows.select("file", "sheet", "row", *casts).withColumn("skipped", skipped)
-    outputs = []
-    for c in config.columns:
-        v = F.col(f"_v_{c.name}")
-        if c.sheet_names:
-            value = v
+            nets = F.array_distinct(F.flatten(F.array(*[F.coalesce(parsed[n], no_nets()) for n in c.sheet_names])))
+            value = F.when(F.size(nets) > 0, nets)
         elif c.type == "addresses":
-            value = F.when(F.size(v["value"]) > 0, v["value"])
+            nets = parsed[c.sheet_name or ""]
+            skipped = skipped | nets.isNull()
+            value = F.when(F.size(nets) > 0, nets)
         else:
+            cast = CELL_CASTS[c.type](slot[c.sheet_name or ""])
+            skipped = skipped | (has(c.sheet_name or "") & cast["bad"])
             # A missing header gives an empty text whatever the type.
-            value = F.when(v.isNull(), F.lit("").cast("variant")).otherwise(v["value"].cast("variant"))
-        outputs.append(F.when(~F.col("skipped"), value).alias(c.name))
+            value = F.when(has(c.sheet_name or ""), cast["value"].cast("variant")).otherwise(F.lit("").cast("variant"))
+        values.append((c.name, value))
+    outputs = [F.when(~skipped, value).alias(name) for name, value in values]
     index = (F.col("row") - config.header_row - 1).cast("bigint")
-    return rows.select("file", "sheet", index.alias("row_index"), F.lit(config.sheettype).alias("sheettype"), "skipped", *outputs)
+    return rows.select("file", "sheet", index.alias("row_index"), F.lit(config.sheettype).alias("sheettype"), skipped.alias("skipped"), *outputs)
 
 
 def sheet_summary(typed: DataFrame) -> DataFrame:

@@ -213,7 +213,7 @@ PROJECTION = [ProjectedField("deep", "d", "string"), ProjectedField("deep.x.y",
 
 
 @query("t20_project_fields", oracle("""
-    SELECT event_id, concat('{"d.z":"w","why":', event_id % 7, ',"t":"a, ', event_id % 5, ', true, null","id":"', event_type, '"}') AS record FROM z_log_ips"""))
+    SELECT event_id, concat('{"d.z":"w","id":"', event_type, '","t":"a, ', event_id % 5, ', true, null","why":', event_id % 7, '}') AS record FROM z_log_ips"""))
 def project_fields(spark, d):
     rows = fields.project_fields(_logs(spark, d), "record", "event_id", PROJECTION, max_depth=4)
     return fields.project_record(rows, "event_id")

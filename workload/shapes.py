@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from cidrloom.session import staging_path
+
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 # First address of the derived address space (198.51.100.0) and its size.
@@ -29,6 +31,11 @@ def pad(x: str, n: int = 2) -> str:
     return f"lpad(CAST({x} AS STRING), {n}, '0')"
 
 
+_HEADERS = " UNION ALL ".join(
+    f"SELECT DISTINCT concat('book', p_partkey % 3, '.xlsx') AS file, p_brand AS sheet, {i} AS col, '{name}' AS name FROM @part@"
+    for i, name in enumerate([" Host Name ", "VLAN-ID", "In Use?", "Address", "Address 2", "Price"])
+)
+
 SHAPES = {
     # Prefixes from customers, lengths 20..32.
     "z_nets": f"""
@@ -105,30 +112,29 @@ SHAPES = {
         FROM z_sheet""",
     # Sheet cells: header in row 3, one data row per part.
     "z_cells": f"""
-        SELECT file, sheet, 3 AS row, col, 'string' AS kind, split_part(' Host Name |VLAN-ID|In Use?|Address|Address 2|Price', '|', col + 1) AS s,
-               CAST(NULL AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS BOOLEAN) AS b
-        FROM (SELECT DISTINCT concat('book', p_partkey % 3, '.xlsx') AS file, p_brand AS sheet, CAST(p_partkey % 6 AS INT) AS col FROM @part@) t
+        SELECT file, sheet, 3 AS row, col, 'string' AS kind, name AS s, CAST(NULL AS BIGINT) AS i, CAST(NULL AS DOUBLE) AS f, CAST(NULL AS BOOLEAN) AS b
+        FROM ({_HEADERS}) h
         WHERE NOT (sheet = 'Brand#11' AND col = 1)
         UNION ALL
-        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(3 + p_partkey AS INT), 0, 'string', concat('  rtr', {pad('p_partkey % 30')}), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN) FROM @part@
+        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(4 + p_partkey AS INT), 0, 'string', concat('  rtr', {pad('p_partkey % 30')}), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN) FROM @part@
         UNION ALL
-        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(3 + p_partkey AS INT), 1,
+        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(4 + p_partkey AS INT), 1,
                CASE WHEN p_partkey % 7 = 0 THEN 'float' WHEN p_partkey % 7 = 1 THEN 'string' WHEN p_partkey % 7 = 2 THEN 'bool' WHEN p_partkey % 31 = 5 THEN 'empty' ELSE 'int' END,
                CASE WHEN p_partkey % 7 = 1 THEN CASE WHEN p_partkey % 3 = 0 THEN ' 4000 ' ELSE 'n/a' END END,
                CASE WHEN p_partkey % 7 > 2 THEN p_partkey END, CASE WHEN p_partkey % 7 = 0 THEN p_partkey + 0.75 END, CASE WHEN p_partkey % 7 = 2 THEN p_partkey % 2 = 0 END FROM @part@
         UNION ALL
-        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(3 + p_partkey AS INT), 2,
+        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(4 + p_partkey AS INT), 2,
                CASE WHEN p_partkey % 5 = 0 THEN 'bool' WHEN p_partkey % 5 = 1 THEN 'string' ELSE 'int' END,
                CASE WHEN p_partkey % 5 = 1 THEN CASE WHEN p_partkey % 2 = 0 THEN 'TRUE' ELSE '0' END END,
                CASE WHEN p_partkey % 5 > 1 THEN p_partkey % 3 END, CAST(NULL AS DOUBLE), CASE WHEN p_partkey % 5 = 0 THEN p_partkey % 2 = 0 END FROM @part@
         UNION ALL
-        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(3 + p_partkey AS INT), 3, 'string',
+        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(4 + p_partkey AS INT), 3, 'string',
                concat({ip4(f'{BASE} + (p_partkey * 7919) % 65536')}, '/32, ', {ip4(f'{BASE} + (p_partkey * 104729) % 65536')}, ' (note)'), CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN) FROM @part@
         UNION ALL
-        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(3 + p_partkey AS INT), 4, CASE WHEN p_partkey % 6 = 0 THEN 'empty' ELSE 'string' END,
+        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(4 + p_partkey AS INT), 4, CASE WHEN p_partkey % 6 = 0 THEN 'empty' ELSE 'string' END,
                CASE WHEN p_partkey % 6 <> 0 THEN concat({ip4(f'{BASE} + (p_partkey * 7919) % 65536')}, CASE WHEN p_partkey % 6 = 1 THEN ' , nonsense' ELSE '' END) END, CAST(NULL AS BIGINT), CAST(NULL AS DOUBLE), CAST(NULL AS BOOLEAN) FROM @part@
         UNION ALL
-        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(3 + p_partkey AS INT), 5, 'float', CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(p_size * 100 AS DOUBLE), CAST(NULL AS BOOLEAN) FROM @part@""",
+        SELECT concat('book', p_partkey % 3, '.xlsx'), p_brand, CAST(4 + p_partkey AS INT), 5, 'float', CAST(NULL AS STRING), CAST(NULL AS BIGINT), CAST(p_size * 100 AS DOUBLE), CAST(NULL AS BOOLEAN) FROM @part@""",
     # Vendor port names.
     "z_ports": """
         SELECT p_partkey, concat(split_part('GigabitEthernet XGigabitEthernet 100GE TwentyFiveGigE xe- Te HundredGigE FastEthernet MultiGE Gi 10GE ge- TenGigE FortyGigabitEthernet GigE Hu', ' ', CAST(1 + p_partkey % 16 AS INT)),
@@ -172,6 +178,19 @@ def shape(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return run(spark, sf_dir, f"SELECT * FROM {name}")
 
 
+_STAGED: dict[tuple[str, str, str], str] = {}
+
+
+def staged(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A shape as a table written once per session, for jobs that read their input more than once."""
+    key = (spark.sparkContext.applicationId, sf_dir, name)
+    if key not in _STAGED:
+        path = staging_path(spark, name)
+        shape(spark, sf_dir, name).write.parquet(path)
+        _STAGED[key] = path
+    return spark.read.parquet(_STAGED[key])
+
+
 def run(spark: SparkSession, sf_dir: str, select: str) -> DataFrame:
     found: dict[str, str] = {}
     _closure(select, found)
