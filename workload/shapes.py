@@ -90,6 +90,20 @@ SHAPES = {
                     WHEN s % 6 = 3 THEN concat('unknown-', s, '-', ttl, '.example.com')
                     WHEN s % 6 = 4 THEN concat('et', ttl, '.core', {pad('s')}, '.dc', {pad('s % 4')}, '.example.net') END AS ptr
         FROM (SELECT DISTINCT ip, s, ttl FROM z_replies WHERE ip IS NOT NULL) t""",
+    # What the trace jobs should find, in plain SQL: majority hops, hops inside the prefixes, votes, gateways.
+    "z_targets": "SELECT DISTINCT network, net, plen, size FROM z_nets",
+    "z_hops": f"""
+        SELECT trace_id, ttl, ip FROM (
+            SELECT trace_id, ttl, ip, row_number() OVER (PARTITION BY trace_id, ttl ORDER BY n DESC, {ip4('ip')}) AS rn
+            FROM (SELECT trace_id, ttl, ip, count(*) AS n FROM z_replies WHERE ip IS NOT NULL GROUP BY trace_id, ttl, ip) t) u WHERE rn = 1""",
+    "z_inside": "SELECT DISTINCT h.ip FROM (SELECT DISTINCT ip FROM z_hops) h JOIN z_targets n ON n.net <= h.ip AND h.ip < n.net + n.size",
+    "z_kept": """
+        SELECT h.trace_id, t.range, t.measured_at, t.destination, h.ip, h.ttl, row_number() OVER (PARTITION BY h.trace_id ORDER BY h.ttl) AS hop
+        FROM z_hops h JOIN z_inside i ON i.ip = h.ip JOIN z_traces t ON t.trace_id = h.trace_id""",
+    "z_votes": f"""
+        SELECT range, hop, ip, votes FROM (
+            SELECT range, hop, ip, votes, row_number() OVER (PARTITION BY range, hop ORDER BY votes DESC, {ip4('ip')}) AS rn
+            FROM (SELECT range, hop, ip, count(*) AS votes FROM z_kept GROUP BY range, hop, ip) t) u WHERE rn = 1""",
     # Inventory rows as JSON lines: parts are backbone, suppliers are hosting.
     "z_sheet": f"""
         SELECT concat('book', p_partkey % 3, '.xlsx') AS file, p_brand AS sheet, p_partkey AS row_index, 'backbone' AS sheettype,
