@@ -377,5 +377,7 @@ def is_host_route(text: Column) -> Column:
 
 def cidr_order(text: Column) -> list[Column]:
     """Sort keys: IPv4 before IPv6, address, prefix length; unparseable text last, by text."""
-    c = parse_cidr(text)
-    return [c.isNull().asc(), c["family"].asc(), address_order(c).asc(), c["plen"].asc(), text.asc()]
+    def key(c: Column) -> Column:
+        return F.struct(c.isNull().alias("bad"), address_order(c).alias("address"), c["plen"].alias("plen"))
+
+    return [let(parse_cidr(text), key).asc(), text.asc()]

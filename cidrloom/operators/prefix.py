@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_struct, masked
 from cidrloom.operators.skew import join_to_unique
+from cidrloom.session import cut_lineage
 
 SHORT_PLEN = 12
 
@@ -43,11 +44,18 @@ def containing(probes: DataFrame, probe: str, nets: DataFrame, net: str) -> Data
     return near.unionByName(far).drop("_len").withColumnRenamed("_net", net)
 
 
+def _distinct(probes: DataFrame, probe: str) -> DataFrame:
+    return probes.select(probe).filter(F.col(probe).isNotNull()).distinct()
+
+
+def _net_keys(nets: DataFrame, net: str) -> DataFrame:
+    """Distinct networks `_m`, written once because every containment join reads them three times."""
+    return cut_lineage(nets.filter(F.col(net).isNotNull()).select(masked(F.col(net)).alias("_m")).distinct())
+
+
 def longest_match(probes: DataFrame, probe: str, nets: DataFrame, net: str) -> DataFrame:
     """`probe, net` for every distinct probe that some net covers, with the longest such net (masked)."""
-    keys = probes.select(probe).filter(F.col(probe).isNotNull()).distinct()
-    table = nets.select(masked(F.col(net)).alias("_m")).filter(F.col("_m").isNotNull()).distinct()
-    found = containing(keys, probe, table, "_m")
+    found = containing(_distinct(probes, probe), probe, _net_keys(nets, net), "_m")
     best = found.groupBy(probe).agg(F.max(F.col("_m")["plen"]).alias("_len"))
     return best.select(probe, masked(F.col(probe), F.col("_len")).alias("match"))
 
@@ -67,17 +75,15 @@ def longest_prefix_join(
 
     Each distinct probe is resolved once; the rows then join back by probe with hot probes split off.
     """
-    unique = one_per_net(table, net, order)
+    unique = cut_lineage(one_per_net(table, net, order))
     matches = longest_match(left, probe, unique, net)
-    resolved = matches.join(unique, "match").drop("match")
+    resolved = cut_lineage(matches.join(unique, "match").drop("match"))
     return join_to_unique(left, resolved, [probe])
 
 
 def in_any_net(probes: DataFrame, probe: str, nets: DataFrame, net: str) -> DataFrame:
     """Distinct probes covered by at least one net."""
-    keys = probes.select(probe).filter(F.col(probe).isNotNull()).distinct()
-    table = nets.select(masked(F.col(net)).alias("_m")).filter(F.col("_m").isNotNull()).distinct()
-    return containing(keys, probe, table, "_m").select(probe).distinct()
+    return containing(_distinct(probes, probe), probe, _net_keys(nets, net), "_m").select(probe).distinct()
 
 
 def first_related(ranges: DataFrame, range_col: str, nets: DataFrame, net: str, order: str) -> DataFrame:
@@ -87,9 +93,9 @@ def first_related(ranges: DataFrame, range_col: str, nets: DataFrame, net: str,
     once under every shorter range length (nets inside), so no network is a hot key.
     """
     keys = ranges.select(range_col).filter(F.col(range_col).isNotNull()).distinct()
-    keyed = keys.withColumn("_range_net", masked(F.col(range_col)))
+    keyed = cut_lineage(keys.withColumn("_range_net", masked(F.col(range_col))))
     masked_nets = nets.filter(F.col(net).isNotNull()).withColumn("_m", masked(F.col(net)))
-    per_net = masked_nets.groupBy("_m").agg(F.min(order).alias("first"), F.count("*").alias("matches"))
+    per_net = cut_lineage(masked_nets.groupBy("_m").agg(F.min(order).alias("first"), F.count("*").alias("matches")))
     above = containing(keyed, "_range_net", per_net, "_m").select(range_col, "first", "matches")
     inside = _spread(per_net, "_m", prefix_lengths(keyed, "_range_net"), shorter_only=True)
     inside = inside.groupBy(F.col("_net").alias("_range_net")).agg(F.min("first").alias("first"), F.sum("matches").alias("matches"))
@@ -107,11 +113,11 @@ def disjoint_intervals(table: DataFrame, net: str) -> DataFrame:
     cut point is found inside one /16 (at most 65,536 points) and no range crosses a /16.
     """
     spark = table.sparkSession
-    nets = table.filter(F.col(net)["family"] == 4).select(masked(F.col(net)).alias("_m"))
+    nets = _net_keys(table.filter(F.col(net)["family"] == 4), net)
     size = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.lit(32) - F.col("_m")["plen"])
     cuts = nets.select(F.explode(F.array(F.col("_m")["lo"], F.col("_m")["lo"] + size)).alias("lo"))
     blocks = spark.range(BLOCK).select((F.col("id") * BLOCK).alias("lo"))
-    points = cuts.filter(F.col("lo") < 2**32).union(blocks).distinct()
+    points = cut_lineage(cuts.filter(F.col("lo") < 2**32).union(blocks).distinct())
     probe = points.select("lo", cidr_struct(F.lit(4), F.lit(32), F.lit(0), F.col("lo")).alias("_probe"))
     found = longest_match(probe, "_probe", nets, "_m").select(F.col("_probe")["lo"].alias("lo"), "match")
     spans = points.withColumn("_block", F.shiftright("lo", 16)).withColumn("hi", F.expr(
@@ -150,7 +156,7 @@ def block_lookup_join(left: DataFrame, ip: str, table: DataFrame, net: str, max_
     Only for a net table of at most `max_rows` rows, which is counted first; returns None beyond that
     and the caller takes `longest_prefix_join`.  Both the /16 blocks and the rows are broadcast.
     """
-    unique = one_per_net(table.filter(F.col(net)["family"] == 4), net)
+    unique = cut_lineage(one_per_net(table.filter(F.col(net)["family"] == 4), net))
     if unique.count() > max_rows:
         return None
     blocks = interval_blocks(disjoint_intervals(unique, net))

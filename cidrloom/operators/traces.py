@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, masked, parse_cidr, parse_ip, sample_targets
 from cidrloom.functions.patterns import PtrPattern, parse_ptr
-from cidrloom.operators.prefix import containing, in_any_net
+from cidrloom.operators.prefix import in_any_net
 from cidrloom.operators.skew import join_to_unique
+from cidrloom.session import cut_lineage
 
 HOP_FIELDS = ("hop", "ip", "rtt_avg", "rtt_best", "rtt_worst", "icmp_type", "asn", "ptr")
 
@@ -83,12 +84,13 @@ def hops_in_nets(hops: DataFrame, nets: DataFrame, net: str, dns: DataFrame | No
     Addresses are tested once each, not once per hop; `dns` answers (`ip, asn, ptr`) ride on the same
     join.  Renumbering needs the kept hops of one trace together, a bounded list.
     """
-    ips = hops.select("ip").filter(F.col("ip").isNotNull()).distinct().withColumn("_a", parse_ip(F.col("ip")))
+    ips = cut_lineage(hops.select("ip").filter(F.col("ip").isNotNull()).distinct().withColumn("_a", parse_ip(F.col("ip"))))
     inside = in_any_net(ips, "_a", nets, net).join(ips, "_a").select("ip")
     info = inside.withColumn("_inside", F.lit(True))
     if dns is not None:
         hops = hops.drop("asn", "ptr")
         info = info.join(dns.select("ip", "asn", "ptr"), "ip", "left")
+    info = cut_lineage(info)
     kept = join_to_unique(hops.filter(F.col("ip").isNotNull()), info, ["ip"]).filter("_inside").drop("_inside")
     packed = kept.groupBy("trace_id", "range", "measured_at", "destination").agg(
         F.array_sort(F.collect_list(F.struct("pos", *[f for f in HOP_FIELDS if f != "hop"]))).alias("_hops")

@@ -40,6 +40,11 @@ def staging_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise `df` in the reliable checkpoint folder, so that a lost executor costs no recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Write `df` as a Parquet table in the shared folder and read it back.
+
+    A lost executor then costs no recomputation, a table that is used several times is computed once,
+    and its file size is known to the planner, which broadcasts it only below its threshold.
+    """
+    path = staging_path(df.sparkSession, "stage")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

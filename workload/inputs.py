@@ -45,7 +45,7 @@ def traces(spark, d):
 
 
 def targets(spark, d):
-    return run(spark, d, "SELECT network FROM z_targets").select("network", parse_cidr(F.col("network")).alias("net"))
+    return once(spark, d, "targets", lambda: run(spark, d, "SELECT network FROM z_targets").select("network", parse_cidr(F.col("network")).alias("net")))
 
 
 def dns(spark, d):
@@ -55,7 +55,7 @@ def dns(spark, d):
 def whois(spark, d):
     struct = F.struct(F.col("network").alias("inetnum"), "netname", "descr", "country", F.lit("TEST").alias("source"), F.lit(None).cast("string").alias("last_modified"),
                       "as_num", "as_name", F.lit(None).cast("string").alias("as_descr"))
-    return staged(spark, d, "z_whois").select("network", parse_cidr(F.col("network")).alias("net"), struct.alias("whois"))
+    return once(spark, d, "whois", lambda: shape(spark, d, "z_whois").select("network", parse_cidr(F.col("network")).alias("net"), struct.alias("whois")))
 
 
 def sheet_rows(spark, d):
