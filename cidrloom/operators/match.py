@@ -14,6 +14,7 @@ from cidrloom.functions.ip import parse_cidr
 from cidrloom.functions.patterns import PTR_FIELDS, Normalizer, normalize
 from cidrloom.operators.prefix import first_related
 from cidrloom.operators.skew import join_to_unique
+from cidrloom.session import cut_lineage
 from cidrloom.sources.readers import sheet_row_cidrs
 
 
@@ -99,13 +100,16 @@ def attach_matches(
     """Add `xlsx MAP<sheettype, row VARIANT>` (null when nothing matches) and the match counts.
 
     Backbone: by device first, then by containment for the ranges left; hosting: exact.  Only row
-    ordinals travel through the joins; rows are fetched for the winners at the end.
+    ordinals travel through the joins; rows are fetched for the winners at the end.  Tables that are
+    read several times are written once.
     """
-    cidrs = sheet_row_cidrs(rows)
+    gateways, rows = cut_lineage(gateways), cut_lineage(rows)
+    cidrs = cut_lineage(sheet_row_cidrs(rows))
     fields = [f for f in PTR_FIELDS if f in ptr_columns.values()]
     related = match_related
     if fields:
-        by_ptr = match_by_ptr(gateways, sheet_ptr_keys(rows, ptr_columns, normalizers), fields, normalizers)
+        keys = cut_lineage(sheet_ptr_keys(rows, ptr_columns, normalizers))
+        by_ptr = cut_lineage(match_by_ptr(gateways, keys, fields, normalizers))
         rest = gateways.join(by_ptr, "range", "left_anti")
         backbone = by_ptr.unionByName(related(rest, cidrs))
     else:
@@ -113,8 +117,10 @@ def attach_matches(
     hosting = match_exact(gateways, cidrs)
     picked = gateways.join(backbone.select("range", F.col("first").alias("_b"), F.col("matches").alias("backbone_matches")), "range", "left")
     picked = picked.join(hosting.select("range", F.col("first").alias("_h"), F.col("matches").alias("hosting_matches")), "range", "left")
+    picked = cut_lineage(picked)
     table = rows.select(F.col("ord"), F.col("fields"))
     picked = join_to_unique(picked, table.select(F.col("ord").alias("_b"), F.col("fields").alias("_brow")), ["_b"])
+    picked = cut_lineage(picked)
     picked = join_to_unique(picked, table.select(F.col("ord").alias("_h"), F.col("fields").alias("_hrow")), ["_h"])
     entries = F.filter(
         F.array(

@@ -1,4 +1,4 @@
-"""Traces to the gateway table, in one lazy plan."""
+"""Traces to the gateway table.  Tables that several joins read are written once in between."""
 
 from __future__ import annotations
 
@@ -10,6 +10,7 @@ from cidrloom.functions.patterns import Normalizer, PtrPattern
 from cidrloom.operators.match import attach_matches
 from cidrloom.operators.prefix import longest_prefix_join
 from cidrloom.operators.traces import choose_gateways, current_traces, explode_hops, hops_in_nets, range_totals, vote_hops
+from cidrloom.session import cut_lineage
 
 WHOIS_COLUMNS = {
     "netname": "netname",
@@ -26,7 +27,7 @@ WHOIS_COLUMNS = {
 
 def vote_gateways(traces: DataFrame, nets: DataFrame, dns: DataFrame | None, patterns: list[PtrPattern]) -> DataFrame:
     """`range, gateway, routes, measured_at` from traces; `nets` holds the target prefixes in `net`."""
-    current = current_traces(traces, nets, "net")
+    current = cut_lineage(current_traces(traces, nets, "net"))
     hops = hops_in_nets(explode_hops(current), nets, "net", dns)
     return choose_gateways(vote_hops(hops), range_totals(current), patterns)
 
@@ -44,7 +45,7 @@ def build_gateways(
     normalizers: dict[str, Normalizer] | None = None,
 ) -> DataFrame:
     """Gateway records of all ranges that still exist."""
-    records = attach_whois(vote_gateways(traces, nets, dns, patterns), whois)
+    records = attach_whois(cut_lineage(vote_gateways(traces, nets, dns, patterns)), whois)
     if sheet_rows is not None:
         records = attach_matches(records, sheet_rows, ptr_columns or {}, normalizers or {})
     else:
