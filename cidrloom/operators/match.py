@@ -49,6 +49,8 @@ def sheet_ptr_keys(rows: DataFrame, ptr_columns: dict[str, str], normalizers: di
 
     seen = {n: F.array_distinct(F.filter(F.array(*[_clean(n, text(c), normalizers) for c in by_field[n]]), lambda v: v.isNotNull())) for n in names}
     rows = rows.filter(F.col("source.sheettype") != "hosting").select("ord", *[seen[n].alias(n) for n in names])
+    # Long rule chains run once per row, not once per use.
+    rows = cut_lineage(rows)
     for n in names:
         rows = rows.filter(F.size(n) <= 1)
     present = F.concat_ws(",", *[F.when(F.size(n) == 1, F.lit(n)) for n in names])
@@ -66,6 +68,7 @@ def match_by_ptr(gateways: DataFrame, keys: DataFrame, fields: list[str], normal
     names = [f for f in PTR_FIELDS if f in fields]
     values = {n: _clean(n, F.col(f"gateway.device.{n}"), normalizers) for n in names}
     flat = gateways.filter(F.col("gateway.device").isNotNull()).select("range", *[values[n].alias(n) for n in names])
+    flat = cut_lineage(flat)
     cols = {n: F.col(n) for n in names}
     offers = []
     for subset in _subsets(names):
