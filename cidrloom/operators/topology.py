@@ -39,13 +39,12 @@ def hop_nodes(hop: Column, granularity: str) -> Column:
 def label_paths(gateways: DataFrame, granularities: tuple[str, ...] = GRANULARITIES) -> DataFrame:
     """One row per record and granularity: the labels from the root to the range."""
     some = gateways.filter(F.size("routes") > 0)
-    graphs = F.array(*[
-        F.struct(
-            F.lit(g).alias("granularity"),
-            F.concat(F.array(F.lit(ROOT)), F.flatten(F.transform("routes", lambda h, g=g: hop_nodes(h, g))), F.array("range")).alias("path"),
-        )
-        for g in granularities
-    ])
+
+    def path(granularity: str) -> Column:
+        labels = F.flatten(F.transform("routes", lambda hop: hop_nodes(hop, granularity)))
+        return F.struct(F.lit(granularity).alias("granularity"), F.concat(F.array(F.lit(ROOT)), labels, F.array("range")).alias("path"))
+
+    graphs = F.array(*[path(g) for g in granularities])
     return some.select(F.explode(graphs).alias("_g")).select("_g.*")
 
 
