@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cidrloom.functions.ip import cidr_struct, masked
 from cidrloom.operators.prefix import in_any_net
 from cidrloom.operators.skew import join_to_unique
+from cidrloom.session import cut_lineage
 
 
 def rows_in_nets(rows: DataFrame, row_key: list[str], nets_col: str, filters: DataFrame, net: str) -> DataFrame:
@@ -18,7 +19,7 @@ def rows_in_nets(rows: DataFrame, row_key: list[str], nets_col: str, filters: Da
     cells = rows.select(*row_key, F.explode(nets_col).alias("_n"))
     base = masked(F.col("_n"))
     host = cidr_struct(base["family"], F.when(base["family"] == 4, 32).otherwise(128), base["hi"], base["lo"])
-    cells = cells.select(*row_key, host.alias("_a"))
+    cells = cut_lineage(cells.select(*row_key, host.alias("_a")))
     inside = in_any_net(cells, "_a", filters, net).withColumn("_in", F.lit(True))
     keep = join_to_unique(cells, inside, ["_a"]).filter("_in").select(*row_key).distinct()
     return rows.join(keep, row_key, "left_semi")
@@ -52,7 +53,7 @@ def duplicate_cidrs(cidrs: DataFrame, members: DataFrame) -> DataFrame:
     rows = cidrs.select("ord", "net", "network", "source.file", "source.sheet", "source.row_index", "source.sheettype")
     rows = join_to_unique(rows, members, ["file", "sheet"])
     seen = F.struct("ord", "file", "sheet", "row_index", F.coalesce("group_ids", F.array().cast("array<int>")).alias("group_ids"))
-    rows = rows.withColumn("_seen", seen)
+    rows = cut_lineage(rows.withColumn("_seen", seen))
     first = rows.groupBy("sheettype", "net").agg(F.min("_seen").alias("_first"))
     rows = join_to_unique(rows, first, ["sheettype", "net"])
     later = rows.withColumn("_rank", F.col("ord") > F.col("_first.ord"))

@@ -97,8 +97,8 @@ def schema_union(log_fields: DataFrame, lookup_fields: DataFrame) -> DataFrame:
 
 
 def discover_fields(enriched: DataFrame, lookup_records: DataFrame) -> DataFrame:
-    """All fields of enriched logs and lookup records."""
+    """All fields of enriched logs (`log_id, record`) and lookup records (`record_id, record`)."""
     return schema_union(
         field_union(enriched, "record", "log_id").select("path", "type_tag"),
-        field_union(lookup_records, "record", "ord").select("path", "type_tag"),
+        field_union(lookup_records, "record", "record_id").select("path", "type_tag"),
     )

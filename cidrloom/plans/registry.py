@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from cidrloom.functions.ip import cidr_text, inetnum_to_net, parse_cidr
 from cidrloom.operators.dns import attach_aut_num
 from cidrloom.operators.skew import join_to_unique
+from cidrloom.session import cut_lineage
 from cidrloom.sources.registry import origin_asn, parse_rpsl, registry_records
 
 
@@ -19,14 +20,14 @@ def _named(records: DataFrame, queried: str) -> DataFrame:
 def whois_from_json(bodies: DataFrame, origins: DataFrame, aut_nums: DataFrame) -> DataFrame:
     """Path by prefix: record bodies (`resource, body`), origin bodies (`resource, body`), AS objects."""
     asn = origin_asn(origins, "body").groupBy("resource").agg(F.min("asn").alias("asn"))
-    records = join_to_unique(registry_records(bodies, "body"), asn, ["resource"])
+    records = cut_lineage(join_to_unique(registry_records(bodies, "body"), asn, ["resource"]))
     named = _named(attach_aut_num(records, "asn", aut_nums), "resource")
     return named.select(cidr_text(F.col("net")).alias("network"), "net", "whois")
 
 
 def whois_from_text(responses: DataFrame, aut_nums: DataFrame) -> DataFrame:
     """Path by AS number: object text (`query, asn, response`) of every announced prefix."""
-    records = attach_aut_num(parse_rpsl(responses, "response"), "asn", aut_nums)
+    records = attach_aut_num(cut_lineage(parse_rpsl(responses, "response")), "asn", aut_nums)
     named = _named(records, "query")
     return named.select(cidr_text(F.col("net")).alias("network"), "net", "whois")
 

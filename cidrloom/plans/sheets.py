@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from cidrloom.functions.ip import cidr_text
 from cidrloom.functions.text import no_nets
 from cidrloom.operators.conflicts import duplicate_cidrs, group_membership, group_table, import_statistics, rows_in_nets
+from cidrloom.session import cut_lineage
 from cidrloom.sources.sheets import SheetConfig, kept_rows, sheet_summary, type_rows
 
 ROW_KEY = ["file", "sheet", "row_index"]
@@ -44,13 +45,14 @@ def build_sheet_table(
 
     Groups are checked after the filter, so a sheet the filter empties counts as unknown.
     """
-    typed = type_rows(cells, config)
+    # Typing is the costly part and everything below reads its rows, so they are written once.
+    typed = cut_lineage(type_rows(cells, config))
     rows = kept_rows(typed)
     if filters is not None:
         arrays = [F.coalesce(F.col(c.name), no_nets()) for c in config.columns if c.type == "addresses"]
-        rows = rows_in_nets(rows.withColumn("_nets", F.concat(*arrays)), ROW_KEY, "_nets", filters, net).drop("_nets")
+        rows = cut_lineage(rows_in_nets(rows.withColumn("_nets", F.concat(*arrays)), ROW_KEY, "_nets", filters, net).drop("_nets"))
     members, unknown = group_membership(group_table(cells.sparkSession, groups or {}), rows)
-    conflicts = duplicate_cidrs(row_cidrs(rows, config), members)
+    conflicts = duplicate_cidrs(cut_lineage(row_cidrs(rows, config)), members)
     if fail_on_conflict:
         if not unknown.isEmpty():
             raise ValueError("groups name unknown sheets")

@@ -206,7 +206,7 @@ def u4_schema_union(spark, d):
 @query("j12_discover_fields")
 def j12_fields(spark, d):
     table = inputs.lookup(spark, d)
-    records = table.select(F.col("range").alias("ord"), F.parse_json(F.to_json(F.struct(*[c for c in table.columns if c != "range"]), {"ignoreNullFields": "true"})).alias("record"))
+    records = table.select(F.col("range").alias("record_id"), F.parse_json(F.to_json(F.struct(*[c for c in table.columns if c != "range"]), {"ignoreNullFields": "true"})).alias("record"))
     enriched = inputs.once(spark, d, "enriched", lambda: E.enrich_logs(log_records(spark, d), "ip", table))
     return E.discover_fields(enriched, records)
 
