@@ -123,8 +123,11 @@ def read_logs(spark: SparkSession, path: str) -> DataFrame:
     if path.endswith(".jsonl"):
         parsed = _text(spark, path).withColumn("record", F.try_parse_json("value"))
         return parsed.filter(F.col("record").isNotNull()).select(F.col("line_id").alias("log_id"), "record")
-    array = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
-    return array.select(F.monotonically_increasing_id().alias("log_id"), F.col("v").alias("record"))
+    whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
+    is_array = F.schema_of_variant("v").startswith("ARRAY")
+    whole = whole.filter(F.when(is_array, True).otherwise(F.raise_error(F.lit("log file is no JSON array")).cast("boolean")))
+    items = spark.sql("SELECT e.value AS record FROM {whole} w, LATERAL variant_explode(w.v) e", whole=whole)
+    return items.select(F.monotonically_increasing_id().alias("log_id"), "record")
 
 
 def read_gateways(spark: SparkSession, path: str) -> DataFrame:
