@@ -126,40 +126,25 @@ def disjoint_intervals(table: DataFrame, net: str) -> DataFrame:
     return spans.drop("_block").join(found, "lo").select("lo", "hi", "match")
 
 
-def interval_blocks(intervals: DataFrame) -> DataFrame:
-    """One row per /16: its ranges as a sorted array (at most 65,536 by construction)."""
-    entry = F.struct("lo", "hi", "match")
-    return intervals.groupBy(F.shiftright("lo", 16).alias("_block")).agg(F.array_sort(F.collect_list(entry)).alias("_spans"))
-
-
-def find_in_block(ip: Column, spans: Column) -> Column:
-    """Binary search of an address in the sorted ranges of its /16; the covering net or null."""
-    steps = F.sequence(F.lit(1), F.length(F.bin(F.size(spans))))
-    # Invariant: the ranges before `a` start at or below the address, those from `b` on start above it.
-    start = F.struct(F.lit(0).alias("a"), F.size(spans).alias("b"))
-
-    def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["a"] + acc["b"]) / 2).cast("int")
-        below = F.get(spans, mid)["lo"] <= ip
-        return F.when(
-            acc["a"] < acc["b"],
-            F.struct(F.when(below, mid + 1).otherwise(acc["a"]).alias("a"), F.when(below, acc["b"]).otherwise(mid).alias("b")),
-        ).otherwise(acc)
-
-    last = F.get(spans, F.aggregate(steps, start, halve)["a"] - 1)
-    return F.when(last["hi"] >= ip, last["match"])
-
-
 def block_lookup_join(left: DataFrame, ip: str, table: DataFrame, net: str, max_rows: int) -> DataFrame | None:
     """Left outer longest-prefix join of IPv4 numbers without any shuffle of `left`.
 
-    Only for a net table of at most `max_rows` rows, which is counted first; returns None beyond that
-    and the caller takes `longest_prefix_join`.  Both the /16 blocks and the rows are broadcast.
+    One broadcast hash join per prefix length that occurs (at most 33), longest first; then the row of
+    the first hit.  Only for a net table of at most `max_rows` rows, which is counted first; returns
+    None beyond that and the caller takes `longest_prefix_join`.
     """
     unique = cut_lineage(one_per_net(table.filter(F.col(net)["family"] == 4), net))
     if unique.count() > max_rows:
         return None
-    blocks = interval_blocks(disjoint_intervals(unique, net))
-    found = left.withColumn("_block", F.shiftright(F.col(ip), 16)).join(F.broadcast(blocks), "_block", "left")
-    found = found.withColumn("match", find_in_block(F.col(ip), F.col("_spans"))).drop("_block", "_spans")
-    return found.join(F.broadcast(unique), "match", "left").drop("match")
+    lengths = sorted((r.l for r in unique.select(F.col("match")["plen"].alias("l")).distinct().collect()), reverse=True)
+    found, hit = left, F.lit(None).cast("bigint")
+    for l in lengths:
+        nets = unique.filter(F.col("match")["plen"] == l).select(F.col("match")["lo"].alias(f"_n{l}"))
+        mask = (2**32 - 1) ^ (2 ** (32 - l) - 1)
+        found = found.withColumn(f"_k{l}", F.col(ip).bitwiseAND(F.lit(mask).cast("bigint")))
+        found = found.join(F.broadcast(nets), F.col(f"_k{l}") == F.col(f"_n{l}"), "left").drop(f"_k{l}")
+    # Network and length in one number: the row key of the final join.
+    hit = F.coalesce(*[F.col(f"_n{l}") * 64 + l for l in lengths], hit)
+    found = found.withColumn("_hit", hit).drop(*[f"_n{l}" for l in lengths])
+    rows = unique.withColumn("_hit", F.col("match")["lo"] * 64 + F.col("match")["plen"]).drop("match")
+    return found.join(F.broadcast(rows), "_hit", "left").drop("_hit")
