@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -31,9 +32,12 @@ def new_path(spark: SparkSession, name: str) -> str:
 
 def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, has a known size."""
-    path = new_path(df.sparkSession, name)
+    spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    del df
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once the plan that made them is collected
+    return spark.read.schema(schema).parquet(path)
 
 
 # ---- UTF-8 blocks ---------------------------------------------------------------------------------------------------

@@ -4,7 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
+from pyspark.sql import functions as F
+
 from cidrloom.llm import op2_quality, op5_urls, op6_language
+from cidrloom.llm.op1_suffix import dedup as op1_dedup
+from cidrloom.llm.op3_jaccard import grouped as op3_grouped
+from cidrloom.llm.op4_bpe import tokenise as op4_tokenise
 from cidrloom.llm.op7_decontaminate import matches as op7_matches
 from cidrloom.llm.op8_pii import find as op8_pii_find
 from cidrloom.llm.op9_toxicity import score as op9_score
@@ -55,3 +61,19 @@ def op9_toxicity(spark, sf_dir):
 @query
 def op7_decontamination(spark, sf_dir):
     return op7_matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@query
+def op4_bpe(spark, sf_dir):
+    return op4_tokenise(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), digests=True)
+
+
+@query
+def op3_jaccard_join(spark, sf_dir):
+    groups = op3_grouped(table(spark, sf_dir, "documents"))
+    return groups.select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"))
+
+
+@query
+def op1_suffix_dedup(spark, sf_dir):
+    return op1_dedup(table(spark, sf_dir, "documents")).drop("kept")
