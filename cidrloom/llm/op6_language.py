@@ -22,6 +22,7 @@ from cidrloom.llm import kit
 PROFILE = 300
 LONGEST = 4
 FOLDS = 5
+SALTS = 32
 
 _FOLDED = kit.LOWER.copy()  # ASCII letters lower-cased, other ASCII a blank, all further bytes as they are
 _FOLDED[[b for b in range(128) if not (97 <= kit.LOWER[b] <= 122)]] = 0x20
@@ -101,6 +102,9 @@ def profiles(labelled: DataFrame) -> tuple[list[str], np.ndarray, np.ndarray]:
             yield pa.RecordBatch.from_arrays([order.take(pa.array(kept[0])), pa.array(kept[1]), pa.array(kept[2])], names=["lang", "code", "n"])
 
     totals = labelled.select("text", "lang").mapInArrow(count, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n"))
+    # Ranked within salts first, so that no task sees more than SALTS * PROFILE n-grams of a language.
+    within = F.row_number().over(Window.partitionBy("lang", "salt").orderBy(F.desc("n"), "code"))
+    totals = totals.withColumn("salt", F.pmod(F.hash("code"), F.lit(SALTS))).withColumn("within", within).filter(F.col("within") <= PROFILE)
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), "code")) - 1
     best = totals.withColumn("rank", rank).filter(F.col("rank") < PROFILE).collect()  # PROFILE rows a language
     names = sorted({r["lang"] for r in best})

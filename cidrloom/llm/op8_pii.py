@@ -116,17 +116,20 @@ def disclosing_terms(docs: DataFrame, held: DataFrame, text: str, support: int =
     near = words.filter(whole & (F.length("w.value") > 2)).select("md5", "entity", F.lower("w.value").alias("term"), F.col("w.value").alias("value"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
     near = staged(near, "pii-terms")
     pairs = near.select("md5", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    pairs = staged(pairs, "pii-pairs")
     n_e = near.select("md5", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    # n(t) is at least the number of texts that hold t near any entity; a pair that fails with this number fails with n(t),
+    # so common words need no count over the corpus.
+    least = near.select("md5", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
+    total = float(docs.filter(F.col(text).isNotNull()).count())
+    rare = F.log(F.lit(total) / F.col("n_e"))
+    disclosure = F.when(rare > 0, F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))) / rare).otherwise(0.0)
+    pairs = staged(pairs.join(n_e, "entity").join(least, "term").filter(disclosure >= generalise).drop("n_t"), "pii-pairs")
     terms = pairs.select("term").distinct()
     if terms.isEmpty():
         return near.select("md5", F.array(F.struct(F.lit("").alias("kind"), "start", "end", "value")).alias("_terms")).filter("false")
     said = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}'-]++"))).alias("term"))
     n_t = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    total = docs.filter(F.col(text).isNotNull()).count()
-    told = pairs.join(n_e, "entity").join(n_t, "term")
-    rare = F.log(F.lit(float(total)) / F.col("n_e"))
-    told = told.withColumn("disclosure", F.when(rare > 0, F.log(F.col("n_te") * F.lit(float(total)) / (F.col("n_t") * F.col("n_e"))) / rare).otherwise(0.0)).filter(F.col("disclosure") >= generalise)
+    told = pairs.join(n_t, "term").withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise)
     told = told.select("entity", "term", F.when(F.col("disclosure") >= remove, "removed").otherwise("general").alias("kind"))
     hits = near.join(told, ["entity", "term"]).groupBy("md5", "start", "end", "value").agg(F.max("kind").alias("kind"))
     return hits.groupBy("md5").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("_terms"))
