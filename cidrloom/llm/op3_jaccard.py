@@ -36,7 +36,8 @@ from cidrloom.llm.kit import staged
 
 SIMILARITY = (90, 100)  # a pair links when 100 * overlap >= 90 * union
 WORDS = 3
-DIMS = 32
+DIM_BITS = 7
+DIMS = 1 << DIM_BITS
 CLASS = 1.5  # ratio of the sizes in one class
 BUCKET = 2048
 LEAF = 16
@@ -126,7 +127,7 @@ def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY) -> Dat
             node = np.zeros(n, np.uint64)
             np.add.at(node, owner, kit.mix(codes + np.uint64(19)))
             node = kit.mix(node + size.astype(np.uint64)).view(np.int64)
-            point = np.bincount(owner * DIMS + (codes >> np.uint64(59)).astype(np.int64), minlength=n * DIMS)
+            point = np.bincount(owner * DIMS + (codes >> np.uint64(64 - DIM_BITS)).astype(np.int64), minlength=n * DIMS)
             keys, rows = signatures(codes, owner, size, similarity)
             by = np.argsort(rows, kind="stable")
             ends = np.searchsorted(rows[by], np.arange(n + 1)).astype(np.int32)
@@ -175,14 +176,14 @@ class RTree:
             at, asked = todo.pop()
             top, least, low, high, children, members = self.nodes[at]
             asked = asked[(low != high) | (parts[asked] != low)]
-            bound = np.minimum(points[asked], top).sum(axis=1)
+            bound = np.minimum(points[asked], top).sum(axis=1, dtype=np.int64)
             asked = asked[bound >= needed(sizes[asked], least, similarity)]
             if not len(asked):
                 continue
             if children:
                 todo += [(children[0], asked), (children[1], asked)]
                 continue
-            sums = np.minimum(points[asked][:, None, :], self.points[members][None]).sum(axis=2)
+            sums = np.minimum(points[asked][:, None, :], self.points[members][None]).sum(axis=2, dtype=np.int64)
             good = (sums >= needed(sizes[asked][:, None], self.sizes[members][None], similarity)) & (parts[asked][:, None] != self.parts[members][None])
             q, m = np.nonzero(good)
             if len(q):
@@ -203,6 +204,8 @@ def search_buckets(members: DataFrame) -> DataFrame:
         def search(t: pa.Table):
             node, part, n, own = (t.column(c).to_numpy() for c in ("node", "part", "n", "own"))
             points = np.asarray(t.column("point").combine_chunks().flatten()).reshape(-1, DIMS)
+            if points.max(initial=0) < 1 << 15:
+                points = points.astype(np.int16)
             left = own == t.column("lo")[0].as_py()
             right = own == t.column("hi")[0].as_py()
             pairs = []
