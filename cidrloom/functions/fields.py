@@ -45,36 +45,45 @@ def type_tag(value: Column) -> Column:
     )
 
 
-def flatten_fields(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> DataFrame:
-    """All nodes below the root as `keep..., ord, path, type_tag, value`; objects are listed, then entered.
+def nesting(df: DataFrame, record: str) -> int:
+    """Deepest nesting of objects over all records, from the braces of their JSON text outside strings."""
+    braces = F.regexp_replace(F.regexp_replace(F.to_json(record), r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^{}]", "")
 
-    Each level is one lateral `variant_explode`, so rows stay on their executor.  `ord` sorts the
-    nodes of one record in walk order.  Raises when a record nests deeper than `max_depth`.
+    def walk(state: Column, brace: Column) -> Column:
+        now = state["now"] + F.when(brace == "{", 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
+
+    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+    deepest = F.aggregate(F.filter(F.split(braces, ""), lambda c: c != ""), start, walk)["most"]
+    return df.agg(F.max(deepest)).first()[0] or 0
+
+
+def flatten_fields(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
+    """All nodes as `keep..., ord, path, type_tag, value`; objects are listed, then entered, whatever their depth.
+
+    A root that is no object is one node with an empty path.  The nodes of a record grow level by level inside its row,
+    as many levels as the data has, and are exploded once: one scan, no shuffle.  `ord` sorts them in walk order.
     """
-    spark = df.sparkSession
-    level = df.select(*keep, F.col(record).alias("_v"), F.lit("").alias("_p"), F.array().cast("array<int>").alias("_o"))
-    levels = []
-    for depth in range(max_depth):
-        view = spark.sql(
-            "SELECT t.*, e.pos AS _pos, e.key AS _key, e.value AS _val FROM {level} t, LATERAL variant_explode(t._v) e WHERE e.key IS NOT NULL",
-            level=level,
-        )
-        nodes = view.select(
-            *keep,
-            F.concat("_o", F.array("_pos")).alias("_o"),
-            (F.col("_key") if depth == 0 else F.concat("_p", F.lit("."), "_key")).alias("_p"),
-            type_tag(F.col("_val")).alias("_tag"),
-            F.col("_val").alias("_v"),
-        )
-        if depth == max_depth - 1:
-            too_deep = F.raise_error(F.concat(F.lit("record nested deeper than max_depth at "), F.col("_p"))).cast("string")
-            nodes = nodes.withColumn("_tag", F.when(F.col("_tag") == "object", too_deep).otherwise(F.col("_tag")))
-        levels.append(nodes)
-        level = nodes.filter(F.col("_tag") == "object").select(*keep, "_v", "_p", "_o")
-    out = levels[0]
-    for nodes in levels[1:]:
-        out = out.unionByName(nodes)
-    return out.select(*keep, F.col("_o").alias("ord"), F.col("_p").alias("path"), F.col("_tag").alias("type_tag"), F.col("_v").alias("value"))
+    def node(order: Column, path: Column, value: Column) -> Column:
+        return F.struct(order.alias("ord"), path.alias("path"), type_tag(value).alias("type_tag"), value.alias("value"))
+
+    def children(parent: Column, root: bool) -> Column:
+        entries = F.map_entries(F.try_variant_get(parent["value"], "$", "map<string,variant>"))
+        return F.transform(entries, lambda e, i: node(F.concat(parent["ord"], F.array(i)), e["key"] if root else F.concat(parent["path"], F.lit("."), e["key"]), e["value"]))
+
+    root = node(F.array().cast("array<int>"), F.lit(""), F.col(record))
+    rows = df.select(*keep, F.array(root).alias("_level0"))
+    depth = nesting(df, record)
+    for k in range(depth):
+        objects = F.filter(f"_level{k}", lambda n: n["type_tag"] == "object")
+        rows = rows.withColumn(f"_level{k + 1}", _entered(objects, children, k == 0))
+    own = F.filter("_level0", lambda n: (n["type_tag"] != "object") & n["value"].isNotNull())
+    nodes = F.concat(own, *[F.col(f"_level{k + 1}") for k in range(depth)])
+    return rows.select(*keep, F.explode(nodes).alias("n")).select(*keep, "n.ord", "n.path", "n.type_tag", "n.value")
+
+
+def _entered(objects: Column, children, root: bool) -> Column:
+    return F.flatten(F.transform(objects, lambda n: children(n, root)))
 
 
 def scalar_text(value: Column) -> Column:
@@ -103,9 +112,9 @@ def display_text(value: Column) -> Column:
     return F.when(type_tag(value) == "list", F.array_join(F.transform(items, element), ", ", "null")).otherwise(element(value))
 
 
-def flatten_display(df: DataFrame, record: str, keep: list[str], max_depth: int = 8) -> DataFrame:
+def flatten_display(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
     """Leaves as `keep..., ord, key, text`; objects without keys give nothing."""
-    nodes = flatten_fields(df, record, keep, max_depth).filter(F.col("type_tag") != "object")
+    nodes = flatten_fields(df, record, keep).filter(F.col("type_tag") != "object")
     return nodes.select(*keep, "ord", F.col("path").alias("key"), display_text(F.col("value")).alias("text"))
 
 
@@ -148,7 +157,7 @@ def _variant(scalar: Column) -> Column:
 
 
 def project_fields(
-    df: DataFrame, record: str, key: str, fields: list[ProjectedField], array_sep: str = ", ", max_depth: int = 8
+    df: DataFrame, record: str, key: str, fields: list[ProjectedField], array_sep: str = ", "
 ) -> DataFrame:
     """Flat projection as a long table `key, name, value VARIANT`, one row per output field.
 
@@ -157,7 +166,7 @@ def project_fields(
     row.  Works for records of unknown shape; `project_record` packs the rows into JSON text.
     """
     listed = [f.field for f in fields]
-    leaves = flatten_fields(df, record, [key], max_depth).filter(F.col("type_tag") != "object")
+    leaves = flatten_fields(df, record, [key]).filter(F.col("type_tag") != "object")
     # A key that itself holds a dot cannot be reached by a dotted path.
     reachable = F.size("ord") == F.size(F.split("path", r"\."))
     leaves = leaves.filter(reachable)

@@ -23,8 +23,9 @@ MAX_ASN = 4294967295
 
 def unsigned32(text: Column) -> Column:
     """Decimal text to an unsigned 32-bit number as BIGINT; an optional plus sign, no blanks."""
-    number = text.try_cast("decimal(38,0)")
-    return F.when(text.rlike(r"^\+?[0-9]{1,38}\z") & (number <= MAX_ASN), number.cast("bigint"))
+    digits = F.regexp_replace(text, r"^\+?0*(?=[0-9])", "")
+    number = F.when(F.length(digits) <= 10, digits).try_cast("bigint")
+    return F.when(text.rlike(r"^\+?[0-9]+\z") & (number <= MAX_ASN), number)
 
 
 def parse_asn(text: Column) -> Column:

@@ -14,7 +14,6 @@ from cidrloom.plans.lookup import lookup_nets
 RECORD_KEY = "mmdb"
 
 BROADCAST_RECORDS = 200_000
-SCHEMA_SAMPLE = 2000
 
 
 def lookup_join(left: DataFrame, ip: str, lookup: DataFrame, broadcast_records: int = BROADCAST_RECORDS) -> DataFrame:

@@ -11,7 +11,7 @@ from cidrloom.functions.ip import cidr_text
 from cidrloom.functions.text import no_nets
 from cidrloom.operators.conflicts import duplicate_cidrs, group_membership, group_table, import_statistics, rows_in_nets
 from cidrloom.session import cut_lineage
-from cidrloom.sources.sheets import SheetConfig, kept_rows, sheet_summary, type_rows
+from cidrloom.sources.sheets import SheetConfig, check_sheets, kept_rows, sheet_summary, type_rows
 
 ROW_KEY = ["file", "sheet", "row_index"]
 
@@ -47,6 +47,8 @@ def build_sheet_table(
     """
     # Typing is the costly part and everything below reads its rows, so they are written once.
     typed = cut_lineage(type_rows(cells, config))
+    summary = sheet_summary(typed)
+    check_sheets(summary)
     rows = kept_rows(typed)
     if filters is not None:
         arrays = [F.coalesce(F.col(c.name), no_nets()) for c in config.columns if c.type == "addresses"]
@@ -58,4 +60,4 @@ def build_sheet_table(
             raise ValueError("groups name unknown sheets")
         if not conflicts.isEmpty():
             raise ValueError("duplicate prefixes within a sheet type")
-    return SheetTable(rows, sheet_summary(typed), conflicts, unknown, import_statistics(rows))
+    return SheetTable(rows, summary, conflicts, unknown, import_statistics(rows))

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cores: int | str = "*", app: str = "cidrloom", memory: str = "8g") -> SparkSession:
-    """A local session for tests and benchmarks; clusters bring their own."""
+    """A local session for tests and benchmarks, with a fresh local staging folder; clusters bring their own."""
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
@@ -19,16 +19,16 @@ def local_session(cores: int | str = "*", app: str = "cidrloom", memory: str = "
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.driver.memory", memory)
         .config("spark.ui.enabled", "false")
+        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="cidrloom-"))
         .getOrCreate()
     )
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor can reach: `spark.checkpoint.dir`, or a fresh one when unset."""
+    """The folder every executor can reach, as `spark.checkpoint.dir` names it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
-        configured = tempfile.mkdtemp(prefix="cidrloom-")
-        spark.conf.set("spark.checkpoint.dir", configured)
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     if not spark.sparkContext.getCheckpointDir():
         spark.sparkContext.setCheckpointDir(configured)
     return configured

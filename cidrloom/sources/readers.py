@@ -120,7 +120,7 @@ def sheet_row_cidrs(rows: DataFrame) -> DataFrame:
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """`log_id, record VARIANT`.  `.jsonl`: one value per line, blank and bad lines skipped; else one JSON array."""
-    if path.endswith(".jsonl"):
+    if path.lower().endswith(".jsonl"):
         parsed = _text(spark, path).withColumn("record", F.try_parse_json("value"))
         return parsed.filter(F.col("record").isNotNull()).select(F.col("line_id").alias("log_id"), "record")
     whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)

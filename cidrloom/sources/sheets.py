@@ -120,7 +120,7 @@ def check_sheets(summary: DataFrame) -> None:
     """Raise when no sheet is left or a sheet failed as a whole."""
     n = summary.agg(F.count("*").alias("sheets"), F.count_if("failed").alias("failed"), F.min(F.when(F.col("failed"), F.col("sheet"))).alias("name")).first()
     if n.sheets == 0:
-        raise ValueError("no sheets to process after filtering")
+        raise ValueError("every sheet was excluded or the workbook holds none")
     if n.failed:
         raise ValueError(f"all data rows failed in {n.failed} sheet(s), e.g. {n.name!r}")
 

@@ -58,6 +58,8 @@ def parse_trace_docs(df: DataFrame, doc: str) -> DataFrame:
     rows = rows.withColumn("_d", F.when(F.col("kind") == "trace", F.from_json(doc, schemas.TRACE_DOC + ", _corrupt string", options)))
     d = F.col("_d")
     probes = F.coalesce(d["hops"], F.array().cast(f"array<{schemas.PROBE}>"))
+    # Value ranges of the source: seconds are not negative, a TTL is one byte of a header, and so is an ICMP type.
+    in_range = (d["start"]["sec"] >= 0) & ~F.exists(probes, lambda h: ~h["probe_ttl"].between(0, 255) | ~F.coalesce(h["icmp_type"].between(0, 255), F.lit(True)))
     complete = (
         d["_corrupt"].isNull()
         & d["src"].isNotNull()
@@ -65,6 +67,7 @@ def parse_trace_docs(df: DataFrame, doc: str) -> DataFrame:
         & d["stop_reason"].isNotNull()
         & d["start"]["sec"].isNotNull()
         & ~F.exists(probes, lambda h: h["probe_ttl"].isNull())
+        & F.coalesce(in_range, F.lit(False))
     )
     route = F.struct(
         F.coalesce(d["version"], F.lit("unknown")).alias("version"),
@@ -72,6 +75,6 @@ def parse_trace_docs(df: DataFrame, doc: str) -> DataFrame:
         d["src"].alias("source"),
         d["dst"].alias("destination"),
         d["stop_reason"].alias("stop_reason"),
-        aggregate_probes(probes).alias("hops"),
+        aggregate_probes(F.when(in_range, probes)).alias("hops"),
     )
     return rows.select(*keep, "kind", F.when(complete, route).alias("trace"))

@@ -3,7 +3,6 @@
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, parse_cidr
-from cidrloom.functions.fields import flatten_fields
 from cidrloom.plans import enrich as E
 from cidrloom.plans.gateways import build_gateways
 from cidrloom.plans.lookup import build_lookup, lookup_intervals
@@ -211,13 +210,6 @@ def j12_fields(spark, d):
     return E.discover_fields(enriched, records)
 
 
-@query("w6_schema_sample", oracle("SELECT CAST(least(count(*), 2000) AS BIGINT) AS records FROM z_log_ips"))
-def w6_sample(spark, d):
-    # The field selector looks at no more than SCHEMA_SAMPLE records; the limit is the feature.
-    sample = log_records(spark, d).limit(E.SCHEMA_SAMPLE)
-    return flatten_fields(sample, "record", ["log_id"], 4).agg(F.countDistinct("log_id").alias("records"))
-
-
 @query("j13_onboarding_report", oracle(r"""
     SELECT 'header' AS part, file, count(DISTINCT trim(s)) AS n FROM z_cells WHERE row = 3 GROUP BY file UNION ALL SELECT 'preview', file, count(DISTINCT (sheet, row)) FROM z_cells WHERE row BETWEEN 3 AND 5 GROUP BY file"""))
 def j13_onboarding(spark, d):

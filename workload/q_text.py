@@ -177,7 +177,7 @@ def _logs(spark, d):
                unnest(['number', 'object', 'object', 'number', 'string', CASE WHEN event_id % 3 = 1 THEN 'bool' ELSE 'string' END, 'number', CASE WHEN event_id % 17 = 0 THEN 'null' ELSE 'string' END,
                        CASE WHEN event_id % 4 = 1 THEN 'number' ELSE 'string' END, 'object', 'number', 'list', 'string']) AS tag) p GROUP BY ALL"""))
 def flatten_fields(spark, d):
-    nodes = fields.flatten_fields(_logs(spark, d), "record", ["event_id"], max_depth=4)
+    nodes = fields.flatten_fields(_logs(spark, d), "record", ["event_id"])
     return nodes.groupBy("path", "type_tag").agg(F.count("*").alias("n"))
 
 
@@ -186,7 +186,7 @@ def flatten_fields(spark, d):
            unnest([CAST(cents AS VARCHAR), CAST(event_id % 7 AS VARCHAR), 'w', CASE WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'false' ELSE 'maybe' END, CAST(event_id AS VARCHAR),
                    regexp_extract(props, '[0-9]+'), concat('a, ', event_id % 5, ', true, null'), event_type]) AS text FROM z_log_ips"""))
 def flatten_display(spark, d):
-    rows = fields.flatten_display(_logs(spark, d), "record", ["event_id"], max_depth=4)
+    rows = fields.flatten_display(_logs(spark, d), "record", ["event_id"])
     return rows.filter(~F.col("key").isin("ip", "num")).select("event_id", "key", "text")
 
 
@@ -215,7 +215,7 @@ PROJECTION = [ProjectedField("deep", "d", "string"), ProjectedField("deep.x.y",
 @query("t20_project_fields", oracle("""
     SELECT event_id, concat('{"d.z":"w","id":"', event_type, '","t":"a, ', event_id % 5, ', true, null","why":', event_id % 7, '}') AS record FROM z_log_ips"""))
 def project_fields(spark, d):
-    rows = fields.project_fields(_logs(spark, d), "record", "event_id", PROJECTION, max_depth=4)
+    rows = fields.project_fields(_logs(spark, d), "record", "event_id", PROJECTION)
     return fields.project_record(rows, "event_id")
 
 
