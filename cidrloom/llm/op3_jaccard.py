@@ -154,7 +154,8 @@ class RTree:
     def __init__(self, points: np.ndarray, sizes: np.ndarray, parts: np.ndarray):
         self.points, self.sizes, self.parts = points, sizes, parts
         self.nodes: list[tuple] = []
-        self._build(np.arange(len(points)))
+        if len(points):
+            self._build(np.arange(len(points)))
 
     def _build(self, members: np.ndarray) -> int:
         here = len(self.nodes)

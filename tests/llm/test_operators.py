@@ -240,7 +240,7 @@ def test_pii_disclosing_terms(shared):
 
 
 def test_toxicity(shared, odd):
-    docs = [(k, f"plain words about weather {k} and gardens. " * 3 + ("you are a grumbleface and more. " if k % 4 == 0 else "")) for k in range(400)]
+    docs = [(k, f"plain words about weather {k} and gardens. " * 3 + f"you are a {'grumbleface' if k % 4 == 0 else 'visitor'} and more. ") for k in range(400)]
     df = shared.createDataFrame(docs, "doc_id long, text string")
     labels = shared.createDataFrame([(k, int(k % 4 == 0)) for k in range(400)], "doc_id long, toxic int")
     rows = op9_toxicity.score(df, labels).collect()
