@@ -10,9 +10,9 @@ most (a + b)(1 - s)/(1 + s) shingles. Sizes are cut into classes; a class with a
 sets into more than D groups, so one group at least is the same in both, and its hash is a key both have. Sets near
 the next class are keyed there too. A pair that shares only empty groups is met through keys of its empty groups.
 
-Equal sets are one node. In each bucket the smallest node is the centre; every node is checked against its smallest
-centre first, which joins groups of near copies, however large, in one pass. Buckets that still hold several components
-are searched by R-tree, across components only. Buckets over `BUCKET` nodes are dealt to tasks as pairs of blocks, which
+Equal sets are one node. In each bucket the node that meets most others is the centre. Every node is checked against its
+best centre, then, where components still meet, against the centres of all its buckets, which joins groups of near
+copies, however large. Buckets that still hold several components are searched by R-tree, across components only. Buckets over `BUCKET` nodes are dealt to tasks as pairs of blocks, which
 covers every pair of nodes and holds two blocks at a time.
 
 Defined cases: texts without words, null or empty, have no shingle and are alone; repeated rows and ids each give a row
@@ -293,6 +293,27 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
 
 
+# ---- centres --------------------------------------------------------------------------------------------------------
+
+
+def centres(members: DataFrame) -> DataFrame:
+    """`key, centre, met`: the node of each bucket that meets most others, counted over all its buckets.
+
+    In a group of near copies that is the least edited one, which most others link with.
+    """
+    size = members.groupBy("key").agg(F.count("*").alias("m"))
+    met = members.join(size, "key").groupBy("node").agg(F.sum("m").alias("met"))
+    most = members.join(met, "node").groupBy("key").agg(F.max(F.struct("met", "node")).alias("top"))
+    return staged(most.select("key", F.col("top.node").alias("centre"), F.col("top.met").alias("met")), "centres")
+
+
+def open_buckets(members: DataFrame, part: DataFrame) -> DataFrame:
+    """`key, node, part` of the buckets that hold several components (`part`: `node, component`)."""
+    placed = members.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
+    keys = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
+    return placed.join(keys, "key", "left_semi")
+
+
 # ---- the join -------------------------------------------------------------------------------------------------------
 
 
@@ -302,15 +323,22 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"))
     points = rows.filter("node is not null").select("node", "n", "point").dropDuplicates(["node"])
     keyed = rows.filter("node is not null").select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("centre"), F.max("node").alias("last")).filter("centre != last").drop("last")
+    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key")
     members = staged(keyed.join(shared, "key").distinct(), "members")
-    star = members.filter("node != centre").groupBy(F.col("node").alias("a")).agg(F.min("centre").alias("b"))
+    centre = centres(members)
+    best = F.max_by("centre", F.struct("met", "centre"))
+    star = members.join(centre, "key").filter("node != centre").groupBy(F.col("node").alias("a")).agg(best.alias("b"))
     links = staged(verified(bounded(star, points, similarity), nodes, docs, key, text, similarity), "links")
-    # Buckets that still hold several components.
+    # Open buckets, which still hold several components: every node against the centre of each of them.
     part = staged(components(links), "parts")
-    placed = members.join(part, "node", "left").select("key", "node", F.coalesce("component", "node").alias("part"))
-    open_ = placed.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
-    rest = placed.join(open_, "key", "left_semi").join(points, "node")
+    placed = staged(open_buckets(members, part), "open")
+    place = lambda c: placed.select("key", F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
+    hubs = centre.select("key", F.col("centre").alias("b")).join(place("b"), ["key", "b"])
+    spokes = place("a").join(hubs, "key").filter("part_a != part_b").select("a", "b").distinct()
+    links = staged(links.unionByName(verified(bounded(spokes, points, similarity), nodes, docs, key, text, similarity)), "links")
+    part = staged(components(links), "parts")
+    # What is still open is searched.
+    rest = open_buckets(placed.select("key", "node"), part).join(points, "node")
     pairs = staged(search_buckets(rest), "pairs")
     if not pairs.isEmpty():
         more = verified(pairs, nodes, docs, key, text, similarity)
