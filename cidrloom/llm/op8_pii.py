@@ -1,11 +1,11 @@
 """Personal data, with information-theoretic sanitisation. Built-in Spark functions only.
 
 Base spans are four fixed patterns (e-mail, IPv4, payment card, phone) with their checks. Each valid value is a
-protected entity. Words within `CONTEXT` characters of an entity are its terms; over all distinct texts the corpus gives
-n(t,e) (texts where term t stands near entity e), n(e), n(t) (texts that hold t anywhere) and N. The disclosure of e by t
+protected entity. Words within `CONTEXT` characters of an entity are its terms. The corpus gives n(t,e) (distinct texts
+where term t stands near entity e) and n(e), and over all rows n(t) (texts that hold t anywhere) and N. The disclosure of e by t
 is PMI(t;e) / IC(e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)): 1 when the term occurs only beside the entity.
 A term near the entity is generalised from `GENERALISE` on and removed from `REMOVE` on, if at least `SUPPORT` distinct
-texts show the pair. Exact copies are one text, so a copied page is no evidence about its own words.
+texts show the pair: for that, exact copies are one text, so a copied page is no evidence about its own words.
 
 Defined cases: a null text is empty and has no span; repeated rows, ids and null ids each give their row, judged by
 their text alone; an empty table gives no rows; further columns never travel in `find` and are kept by `sanitise`.
