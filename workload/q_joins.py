@@ -46,6 +46,8 @@ def _records(spark, d):
 def lookup_broadcast(spark, d):
     logs = shape(spark, d, "z_log_ips").select("event_id", "ip")
     out = block_lookup_join(logs, "ip", _records(spark, d), "net", max_rows=1_000_000)
+    if out is None:  # too many records to broadcast
+        return lookup_shuffle(spark, d)
     return out.select("event_id", "ip", "network", "netname")
 
 
