@@ -3,7 +3,8 @@
 A probe is expanded to the distinct prefix lengths of the net side and joined on the masked network,
 so containment is an equality.  Lengths up to SHORT_PLEN have at most 2**(SHORT_PLEN+1) networks per
 family: those go through a broadcast of proven size, because a /0 or /8 would be one hot key.  Longer
-ones join by hash, where one key meets at most 2**(32-SHORT_PLEN) distinct IPv4 probes.
+ones join by hash, where one key meets at most 2**(32-SHORT_PLEN) distinct IPv4 probes; an IPv6 net has
+no such bound, so its probes are spread over V6_SPREAD salts.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ from cidrloom.operators.skew import join_to_unique
 from cidrloom.session import cut_lineage
 
 SHORT_PLEN = 12
+V6_SPREAD = 32
 
 
 def prefix_lengths(nets: DataFrame, net: str) -> Column:
@@ -40,7 +42,11 @@ def containing(probes: DataFrame, probe: str, nets: DataFrame, net: str) -> Data
     keyed = nets.withColumnRenamed(net, "_net")
     short, long = F.col("_net")["plen"] <= SHORT_PLEN, F.col("_net")["plen"] > SHORT_PLEN
     near = spread.filter(F.col("_len") <= SHORT_PLEN).join(F.broadcast(keyed.filter(short)), "_net")
-    far = spread.filter(F.col("_len") > SHORT_PLEN).join(keyed.filter(long), "_net")
+    v6 = F.col("_net")["family"] == 6
+    salt = F.when(v6, F.pmod(F.xxhash64(probe), F.lit(V6_SPREAD)).cast("int")).otherwise(0)
+    salts = F.when(v6, F.sequence(F.lit(0), F.lit(V6_SPREAD - 1))).otherwise(F.array(F.lit(0)))
+    dealt = spread.filter(F.col("_len") > SHORT_PLEN).withColumn("_salt", salt)
+    far = dealt.join(keyed.filter(long).withColumn("_salt", F.explode(salts)), ["_net", "_salt"]).drop("_salt")
     return near.unionByName(far).drop("_len").withColumnRenamed("_net", net)
 
 
@@ -75,8 +81,12 @@ def longest_prefix_join(
 
     Each distinct probe is resolved once; the rows then join back by probe with hot probes split off.
     """
-    unique = cut_lineage(one_per_net(table, net, order))
-    matches = longest_match(left, probe, unique, net)
+    return join_unique_nets(left, probe, cut_lineage(one_per_net(table, net, order)))
+
+
+def join_unique_nets(left: DataFrame, probe: str, unique: DataFrame) -> DataFrame:
+    """`longest_prefix_join` to a table that `one_per_net` has made and that is stored."""
+    matches = longest_match(left, probe, unique, "match")
     resolved = cut_lineage(matches.join(unique, "match").drop("match"))
     return join_to_unique(left, resolved, [probe])
 
@@ -126,17 +136,27 @@ def disjoint_intervals(table: DataFrame, net: str) -> DataFrame:
     return spans.drop("_block").join(found, "lo").select("lo", "hi", "match")
 
 
-def block_lookup_join(left: DataFrame, ip: str, table: DataFrame, net: str, max_rows: int) -> DataFrame | None:
-    """Left outer longest-prefix join of IPv4 numbers without any shuffle of `left`.
+def block_table(table: DataFrame, net: str, max_rows: int) -> tuple[DataFrame, list[int]] | None:
+    """One stored row per IPv4 net and the prefix lengths that occur (at most 33), longest first.
 
-    One broadcast hash join per prefix length that occurs (at most 33), longest first; then the row of
-    the first hit.  Only for a net table of at most `max_rows` rows, which is counted first; returns
-    None beyond that and the caller takes `longest_prefix_join`.
+    Only for at most `max_rows` nets, which are counted; None beyond that and the caller takes
+    `longest_prefix_join`.
     """
     unique = cut_lineage(one_per_net(table.filter(F.col(net)["family"] == 4), net))
     if unique.count() > max_rows:
         return None
-    lengths = sorted((r.l for r in unique.select(F.col("match")["plen"].alias("l")).distinct().collect()), reverse=True)
+    lengths = unique.select(F.col("match")["plen"].alias("l")).distinct().collect()
+    return unique, sorted((r.l for r in lengths), reverse=True)
+
+
+def block_lookup_join(left: DataFrame, ip: str, table: DataFrame, net: str, max_rows: int) -> DataFrame | None:
+    """Left outer longest-prefix join of IPv4 numbers without any shuffle of `left`; None when `block_table` is."""
+    blocks = block_table(table, net, max_rows)
+    return None if blocks is None else join_block_table(left, ip, *blocks)
+
+
+def join_block_table(left: DataFrame, ip: str, unique: DataFrame, lengths: list[int]) -> DataFrame:
+    """One broadcast hash join per prefix length, longest first; then the row of the first hit."""
     found, hit = left, F.lit(None).cast("bigint")
     for l in lengths:
         nets = unique.filter(F.col("match")["plen"] == l).select(F.col("match")["lo"].alias(f"_n{l}"))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import is_host_route
-from cidrloom.operators.skew import HOT_KEYS, join_to_unique
+from cidrloom.operators.skew import join_to_unique
 from cidrloom.session import cut_lineage
 
 # Graph names and the root label.
@@ -71,8 +71,8 @@ def graph_nodes(paths: DataFrame, granularities: tuple[str, ...] = GRANULARITIES
 class Adjacency:
     """Directed edges ready for repeated frontier joins.
 
-    Edges of the nodes with most neighbours are spread over salts.  The broadcast list of such nodes has
-    at most HOT_KEYS rows; any other node holds less than 1/HOT_KEYS of the edges.
+    Edges of every node with more than EDGES_PER_SALT neighbours are spread over salts.  There are at
+    most edges / EDGES_PER_SALT such nodes; Spark broadcasts their stored list if it is small.
     """
 
     EDGES_PER_SALT = 1_000_000
@@ -82,15 +82,14 @@ class Adjacency:
         a, b = ("target", "source") if reverse else ("source", "target")
         edges = links.select("granularity", F.col(a).alias("name"), F.col(b).alias("next"))
         degrees = edges.groupBy(*KEY).count().filter(F.col("count") > per_salt)
-        degrees = degrees.orderBy(F.desc("count"), *KEY).limit(HOT_KEYS)
         self.hubs = cut_lineage(degrees.select(*KEY, F.ceil(F.col("count") / per_salt).cast("int").alias("salts")))
-        salted = edges.join(F.broadcast(self.hubs), KEY, "left")
+        salted = edges.join(self.hubs, KEY, "left")
         salt = F.pmod(F.xxhash64("next"), F.coalesce("salts", F.lit(1)))
         self.edges = cut_lineage(salted.select(*KEY, salt.cast("int").alias("salt"), "next"))
 
     def step(self, frontier: DataFrame) -> DataFrame:
         """Distinct nodes one edge away."""
-        spread = frontier.select(*KEY).join(F.broadcast(self.hubs), KEY, "left")
+        spread = frontier.select(*KEY).join(self.hubs, KEY, "left")
         spread = spread.select(*KEY, F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1)).alias("salt"))
         return self.edges.join(spread, [*KEY, "salt"]).select("granularity", F.col("next").alias("name")).distinct()
 

@@ -66,6 +66,12 @@ def current_traces(traces: DataFrame, nets: DataFrame, net: str) -> DataFrame:
     return join_to_unique(keyed, current, ["_net"]).filter("_current").drop("_net", "_current")
 
 
+def prune_counts(traces: DataFrame, current: DataFrame) -> DataFrame:
+    """`kept, pruned`: traces that `current_traces` has kept and dropped."""
+    both = traces.select(F.lit(0).alias("k")).unionByName(current.select(F.lit(1).alias("k")))
+    return both.agg(F.count_if(F.col("k") == 1).alias("kept"), (F.count_if(F.col("k") == 0) - F.count_if(F.col("k") == 1)).alias("pruned"))
+
+
 def explode_hops(traces: DataFrame) -> DataFrame:
     """One row per hop with its array position."""
     keep = ("trace_id", "range", "measured_at", "destination")

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cidrloom.functions.fields import ProjectedField, flatten_display, flatten_fields, project_fields, project_record
 from cidrloom.functions.ip import cidr_struct, ip4_number, parse_ip
-from cidrloom.operators.prefix import block_lookup_join, longest_prefix_join
+from cidrloom.operators.prefix import block_table, join_block_table, join_unique_nets, longest_prefix_join, one_per_net
 from cidrloom.plans.lookup import lookup_nets
+from cidrloom.session import cut_lineage
 
 # Fixed value: key of the lookup record inside an enriched log record.
 RECORD_KEY = "mmdb"
@@ -22,13 +25,23 @@ def lookup_join(left: DataFrame, ip: str, lookup: DataFrame, broadcast_records:
     A lookup table of at most `broadcast_records` rows (counted first) is broadcast and the left table
     is not shuffled at all; a larger one resolves every distinct address once by hash join.
     """
+    return prepared_lookup(lookup, broadcast_records)(left, ip)
+
+
+def prepared_lookup(lookup: DataFrame, broadcast_records: int = BROADCAST_RECORDS) -> Callable[[DataFrame, str], DataFrame]:
+    """The join of `lookup_join` to one lookup table, grouped, stored and counted once for any number of left tables."""
     nets = lookup_nets(lookup)
     table = nets.select("net", F.struct(*lookup.columns).alias("record"))
-    joined = block_lookup_join(left, ip, table, "net", broadcast_records)
-    if joined is None:
+    blocks = block_table(table, "net", broadcast_records)
+    unique = cut_lineage(one_per_net(table, "net")) if blocks is None else None
+
+    def join(left: DataFrame, ip: str) -> DataFrame:
+        if blocks is not None:
+            return join_block_table(left, ip, *blocks).drop("net")
         probed = left.withColumn("_probe", cidr_struct(4, 32, 0, F.col(ip)))
-        joined = longest_prefix_join(probed, "_probe", table, "net").drop("_probe")
-    return joined.drop("net")
+        return join_unique_nets(probed, "_probe", unique).drop("_probe", "net")
+
+    return join
 
 
 def record_ip(record: Column, field: str) -> Column:
@@ -50,8 +63,13 @@ def merge_record(record: Column, found: Column) -> Column:
 
 def enrich_logs(logs: DataFrame, ip_field: str, lookup: DataFrame, broadcast_records: int = BROADCAST_RECORDS) -> DataFrame:
     """`log_id, record` with the lookup record merged in.  `range` is not part of the exported record."""
+    return enrich_with(logs, ip_field, prepared_lookup(lookup, broadcast_records))
+
+
+def enrich_with(logs: DataFrame, ip_field: str, join: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
+    """`enrich_logs` with a lookup that `prepared_lookup` has made."""
     logs = logs.withColumn("_ip", record_ip(F.col("record"), ip_field)).withColumnRenamed("record", "_log")
-    joined = lookup_join(logs, "_ip", lookup, broadcast_records)
+    joined = join(logs, "_ip")
     found = F.when(F.col("record").isNotNull(), F.col("record").dropFields("range"))
     return joined.select("log_id", merge_record(F.col("_log"), found).alias("record"))
 

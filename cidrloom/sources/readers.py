@@ -79,9 +79,27 @@ def read_whois(spark: SparkSession, path: str, strict: bool = False) -> DataFram
     return last.select("r.network", "net", "r.whois")
 
 
+def json_value(text: Column) -> Column:
+    """JSON text as VARIANT, null when it is none.
+
+    VARIANT parsing refuses objects with a repeated key.  They are read a second time key by key, and the
+    last value wins; a key that is repeated deeper inside still makes the text bad.
+    """
+    entries = F.map_entries(F.from_json(text, "map<string,variant>"))
+    keys = F.transform(entries, lambda e: e["key"])
+    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
+    return F.coalesce(F.try_parse_json(text), F.to_variant_object(F.map_from_entries(last)))
+
+
+def bad_json_count(lines: DataFrame) -> DataFrame:
+    """`lines, bad_lines` of a text column `value`: what the sheet and log readers skip, blank lines apart."""
+    text = lines.filter(F.trim("value") != "")
+    return text.agg(F.count("*").alias("lines"), F.count_if(json_value(F.col("value")).isNull()).alias("bad_lines"))
+
+
 def parse_sheet_lines(lines: DataFrame) -> DataFrame:
     """Text column `value` plus `line_ord` to `ord, source, fields VARIANT`; lines that are no object go."""
-    record = lines.withColumn("fields", F.try_parse_json("value"))
+    record = lines.withColumn("fields", json_value(F.col("value")))
     record = record.filter(F.schema_of_variant("fields").startswith("OBJECT"))
 
     def text(key: str) -> Column:
@@ -121,7 +139,7 @@ def sheet_row_cidrs(rows: DataFrame) -> DataFrame:
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
     """`log_id, record VARIANT`.  `.jsonl`: one value per line, blank and bad lines skipped; else one JSON array."""
     if path.lower().endswith(".jsonl"):
-        parsed = _text(spark, path).withColumn("record", F.try_parse_json("value"))
+        parsed = _text(spark, path).withColumn("record", json_value(F.col("value")))
         return parsed.filter(F.col("record").isNotNull()).select(F.col("line_id").alias("log_id"), "record")
     whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
     is_array = F.schema_of_variant("v").startswith("ARRAY")

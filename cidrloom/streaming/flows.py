@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
-from cidrloom.plans.enrich import enrich_logs
+from cidrloom.plans.enrich import enrich_with, prepared_lookup
 from cidrloom.sources.traces import parse_trace_docs
 
 
@@ -26,10 +26,13 @@ def append_traces(
 def enrich_stream(logs: DataFrame, ip_field: str, lookup: DataFrame, sink: str, checkpoint: str, every: str | None = "5 seconds") -> StreamingQuery:
     """Stream of `log_id, record` joined to a static lookup table, one batch join per micro-batch.
 
-    Each batch writes its own folder, so a repeated batch replaces itself.
+    The lookup table is prepared once for all batches.  Each batch writes its own folder, so a repeated
+    batch replaces itself.
     """
+    join = prepared_lookup(lookup)
+
     def write(batch: DataFrame, batch_id: int) -> None:
-        enrich_logs(batch, ip_field, lookup).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
+        enrich_with(batch, ip_field, join).write.mode("overwrite").parquet(f"{sink}/batch={batch_id}")
 
     writer = logs.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()

@@ -4,7 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, ip4_number, parse_cidr, parse_ip
-from cidrloom.operators.prefix import block_lookup_join, disjoint_intervals, first_related, longest_prefix_join
+from cidrloom.operators.prefix import block_lookup_join, containing, disjoint_intervals, first_related, longest_prefix_join
 from cidrloom.operators.skew import join_to_unique
 
 
@@ -40,6 +40,28 @@ def test_longest_prefix_join_equals_brute_force(spark):
     assert got == {i: brute(net_rows, t) for i, t in probe_rows}
 
 
+def test_ipv6_longest_prefix_and_containment(spark):
+    rng = random.Random(12)
+    base = int(ipaddress.ip_address("2001:db8::"))
+    nets = {ipaddress.ip_network("2001:db8::/32"): "all", ipaddress.ip_network("::/0"): "any", ipaddress.ip_network("203.0.113.0/24"): "v4"}
+    for i in range(60):
+        plen = rng.choice([3, 12, 13, 29, 36, 40, 48, 56, 64, 96, 127, 128])
+        nets.setdefault(ipaddress.ip_network((base + (rng.getrandbits(10) << 88) + rng.getrandbits(8), plen), strict=False), f"n{i}")
+    probes = [(i, str(ipaddress.ip_address(base + (rng.getrandbits(10) << 88) + rng.getrandbits(8)))) for i in range(300)]
+    probes += [(1000, "2400::1"), (1001, "203.0.113.9"), (1002, "192.0.2.1"), (1003, "::ffff:203.0.113.9")]
+    table = spark.createDataFrame([(str(n), v) for n, v in nets.items()], "t string, owner string").select("owner", parse_cidr(F.col("t")).alias("net"))
+    left = spark.createDataFrame(probes, "id int, ip string").withColumn("probe", parse_ip(F.col("ip")))
+
+    def cover(text):
+        a = ipaddress.ip_address(text)
+        return [n for n in nets if n.version == a.version and a in n]
+
+    got = {r.id: r.owner for r in longest_prefix_join(left, "probe", table, "net").select("id", "owner").collect()}
+    assert got == {i: nets.get(max(cover(t), key=lambda n: n.prefixlen, default=None)) for i, t in probes}
+    pairs = containing(left.select("probe").distinct(), "probe", table, "net").join(left, "probe").select("id", "owner")
+    assert sorted(map(tuple, pairs.collect())) == sorted((i, nets[n]) for i, t in probes for n in cover(t))
+
+
 def test_block_lookup_equals_brute_force(spark):
     net_rows, probe_rows, table, left = fixture(spark, seed=2)
     left = left.withColumn("n", ip4_number(F.col("ip")))

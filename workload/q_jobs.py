@@ -18,7 +18,7 @@ from workload import inputs
 from workload.q_graph import PATHS
 from workload.q_joins import ATTACHED, DUP_SELECT, DUPLICATES, GROUPS, RANGE_WHOIS, UNMATCHED
 from workload.q_sources import AUT_JSON, CONFIG, ORIGIN_JSON, RECORD_JSON, TYPED
-from workload.q_text import CONTINENTS, PATTERNS
+from workload.q_text import CONTINENTS, NAMES, PATTERNS
 from workload.q_traces import GW_COLUMNS
 from workload.registry import query
 from workload.shapes import ip4, oracle, run, shape, staged
@@ -172,9 +172,13 @@ def j8_query(spark, d):
     return rows.groupBy("ip", "status").agg(pick("gateway_found").cast("boolean").alias("gateway_found"), F.max(F.when(F.col("status") == "missing", F.col("text"))).alias("note"), pick("whois.netname").alias("netname"))
 
 
-@query("j10_hostname_coverage", oracle(f"SELECT DISTINCT n AS ptr FROM (SELECT ptr AS n FROM routes WHERE ptr IS NOT NULL) t WHERE {UNMATCHED}", **PATHS))
+@query("j10_hostname_coverage", oracle(f"SELECT DISTINCT n AS ptr FROM (SELECT ptr AS n FROM routes WHERE ptr IS NOT NULL UNION SELECT name FROM nm) t WHERE {UNMATCHED}", **PATHS, nm=NAMES))
 def j10_coverage(spark, d):
-    return hostname_coverage(inputs.gateways(spark, d), PATTERNS)
+    # The gateways of the tables all have names that the patterns explain; these have others too.
+    found = inputs.gateways(spark, d).select(F.struct("gateway.ptr").alias("gateway"), F.transform("routes", lambda r: F.struct(r["ptr"].alias("ptr"))).alias("routes"))
+    named = F.struct(F.col("name").alias("ptr"))
+    other = run(spark, d, NAMES).select(named.alias("gateway"), F.array(named).alias("routes"))
+    return hostname_coverage(found.unionByName(other), PATTERNS)
 
 
 @query("j11_duplicate_report", oracle(f"SELECT 'conflict' AS part, CAST(count(*) AS BIGINT) AS n FROM ({DUP_SELECT}) c UNION ALL SELECT 'sheets', CAST(count(DISTINCT (file, sheet, sheettype)) AS BIGINT) FROM z_sheet UNION ALL SELECT 'unknown', CAST(count(*) AS BIGINT) FROM (SELECT DISTINCT file, sheet FROM gr g ANTI JOIN z_sheet s ON s.file = g.file AND s.sheet = g.sheet) u", **DUPLICATES))
