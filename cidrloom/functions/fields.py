@@ -47,7 +47,7 @@ def type_tag(value: Column) -> Column:
 
 def nesting(df: DataFrame, record: str) -> int:
     """Deepest nesting of objects over all records, from the braces of their JSON text outside strings."""
-    braces = F.regexp_replace(F.regexp_replace(F.to_json(record), r'"(?:[^"\\\\]|\\\\.)*+"', ""), r"[^{}]", "")
+    braces = F.regexp_replace(F.regexp_replace(F.to_json(record), r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}]", "")
 
     def walk(state: Column, brace: Column) -> Column:
         now = state["now"] + F.when(brace == "{", 1).otherwise(-1)

@@ -3,7 +3,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from cidrloom.functions.fields import ProjectedField, project_fields, project_record
+from cidrloom.functions.fields import ProjectedField, flatten_fields, nesting, project_fields, project_record
 from cidrloom.functions.ip import parse_cidr
 from cidrloom.operators import topology as G
 from cidrloom.operators import traces as T
@@ -154,3 +154,11 @@ def test_stream_of_several_batches_stages_the_lookup_once(spark, monkeypatch):
     assert rows.select("batch").distinct().count() == 3 and len(staged) == 1
     got = {r.log_id: r.o for r in rows.select("log_id", F.try_variant_get("record", "$.mmdb.owner", "string").alias("o")).collect()}
     assert got == {0: "low", 1: "low", 2: None}
+
+
+def test_flatten_passes_escaped_quotes_around_braces(spark):
+    text = r'{"a":"x \"a}b\" z","deep":{"x":{"y":1}}}'
+    df = spark.createDataFrame([(1, text), (2, r'{"a":"back\\","b":"{"}')], "id int, t string").select("id", F.parse_json("t").alias("r"))
+    assert nesting(df, "r") == 3 and nesting(df.filter("id = 2"), "r") == 1
+    nodes = {r["path"] for r in flatten_fields(df.filter("id = 1"), "r", ["id"]).collect()}
+    assert nodes == {"a", "deep", "deep.x", "deep.x.y"}
