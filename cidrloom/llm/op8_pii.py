@@ -1,11 +1,12 @@
 """Personal data, with information-theoretic sanitisation. Built-in Spark functions only.
 
 Base spans are four fixed patterns (e-mail, IPv4, payment card, phone) with their checks. Each valid value is a
-protected entity. Words within `CONTEXT` characters of an entity are its terms. The corpus gives n(t,e) (distinct texts
-where term t stands near entity e) and n(e), and over all rows n(t) (texts that hold t anywhere) and N. The disclosure of e by t
-is PMI(t;e) / IC(e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)): 1 when the term occurs only beside the entity.
-A term near the entity is generalised from `GENERALISE` on and removed from `REMOVE` on, if at least `SUPPORT` distinct
-texts show the pair: for that, exact copies are one text, so a copied page is no evidence about its own words.
+protected entity. All words of a text that holds an entity are its terms. The corpus gives n(t,e) (distinct texts
+that hold term t and entity e) and n(e), and over all rows n(t) (texts that hold t) and N. The disclosure of e by t
+is PMI(t;e) / IC(e) = log(n(t,e) N / (n(t) n(e))) / log(N / n(e)): 1 when the term occurs only with the entity.
+A term is generalised from `GENERALISE` on and removed from `REMOVE` on, if at least `SUPPORT` distinct texts show the
+pair: for that, exact copies are one text, so a copied page is no evidence about its own words. It goes wherever it
+stands, at any distance and in texts without the entity too: what discloses an entity does so in any text.
 
 Defined cases: a null text is empty and has no span; repeated rows, ids and null ids each give their row, judged by
 their text alone; an empty table gives no rows; further columns never travel in `find` and are kept by `sanitise`.
@@ -19,8 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cidrloom.llm.kit import new_path, staged
+from cidrloom.operators.skew import join_to_unique
 
-CONTEXT = 64
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.95
@@ -98,41 +99,83 @@ def with_base(docs: DataFrame, text: str) -> DataFrame:
     return out.withColumn("_spans", F.concat(*spans)).drop(*[f"_m_{k}" for k in KINDS])
 
 
-def disclosing_terms(docs: DataFrame, held: DataFrame, text: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
-    """`md5, _terms`: the spans to generalise or remove per distinct text. `held`: `md5, _text, _spans` of texts with base spans."""
-    once = held.dropDuplicates(["md5"])
-    entity = once.select("md5", "_text", F.explode("_spans").alias("s")).select("md5", "_text", F.concat_ws(":", "s.kind", "s.value").alias("entity"), F.col("s.start").alias("start"), F.col("s.end").alias("end"))
-    # One character more on the outer side tells a whole word from a cut one.
-    lo, size = F.greatest(F.col("start") - CONTEXT - 1, F.lit(0)), F.length("_text")
-    left = F.substring(F.col("_text"), lo + 1, F.col("start") - lo)
-    right = F.substring(F.col("_text"), F.col("end") + 1, F.lit(CONTEXT + 1))
-    sides = entity.select("md5", "entity", F.explode(F.array(
-        F.struct(left.alias("part"), lo.alias("at"), (lo > 0).alias("cut_head"), F.lit(False).alias("cut_tail")),
-        F.struct(right.alias("part"), F.col("end").alias("at"), F.lit(False).alias("cut_head"), (F.col("end") + CONTEXT + 1 < size).alias("cut_tail")))).alias("side")).select("md5", "entity", "side.*")
-    words = sides.withColumn("m", F.regexp_extract_all("part", F.lit(_WORD), F.lit(0)))
-    words = words.withColumn("w", F.explode(located(F.col("part"), F.col("m"), _WORD, F.lit("term"))))
-    whole = (F.col("w.start") > 0) | ~F.col("cut_head")
-    whole &= (F.col("w.end") < F.length("part")) | ~F.col("cut_tail")
-    near = words.filter(whole & (F.length("w.value") > 2)).select("md5", "entity", F.lower("w.value").alias("term"), F.col("w.value").alias("value"), (F.col("at") + F.col("w.start")).alias("start"), (F.col("at") + F.col("w.end")).alias("end"))
-    near = staged(near, "pii-terms")
-    pairs = near.select("md5", "entity", "term").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
-    n_e = near.select("md5", "entity").distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
-    # n(t) is at least the number of texts that hold t near any entity; a pair that fails with this number fails with n(t),
-    # so common words need no count over the corpus.
-    least = near.select("md5", "term").distinct().groupBy("term").agg(F.count("*").alias("n_t"))
-    total = float(docs.filter(F.col(text).isNotNull()).count())
+def _terms_of(text: Column) -> Column:
+    """The distinct terms of a text: words of three letters and more in lower case."""
+    found = F.transform(F.regexp_extract_all(text, F.lit(_WORD), F.lit(0)), F.lower)
+    return F.array_distinct(F.filter(found, lambda w: F.length(w) > 2))
+
+
+def _masked(text: Column, spans: Column) -> Column:
+    """The text with blanks of the same length in place of its base spans, whose own words are no terms."""
+    by_start = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"))))
+
+    def add(state, s):
+        fresh = F.concat(state["out"], F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.repeat(F.lit(" "), s["end"] - F.greatest(state["at"], s["start"])))
+        return F.struct(F.greatest(state["at"], s["end"]).alias("at"), F.when(s["end"] > state["at"], fresh).otherwise(state["out"]).alias("out"))
+
+    end = F.aggregate(by_start, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), add)
+    return F.when(F.size(spans) > 0, F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))).otherwise(text)
+
+
+def disclosing_terms(rows: DataFrame, text: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+    """`term, kind`: the terms to generalise or remove wherever they stand. `rows`: see `with_base`.
+
+    Filters lose no pair: a pair needs an entity and a term with `support` texts each, and as n(t,e) is at most n(e), its
+    term stands in at most N^(1-g) n(e)^g texts, g being `generalise`.
+    """
+    held = rows.filter(F.size("_spans") > 0)
+    once = staged(held.select(F.md5(text).alias("md5"), "_spans", _masked(F.col(text), F.col("_spans")).alias("_said")).dropDuplicates(["md5"]).select("md5", F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"), _terms_of(F.col("_said")).alias("terms")), "pii-once")
+    total = float(rows.filter(F.col(text).isNotNull()).count())
+    entity = once.select("md5", F.explode("entities").alias("entity"))
+    n_e = entity.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < total))
+    n_e = staged(n_e.withColumn("most", F.lit(total) ** (1 - generalise) * F.col("n_e") ** generalise + 1e-6), "pii-entities")
+    top = n_e.agg(F.max("most")).first()[0]
+    if top is None:
+        return n_e.select(F.col("entity").alias("term"), F.lit("").alias("kind")).filter("false")
+    entity = staged(join_to_unique(entity, n_e, ["entity"]).filter("n_e is not null"), "pii-entity")
+    # n(t) is at least the number of distinct texts with base spans that hold t.
+    said = once.join(entity.select("md5").distinct(), "md5", "left_semi").select("md5", F.explode("terms").alias("term"))
+    least = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
+    least = staged(least.filter((F.col("least") >= support) & (F.col("least") <= top)), "pii-least")
+    said = said.join(least, "term")
+    pairs = said.join(entity, "md5").filter("least <= most").groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("n_t")).filter(F.col("n_te") >= support)
     rare = F.log(F.lit(total) / F.col("n_e"))
     disclosure = F.when(rare > 0, F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))) / rare).otherwise(0.0)
-    pairs = staged(pairs.join(n_e, "entity").join(least, "term").filter(disclosure >= generalise).drop("n_t"), "pii-pairs")
-    terms = pairs.select("term").distinct()
-    if terms.isEmpty():
-        return near.select("md5", F.array(F.struct(F.lit("").alias("kind"), "start", "end", "value")).alias("_terms")).filter("false")
-    said = docs.select(F.explode(F.array_distinct(F.split(F.lower(F.col(text)), r"[^\p{L}\p{N}'-]++"))).alias("term"))
-    n_t = said.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
+    pairs = staged(pairs.filter(disclosure >= generalise).drop("n_t"), "pii-pairs")
+    terms = staged(pairs.select("term").distinct(), "pii-asked")
+    heard = rows.select(F.explode(_terms_of(_masked(F.col(text), F.col("_spans")))).alias("term"))
+    n_t = heard.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
     told = pairs.join(n_t, "term").withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise)
-    told = told.select("entity", "term", F.when(F.col("disclosure") >= remove, "removed").otherwise("general").alias("kind"))
-    hits = near.join(told, ["entity", "term"]).groupBy("md5", "start", "end", "value").agg(F.max("kind").alias("kind"))
-    return hits.groupBy("md5").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("_terms"))
+    told = told.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= remove, "removed").otherwise("general")).alias("kind"))
+    return staged(told, "pii-told")
+
+
+def flagged(rows: DataFrame, told: DataFrame, text: str) -> DataFrame:
+    """`_hash, _told`: the told terms that each text holds, per xxhash64 of the text.
+
+    Texts that share a hash get the terms of both; the place of each is looked for in the text itself.
+    """
+    said = rows.select(F.xxhash64(text).alias("_hash"), F.explode(_terms_of(_masked(F.col(text), F.col("_spans")))).alias("term"))
+    return staged(said.join(told, "term").groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("_told")), "pii-flagged")
+
+
+def with_terms(rows: DataFrame, found: DataFrame, text: str) -> DataFrame:
+    """Adds `_terms`, the spans of told terms in the whole text, in order of kind and start. `found`: see `flagged`."""
+    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+    said = _masked(F.col(text), F.col("_spans"))
+    pieces, words = F.split(said, _WORD, -1), F.regexp_extract_all(said, F.lit(_WORD), F.lit(0))
+
+    def add(state, pair):
+        start = state["at"] + F.length(pair["piece"])
+        end = start + F.length(pair["value"])
+        kind = F.element_at(F.col("_told"), F.lower(pair["value"]))
+        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+
+    pairs = F.zip_with(F.slice(pieces, 1, F.size(words)), words, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
+    at = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add)["found"]
+    out = rows.withColumn("_hash", F.xxhash64(text)).join(found, "_hash", "left")
+    return out.withColumn("_terms", F.when(F.col("_told").isNotNull(), F.array_sort(at)).otherwise(none)).drop("_hash", "_told")
 
 
 def _joined(spans: Column) -> Column:
@@ -142,13 +185,8 @@ def _joined(spans: Column) -> Column:
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: counts of base spans, their digest, and all spans as text."""
     rows = with_base(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text")
-    hit = F.size("_spans") > 0
-    rows = staged(rows.select("_key", "_spans", F.when(hit, F.md5("_text")).alias("md5"), F.when(hit, F.col("_text")).alias("_text")), "pii-base")
-    held = rows.filter("md5 is not null")
-    terms = disclosing_terms(docs, held.select("md5", "_text", "_spans"), text)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    found = held.select("_key", "_spans", "md5").join(terms, "md5", "left").select("_key", "_spans", F.coalesce("_terms", none).alias("_terms"))
-    found = found.unionByName(rows.filter("md5 is null").select("_key", "_spans", none.alias("_terms")))
+    rows = staged(rows, "pii-base")
+    found = with_terms(rows, flagged(rows, disclosing_terms(rows, "_text"), "_text"), "_text")
     counts = [F.size(F.filter("_spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
     base = _joined(F.col("_spans"))
     terms_text = _joined(F.col("_terms"))
@@ -170,15 +208,11 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
-    """`docs` with base spans and disclosing terms replaced in `text`; other columns stay. Clean texts are not shuffled."""
+    """`docs` with base spans and disclosing terms replaced in `text`, wherever they stand; other columns stay."""
     columns = docs.columns
-    rows = with_base(docs, text)
-    hit = F.size("_spans") > 0
-    clean = rows.filter(~hit | F.col(text).isNull()).select(columns)
     path = new_path(docs.sparkSession, "pii-held")
-    rows.filter(hit).withColumn("_md5", F.md5(text)).write.parquet(path)
-    held = docs.sparkSession.read.parquet(path)
-    terms = disclosing_terms(docs, held.select(F.col("_md5").alias("md5"), F.col(text).alias("_text"), "_spans"), text)
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    done = held.join(terms.withColumnRenamed("md5", "_md5"), "_md5", "left").withColumn(text, _replaced(F.col(text), F.concat("_spans", F.coalesce("_terms", none))))
-    return clean.unionByName(done.select(columns))
+    with_base(docs, text).write.parquet(path)
+    rows = docs.sparkSession.read.parquet(path)
+    done = with_terms(rows, flagged(rows, disclosing_terms(rows, text), text), text)
+    spans = F.concat("_spans", "_terms")
+    return done.withColumn(text, F.when(F.size(spans) > 0, _replaced(F.col(text), spans)).otherwise(F.col(text))).select(columns)

@@ -239,6 +239,21 @@ def test_pii_disclosing_terms(shared):
     assert "Zorblax" not in clean[0] and "[EMAIL]" in clean[0] and clean[100] == rows[6][1]
 
 
+def test_pii_terms_in_whole_texts(shared):
+    """A name far from its address, in a text without an address, and one that never comes near the address."""
+    filler = " ".join(f"plain talk on the weather part {'abcdefghij'[k]}" for k in range(10))
+    rows = [(k, f"Dear 'Zorblax {k} {filler} mail zq@corp.example {filler} regards, Quindle") for k in range(6)]
+    rows += [(k, f"then came zorblax {filler} {k}") for k in (50, 51, 52)] + [(53, None)] + [(100 + k, f"on some day {k} {filler}") for k in range(200)]
+    df = shared.createDataFrame(rows, "doc_id long, text string")
+    texts = dict(rows)
+    got = {r["doc_id"]: [(s.split(":")[0], texts[r["doc_id"]][int(s.split(":")[1]) : int(s.split(":")[2])]) for s in r["spans"].split(",") if s] for r in op8_pii.find(df).collect()}
+    assert all(got[k] == [("email", "zq@corp.example"), ("general", "Zorblax"), ("removed", "Dear"), ("removed", "mail"), ("removed", "regards"), ("removed", "Quindle")] for k in range(6))
+    assert got[50] == [("general", "zorblax")] and got[53] == got[100] == []
+    clean = {r["doc_id"]: r["text"] for r in op8_pii.sanitise(df).collect()}
+    assert clean[0] == rows[0][1].replace("Dear", "").replace("Zorblax", "[NAME]").replace("mail zq@corp.example", " [EMAIL]").replace("regards", "").replace("Quindle", "")
+    assert clean[50] == rows[6][1].replace("zorblax", "[WORD]") and clean[53] is None and clean[100] == texts[100]
+
+
 def test_toxicity(shared, odd):
     docs = [(k, f"plain words about weather {k} and gardens. " * 3 + f"you are a {'grumbleface' if k % 4 == 0 else 'visitor'} and more. ") for k in range(400)]
     df = shared.createDataFrame(docs, "doc_id long, text string")
