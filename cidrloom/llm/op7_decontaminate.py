@@ -4,12 +4,15 @@ Benchmark items are cut into overlapping segments of `SEGMENT` bytes. A stretch
 segment of length L shares at least L + 1 - Q (e + 1) of its q-grams, on diagonals that differ by at most e. Shared
 q-grams are counted per segment and diagonal band; bands overlap, so no such stretch is split. Regions that reach the
 bound are kept and verified by banded alignment, free at both ends of the document's side. Edits count UTF-8 bytes, after
-ASCII lower-casing and with every white-space byte taken as a blank.
+ASCII lower-casing and with every run of white space taken as one blank.
+
+Segments start every `STRIDE` bytes, half of which is no more than the edits: an exact excerpt of `SEGMENT` bytes is
+within the edits of a segment wherever it starts, and a replaced word with up to nine differing letters hides no segment.
 
 The benchmark is a stated query set: it is read in blocks of at most `BLOCK` bytes of text (or one item), every block is
 matched against all documents, and only one block is held at a time.
 
-Defined cases: null and empty texts match nothing; items of fewer than `Q` bytes are too short to be searched; repeated
+Defined cases: null and empty texts match nothing; items of fewer than `LEAST` bytes are too short to be searched; repeated
 items each report; repeated rows and null ids each give their rows; empty tables give no rows; further columns of both
 tables never travel in `matches` and stay in `clean`.
 """
@@ -25,9 +28,10 @@ from pyspark.sql import functions as F
 
 from cidrloom.llm import kit
 
-Q = 12
-SEGMENT, STRIDE = 80, 40
-EDITS = 0.05  # of a segment's length
+Q = 7
+LEAST = 12  # bytes of the shortest item
+SEGMENT, STRIDE = 80, 16
+EDITS = 0.1125  # of a segment's length: 9 of 80, a replaced word with up to nine differing letters
 BLOCK = 4_000_000
 BAND = 16  # diagonals of one band
 
@@ -43,32 +47,49 @@ def _q_hashes(raw: np.ndarray) -> np.ndarray:
     return kit.mix(kit.Hashes(kit.BYTE_CODES[raw]).of(at, at + Q))
 
 
+def _folded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Lower case, one blank for each run of white space in a row; bytes, offsets and the place of each byte in `raw`."""
+    form = _FORM[raw]
+    blank = form == 0x20
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    keep[at[:-1][at[:-1] < len(raw)]] = True
+    place = np.flatnonzero(keep)
+    return form[place], np.searchsorted(place, at), place
+
+
 class Segments:
-    """The segments of a block of items with an index of their q-grams."""
+    """The segments of a block of items with an index of the items' q-grams, each held once."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.raw, self.item, self.length = [], [], []
-        hashes, owner, place = [], [], []
+        self.raw, item, start, hashes, owner, place = [], [], [], [], [], []
+        self.base = np.zeros(len(texts) + 1, np.int64)  # where each item starts among all
         for k, text in enumerate(texts):
-            raw = _FORM[np.frombuffer((text or "").encode(), np.uint8)]
-            if len(raw) < Q:
+            raw = np.frombuffer((text or "").encode(), np.uint8)
+            raw = _folded(raw, np.array([0, len(raw)]))[0]
+            self.base[k + 1] = self.base[k] + len(raw)
+            if len(raw) < LEAST:
                 continue
             starts = list(range(0, max(1, len(raw) - SEGMENT + 1), STRIDE))
             if len(raw) > SEGMENT and starts[-1] + SEGMENT < len(raw):
                 starts.append(len(raw) - SEGMENT)
+            h = _q_hashes(raw)
+            hashes.append(h)
+            owner.append(np.full(len(h), k))
+            place.append(np.arange(len(h)))
             for s in starts:
-                piece = raw[s : s + SEGMENT]
-                h = _q_hashes(piece)
-                hashes.append(h)
-                owner.append(np.full(len(h), len(self.raw)))
-                place.append(np.arange(len(h)))
-                self.raw.append(piece)
-                self.item.append(k)
-                self.length.append(len(piece))
+                self.raw.append(raw[s : s + SEGMENT])
+                item.append(k)
+                start.append(s)
         self.ids = ids
-        self.item, self.length = np.array(self.item, np.int64), np.array(self.length, np.int64)
-        self.edits = (EDITS * self.length).astype(np.int64)
-        self.bound = np.maximum(1, self.length + 1 - Q * (self.edits + 1))
+        self.item, self.start = np.array(item, np.int64), np.array(start, np.int64)
+        self.length = np.array([len(r) for r in self.raw], np.int64)
+        # Never more edits than leave one q-gram whole.
+        self.edits = np.minimum((EDITS * self.length).astype(np.int64), self.length // Q - 1)
+        self.bound = self.length + 1 - Q * (self.edits + 1)
+        self.least = np.full(len(texts), 1 << 40)
+        np.minimum.at(self.least, self.item, self.bound)
+        self.first = self.base[self.item] + self.start
         keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
         self.keys = keys[order]
@@ -79,8 +100,24 @@ class Segments:
         self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
 
 
+def _repeated(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """All indices lo, lo + 1, .. of each range."""
+    return np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+
+
+def _bands(diagonal: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bands of each hit and the hit's index.
+
+    A band holds BAND diagonals and the edits before it, so a run of diagonals no wider than the edits lies in one band.
+    """
+    band, after = diagonal // BAND, (diagonal + edits) // BAND
+    twice = np.flatnonzero(after != band)
+    return np.concatenate((band, after[twice])), np.concatenate((np.arange(len(band)), twice))
+
+
 def _candidates(index: Segments, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows (segment, band, row) whose shared q-grams reach the bound."""
+    none = np.zeros((0, 3), np.int64)
     h = _q_hashes(raw)
     hit = np.flatnonzero(index.seen[(h >> np.uint64(64 - index.bits)).astype(np.int64)])
     row = np.searchsorted(at, hit, "right") - 1
@@ -89,27 +126,45 @@ def _candidates(index: Segments, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     size = hi - lo
     hit, row, lo, size = hit[size > 0], row[size > 0], lo[size > 0], size[size > 0]
     if not len(hit):
-        return np.zeros((0, 3), np.int64)
-    which = np.repeat(lo - np.concatenate(([0], np.cumsum(size)[:-1])), size) + np.arange(size.sum())
+        return none
+    which = _repeated(lo, size)
     place, owner, row, hit = index.place[which], index.owner[which], np.repeat(row, size), np.repeat(hit, size)
-    diagonal = hit - place + SEGMENT  # not negative
-    # A band holds BAND diagonals and the EDITS before it, so a run of diagonals no wider than the edits lies in one band.
-    band = diagonal // BAND
-    both = np.stack([np.concatenate((owner, owner)), np.concatenate((band, (diagonal + index.edits[owner]) // BAND)), np.concatenate((row, row))])
-    places = np.concatenate((hit, hit))
-    once = np.ones(both.shape[1], bool)
-    once[len(hit) :] = both[1, len(hit) :] != band
-    both, places = both[:, once], places[once]
+    # First the bands of whole items: one with fewer shared q-grams than the smallest bound has no segment that reaches it.
+    far = index.base[-1] + SEGMENT  # makes diagonals positive
+    band, of = _bands(hit - place + far, np.full(len(hit), index.edits.max()))
+    spot = band * len(index.least) + owner[of]  # a band of the block's bytes lies in few rows, which the next step tells apart
+    _, group, count = np.unique(spot, return_inverse=True, return_counts=True)
+    good = np.unique(of[count[group] >= index.least[owner[of]]])
+    place, owner, row, hit = place[good], owner[good], row[good], hit[good]
+    spot = index.base[owner] + place
+    lo, hi = np.searchsorted(index.first + index.length, spot + Q, "left"), np.searchsorted(index.first, spot, "right")
+    size = np.maximum(hi - lo, 0)
+    owner, place, row, hit = _repeated(lo, size), np.repeat(place, size), np.repeat(row, size), np.repeat(hit, size)
+    if not len(hit):
+        return none
+    band, of = _bands(hit - place + index.start[owner] + SEGMENT, index.edits[owner])
+    both, places = np.stack([owner[of], band, row[of]]), hit[of]
     order = np.lexsort((places, both[2], both[1], both[0]))
     both, places = both[:, order], places[order]
     new = np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(axis=0)))
     fresh = new | np.concatenate(([True], places[1:] != places[:-1]))  # one document q-gram counts once
-    group = np.cumsum(new) - 1
-    counts = np.bincount(group, fresh)
+    counts = np.bincount(np.cumsum(new) - 1, fresh)
     heads = both[:, new]
     return heads[:, counts >= index.bound[heads[0]]].T
 
 
+def _alike(pattern: np.ndarray, text: np.ndarray, edits: int) -> np.ndarray:
+    """Which patterns share enough four-byte grams, at any shift, with their texts to be within the edits."""
+    def grams(x):
+        return np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(x.astype(np.uint8), 4, axis=1)).view(np.uint32)[:, :, 0]
+
+    mine, its = grams(pattern), grams(text)
+    held = np.zeros(mine.shape, bool)
+    for shift in range(its.shape[1] - mine.shape[1] + 1):
+        held |= mine == its[:, shift : shift + mine.shape[1]]
+    return held.sum(axis=1) >= pattern.shape[1] + 1 - 4 * (edits + 1)
+
+
 def _verify(index: Segments, raw: np.ndarray, at: np.ndarray, found: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Fewest edits of each candidate and the document stretch that reaches them (absolute bytes)."""
     n = len(found)
@@ -119,13 +174,18 @@ def _verify(index: Segments, raw: np.ndarray, at: np.ndarray, found: np.ndarray)
             if not len(lot):
                 continue
             segment, band, row = found[lot].T
-            e = int(EDITS * length)
+            e = int(index.edits[found[lot[0], 0]])
             width = length + BAND + 3 * e
             base = band * BAND - SEGMENT - 2 * e
             where = base[:, None] + np.arange(width)
             inside = (where >= at[row][:, None]) & (where < at[row + 1][:, None])
             text = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], 0)  # 0 never equals a segment's byte
             pattern = np.stack([index.raw[s] for s in segment])
+            # The lemma again with four bytes, which few false candidates pass; alignment costs more.
+            like = _alike(pattern, text, e)
+            lot, text, pattern, base = lot[like], text[like], pattern[like], base[like]
+            if not len(lot):
+                continue
             steps = np.arange(width + 1)
             cost = np.zeros((len(lot), width + 1), np.int64)  # free start
             begin = np.broadcast_to(steps, cost.shape).copy()
@@ -151,9 +211,9 @@ def _verify(index: Segments, raw: np.ndarray, at: np.ndarray, found: np.ndarray)
 
 def find_block(index: Segments, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, segments matched, start, end, fewest edits) per row and item, in bytes of the row."""
-    raw = _FORM[raw]
     if not len(index.item) or len(raw) < Q:
         return []
+    raw, at, source = _folded(raw, at)
     found = _candidates(index, raw, at)
     if not len(found):
         return []
@@ -165,7 +225,8 @@ def find_block(index: Segments, raw: np.ndarray, at: np.ndarray) -> list[tuple[i
         spot = out.setdefault((row, int(index.item[segment])), [set(), 1 << 60, 0, 1 << 20])
         spot[0].add(segment)
         spot[1], spot[2], spot[3] = min(spot[1], a), max(spot[2], b), min(spot[3], e)
-    return [(row, item, len(s), int(a - at[row]), int(b - at[row]), e) for (row, item), (s, a, b, e) in out.items()]
+    head = lambda row: source[at[row]]
+    return [(row, item, len(s), int(source[a] - head(row)), int(source[b - 1] + 1 - head(row)), e) for (row, item), (s, a, b, e) in out.items()]
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, list[str]]]:

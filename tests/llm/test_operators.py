@@ -201,6 +201,29 @@ def test_decontamination_finds_passages_and_edits(shared, docs):
     assert op7_decontaminate.matches(rows, bench.limit(0)).count() == 0
 
 
+def test_decontamination_word_changes_and_excerpts(shared):
+    """One replaced word in items of 81 to 150 bytes, excerpts of 80 bytes that start anywhere, re-wrapped copies."""
+    words = "margin lantern copper willow thunder pebble saffron harbour mosaic velvet juniper crimson anchor bramble cobalt falcon glacier hazel indigo jasper kettle lagoon meadow nectar".split()
+    items = {n: " ".join(words[n % 7 :] + words)[:n] for n in (81, 95, 110, 120, 150)} | {400: " ".join(words[::-1] + words[::2] + words[1::3] + words)[:400]}
+    bench = shared.createDataFrame(list(items.items()), "item_id long, text string")
+    rows = {}
+    for n in (81, 95, 110, 120, 150):
+        a = items[n].index(" ", n // 2 - 6) + 1
+        b = items[n].index(" ", a)
+        other = ("qxzqxzq" * 2)[: b - a]
+        rows[n] = "zzz " + items[n][:a] + other + items[n][b:] + " yyy"
+    for a in range(0, 321, 5):
+        rows[1000 + a] = "12345 " * 9 + items[400][a : a + 80] + " 67890" * 9
+    rows[2000] = "0  0\n\t0 " + "\n        ".join(items[110].split(" ")) + "  0 \n 0"
+    df = shared.createDataFrame(list(rows.items()), "doc_id long, text string")
+    found = {(r["doc_id"], r["item_id"]): r for r in op7_decontaminate.matches(df, bench).collect()}
+    assert {(n, n) for n in (81, 95, 110, 120, 150)} <= set(found)
+    assert {(1000 + a, 400) for a in range(0, 321, 5)} <= set(found)
+    r = found[2000, 110]
+    assert r["edits"] == 0 and rows[2000][r["start"] : r["end"]].split() == items[110].split()
+    assert op7_decontaminate.clean(df, bench).count() == 0
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
