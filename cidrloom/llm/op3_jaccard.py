@@ -1,6 +1,6 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
-A text's set is its distinct 3-word shingles. Shingles are hashed into `DIMS` groups; the group counts are the text's
+A text's set is its distinct word shingles (3 words, or the width that is passed). Shingles are hashed into `DIMS` groups; the group counts are the text's
 point. The overlap of two sets is at most the sum of the smaller coordinates, so a pair, or a whole R-tree node by the
 upper corner of its box, is dropped when that sum is below what the similarity needs. Pairs that survive are verified
 on their exact sets.
@@ -115,13 +115,13 @@ def fetch_key(key: Column, text: Column) -> Column:
     return F.coalesce(key.cast("string"), F.concat(F.lit("text "), F.md5(text)))
 
 
-def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY) -> DataFrame:
+def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
     """`id, fetch, n, node, point, keys` of every row; `node` names the set, null for an empty one."""
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), fetch_key(F.col(key), F.col(text)).alias("fetch"))
 
     def work(batches):
         for part, raw, at in kit.blocks(batches, "text"):
-            codes, owner = shingles(raw, at)
+            codes, owner = shingles(raw, at, width)
             n = part.num_rows
             size = np.bincount(owner, minlength=n)
             node = np.zeros(n, np.uint64)
@@ -191,7 +191,7 @@ class RTree:
                 yield asked[q], members[m]
 
 
-def search_buckets(members: DataFrame) -> DataFrame:
+def search_buckets(members: DataFrame, similarity=SIMILARITY) -> DataFrame:
     """Candidate pairs `a, b` across components. `members`: `key, node, part, n, point` of buckets with several components."""
     size = members.groupBy("key").agg(F.count("*").alias("m"))
     rows = members.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int"))
@@ -210,7 +210,7 @@ def search_buckets(members: DataFrame) -> DataFrame:
             left = own == t.column("lo")[0].as_py()
             right = own == t.column("hi")[0].as_py()
             pairs = []
-            for q, m in RTree(points[left], n[left], part[left]).join(points[right], n[right], part[right]):
+            for q, m in RTree(points[left], n[left], part[left]).join(points[right], n[right], part[right], similarity):
                 a, b = node[right][q], node[left][m]
                 pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
             if pairs:
@@ -244,7 +244,7 @@ def bounded(pairs: DataFrame, points: DataFrame, similarity=SIMILARITY) -> DataF
     return both.filter(shared * (part + whole) >= part * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity=SIMILARITY) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
     """The pairs `a, b` whose exact sets link. Every text that takes part is fetched once, packed."""
     part_, whole = similarity
 
@@ -259,7 +259,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
     def sets(packed: list[bytes]) -> list[np.ndarray]:
         unpacker = zstandard.ZstdDecompressor()
         raw, at = kit.utf8(pa.array([unpacker.decompress(p) for p in packed], pa.large_binary()))
-        codes, owner = shingles(raw, at)
+        codes, owner = shingles(raw, at, width)
         return np.split(codes, np.searchsorted(owner, np.arange(1, len(packed))))
 
     def named(batches):  # rows that share an id but not the text drop out here
@@ -267,7 +267,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
             keep = []
             for p, node in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
                 raw, at = kit.utf8(pa.array([zstandard.ZstdDecompressor().decompress(p)], pa.large_binary()))
-                codes, _ = shingles(raw, at)
+                codes, _ = shingles(raw, at, width)
                 with np.errstate(over="ignore"):
                     total = kit.mix(codes + np.uint64(19)).sum(dtype=np.uint64)
                 keep.append(int(kit.mix(np.array([total + np.uint64(len(codes))], np.uint64)).view(np.int64)[0]) == node)
@@ -317,9 +317,9 @@ def open_buckets(members: DataFrame, part: DataFrame) -> DataFrame:
 # ---- the join -------------------------------------------------------------------------------------------------------
 
 
-def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity=SIMILARITY) -> DataFrame:
+def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
     """`key, n, component, node` per row; `component` is the smallest id of its connected group."""
-    rows = staged(profiles(docs, key, text, similarity), "profiles")
+    rows = staged(profiles(docs, key, text, similarity, width), "profiles")
     nodes = rows.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"))
     points = rows.filter("node is not null").select("node", "n", "point").dropDuplicates(["node"])
     keyed = rows.filter("node is not null").select(F.explode("keys").alias("key"), "node")
@@ -328,20 +328,20 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     centre = centres(members)
     best = F.max_by("centre", F.struct("met", "centre"))
     star = members.join(centre, "key").filter("node != centre").groupBy(F.col("node").alias("a")).agg(best.alias("b"))
-    links = staged(verified(bounded(star, points, similarity), nodes, docs, key, text, similarity), "links")
+    links = staged(verified(bounded(star, points, similarity), nodes, docs, key, text, similarity, width), "links")
     # Open buckets, which still hold several components: every node against the centre of each of them.
     part = staged(components(links), "parts")
     placed = staged(open_buckets(members, part), "open")
     place = lambda c: placed.select("key", F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
     hubs = centre.select("key", F.col("centre").alias("b")).join(place("b"), ["key", "b"])
     spokes = place("a").join(hubs, "key").filter("part_a != part_b").select("a", "b").distinct()
-    links = staged(links.unionByName(verified(bounded(spokes, points, similarity), nodes, docs, key, text, similarity)), "links")
+    links = staged(links.unionByName(verified(bounded(spokes, points, similarity), nodes, docs, key, text, similarity, width)), "links")
     part = staged(components(links), "parts")
     # What is still open is searched.
     rest = open_buckets(placed.select("key", "node"), part).join(points, "node")
-    pairs = staged(search_buckets(rest), "pairs")
+    pairs = staged(search_buckets(rest, similarity), "pairs")
     if not pairs.isEmpty():
-        more = verified(pairs, nodes, docs, key, text, similarity)
+        more = verified(pairs, nodes, docs, key, text, similarity, width)
         part = staged(components(links.unionByName(more)), "parts")
     named = rows.join(part, "node", "left").select("id", "n", "node", F.coalesce("component", "node").alias("part"))
     named = staged(named, "named")
@@ -349,13 +349,13 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     return named.join(first, "part", "left").select(F.col("id").alias(key), "n", F.coalesce("component", "id").alias("component"), "node")
 
 
-def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity=SIMILARITY) -> DataFrame:
+def one_of_each(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
     """`docs` with one row of each group: the one whose id names the group.
 
     Texts without words are linked with nothing and stay. Rows with a null id cannot name a group and stay. Of rows that
     repeat an id, one stays.
     """
-    groups = grouped(docs, key, text, similarity)
+    groups = grouped(docs, key, text, similarity, width)
     keep = groups.filter("component is not null").select(F.col("component").alias("_keep")).distinct()
     named = docs.filter(F.col(key).isNotNull())
     kept = named.join(keep, F.col(key) == F.col("_keep"), "left_semi")

@@ -13,13 +13,15 @@ from pyspark.sql import functions as F
 from cidrloom.llm import op2_quality, op3_jaccard, op4_bpe, op7_decontaminate, op8_pii
 from cidrloom.llm.kit import new_path, table
 
+NEAR, NEAR_WORDS = (80, 100), 5  # near copies share 80 % of their five-word shingles
+
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return op2_quality.keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return op3_jaccard.one_of_each(docs)
+    return op3_jaccard.one_of_each(docs, similarity=NEAR, width=NEAR_WORDS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -325,3 +325,23 @@ def test_pipeline_against_plain_version(shared, texts):
     assert {i for i in firsts if not any(t in texts[i] for t in items)} >= set(made)
     assert len(made) >= 0.9 * len(firsts) - len([i for i in firsts if any(t in texts[i] for t in items)])
     assert len(corpus_pipeline.STAGES) == 5 and "op1_suffix_dedup" in QUERIES
+
+
+def test_pipeline_near_duplicates_equal_plain_version(shared, docs, texts):
+    """Five-word shingles, similarity 0.8: exact ids, with a copy of 200 words that has four edits."""
+    base = [f"term{i}" for i in range(200)]
+    edited = [f"other{i}" if i in (30, 80, 120, 170) else w for i, w in enumerate(base)]
+    rows = [(i, texts[i]) for i in sorted(texts)] + [(10**6, " ".join(base)), (10**6 + 1, " ".join(edited))]
+    lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    sets, group = {}, {}
+    for i, t in rows:
+        w = re.findall(r"[^\x20\x09-\x0D]+", t.translate(lower))
+        sets[i] = {tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))} if w else set()
+        group[i] = {i}
+    for a, b in combinations(sets, 2):
+        if sets[a] and sets[b] and group[a] is not group[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+            both = group[a] | group[b]
+            group.update(dict.fromkeys(both, both))
+    df = shared.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(shared, df, SF).select("doc_id").collect())
+    assert got == [i for i in sets if min(group[i]) == i] and 10**6 in got and 10**6 + 1 not in got
