@@ -40,6 +40,27 @@ def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
 
+class Tables:
+    """Stored intermediate tables of one job; `drop` deletes those that a later stored table has replaced."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._path = spark, {}
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        """Write `df` to the shared folder and read it back: cuts lineage, survives lost executors, has a known size."""
+        schema, path = df.schema, new_path(self.spark, name)
+        df.write.parquet(path)
+        out = self.spark.read.schema(schema).parquet(path)
+        self._path[id(out)] = (out, path)
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            _, path = self._path.pop(id(df))
+            place = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
 # ---- UTF-8 blocks ---------------------------------------------------------------------------------------------------
 
 

@@ -15,6 +15,7 @@ from cidrloom.llm.op7_decontaminate import matches as op7_matches
 from cidrloom.llm.op8_pii import find as op8_pii_find
 from cidrloom.llm.op9_toxicity import score as op9_score
 from cidrloom.llm.op10_warc import round_trip as op10_round_trip
+from cidrloom.llm.op13_topk import top_k as op13_top_k
 from cidrloom.llm.kit import table
 
 QUERIES: dict[str, Callable] = {}
@@ -77,3 +78,21 @@ def op3_jaccard_join(spark, sf_dir):
 @query
 def op1_suffix_dedup(spark, sf_dir):
     return op1_dedup(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query
+def op13_topk_search(spark, sf_dir):
+    return op13_top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+ORACLES["op13_topk_search"] = """
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e FROM embeddings
+    WHERE len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), scored AS (
+    SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
+    FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0
+)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INTEGER AS rank, vec_id, score
+FROM scored QUALIFY rank <= 5
+"""
