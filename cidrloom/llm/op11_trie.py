@@ -37,7 +37,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cidrloom.llm.kit import Tables
-from cidrloom.operators.skew import join_to_unique
+from cidrloom.operators.skew import join_counted
 
 SHARED, GROUP = 9, 5  # turns taken from the conversation at the group's head: crc32(id) % SHARED; ids are grouped by GROUP
 CHUNK = 256
@@ -84,11 +84,15 @@ def turns(conversations: DataFrame, tables: Tables) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.full(len(conv), part, np.int32)), batch.column(0), pa.array(at.astype(np.int64)), batch.column(2), batch.column(3).cast(pa.int64())], names=["part", "conv_id", "at", "code", "bytes"])
 
     placed = tables.keep(dealt.mapInArrow(work, "part int, conv_id bigint, at bigint, code binary, bytes bigint"), "trie-placed")
-    # Only the last conversation of a partition can go on in a later one: at most one row per partition.
-    ends = placed.groupBy("part").agg(F.max("conv_id").alias("conv_id")).select("conv_id").distinct()
-    counts = placed.join(F.broadcast(ends), "conv_id").groupBy("conv_id", "part").agg(F.count("*").alias("m"))
-    before = Window.partitionBy("conv_id").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    shift = counts.select("conv_id", "part", F.sum("m").over(before).alias("shift")).filter("shift > 0")
+    # A conversation that ends a partition may go on in later ones: one row per partition comes to the driver.
+    ends = placed.groupBy("part").agg(F.max(F.struct("conv_id", "at")).alias("last")).orderBy("part").collect()
+    shifts, open_, before = [], None, 0
+    for part, (conv, at) in ends:
+        if open_ is not None:
+            shifts.append((open_, part, before))
+        before = (before if conv == open_ else 0) + at + 1
+        open_ = conv
+    shift = tables.spark.createDataFrame(shifts, "conv_id bigint, part int, shift bigint")
     return placed.join(F.broadcast(shift), ["conv_id", "part"], "left").select("conv_id", (F.col("at") + F.coalesce("shift", F.lit(0))).alias("pos"), "code", "bytes")
 
 
@@ -96,21 +100,34 @@ def taken(conv: Column) -> Column:
     return (F.crc32(conv.cast("string").cast("binary")) % SHARED).cast("int")
 
 
-def rebuilt(rows: DataFrame, heads: DataFrame) -> DataFrame:
-    """Turns of the rebuilt conversations. `heads`: `conv_id, n` of all conversations, stored."""
-    base = F.col("conv_id") - F.col("conv_id") % GROUP
-    start = rows.filter((F.col("conv_id") % GROUP == 0) & (F.col("pos") < SHARED - 1))
+def sequences(rows: DataFrame, tables: Tables, chunk: int = CHUNK) -> tuple[DataFrame, bool]:
+    """`conv_id, chunk, turns, last` of the rebuilt conversations, turnless ones included, and whether any has several chunks.
+
+    Lent turns and own turns meet in one grouping. As a conversation takes less than a chunk, only its first chunk changes,
+    and that keeps its length unless the head of the group had too few turns to lend.
+    """
+    base = F.col("conv_id") % GROUP == 0
+    own = rows.select("conv_id", F.floor(F.col("pos") / chunk).alias("chunk"), F.when(base | (F.col("pos") >= taken(F.col("conv_id"))), 1).otherwise(2).alias("side"), "pos", "code", "bytes")
     # The head of a group lends its first turns to the other ids of the group: at most 8 of them, or 4 on either side of 0.
     steps = F.filter(F.sequence(F.lit(1 - GROUP), F.lit(GROUP - 1)), lambda r: (r != 0) & ((F.col("conv_id") == 0) | (F.signum(F.col("conv_id")) == F.signum(r))))
-    lent = start.withColumn("step", F.explode(steps)).withColumn("conv_id", F.expr("try_add(conv_id, step)")).drop("step")
-    lent = lent.filter(F.col("pos") < taken(F.col("conv_id"))).join(heads.select("conv_id"), "conv_id", "left_semi")
-    # Own turns follow those that were there to take.
-    bases = heads.select(F.col("conv_id").alias("base"), F.col("n").alias("there"))
-    gap = heads.select("conv_id", base.alias("base"), taken(F.col("conv_id")).alias("h")).filter("conv_id != base").join(bases, "base", "left")
-    gap = gap.select("conv_id", (F.col("h") - F.least("h", F.coalesce("there", F.lit(0)))).alias("gap")).filter("gap > 0")
-    own = rows.filter((F.col("conv_id") % GROUP == 0) | (F.col("pos") >= taken(F.col("conv_id"))))
-    own = join_to_unique(own, gap, ["conv_id"])
-    return lent.unionByName(own.withColumn("pos", F.col("pos") - F.coalesce("gap", F.lit(0))).drop("gap"))
+    lent = rows.filter(base & (F.col("pos") < SHARED - 1)).withColumn("step", F.explode(steps)).withColumn("conv_id", F.expr("try_add(conv_id, step)"))
+    lent = lent.filter(F.col("pos") < taken(F.col("conv_id"))).select("conv_id", F.lit(0).cast("bigint").alias("chunk"), F.lit(0).alias("side"), "pos", "code", "bytes")
+    turn = F.when(F.col("side") < 2, F.struct("side", "pos", "code", "bytes"))
+    made = own.unionByName(lent).groupBy("conv_id", "chunk").agg(F.array_sort(F.collect_list(turn)).alias("turns"), F.max("side").alias("side"), F.count_if(F.col("side") == 0).alias("lent"))
+    # Ids that were only lent to do not exist.
+    made = tables.keep(made.filter("side > 0").drop("side"), "trie-chunks")
+    most = made.agg(F.max("chunk")).first()[0]
+    if not most:
+        return made.withColumn("last", F.lit(True)), False
+    gap = F.when(base, 0).otherwise(taken(F.col("conv_id")) - F.col("lent"))
+    moved = made.filter("chunk = 0").select("conv_id", gap.alias("gap")).filter("gap > 0").join(made.filter("chunk > 0").select("conv_id").distinct(), "conv_id", "left_semi")
+    moved = tables.keep(moved, "trie-moved")
+    again = made.join(moved, "conv_id").select("conv_id", "gap", F.explode("turns").alias("t"))
+    pos = F.col("t.pos") - F.when(F.col("t.side") == 1, F.col("gap")).otherwise(0)
+    again = again.select("conv_id", F.struct("t.side", pos.alias("pos"), "t.code", "t.bytes").alias("t")).groupBy("conv_id", F.floor(F.col("t.pos") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list("t")).alias("turns"))
+    whole = tables.keep(made.drop("lent").join(moved, "conv_id", "left_anti").unionByName(again), "trie-chunks")
+    final = whole.groupBy("conv_id").agg(F.max("chunk").alias("final"))
+    return whole.join(final, "conv_id").select("conv_id", "chunk", "turns", (F.col("chunk") == F.col("final")).alias("last")), True
 
 
 # ---- names ----------------------------------------------------------------------------------------------------------
@@ -139,7 +156,7 @@ def cut(start: bytes, codes: list[bytes], chunk: int = CHUNK) -> list[bytes]:
 def starts(chunks: DataFrame, tables: Tables, chunk: int = CHUNK) -> DataFrame | None:
     """`conv_id, chunk, start` for chunks after the first, one more than a conversation's last whole chunk included.
 
-    Null when no conversation fills a chunk.
+    None when no conversation fills a chunk.
     """
     whole = chunks.filter(F.size("turns") == chunk)
     last = whole.agg(F.max("chunk")).first()[0]
@@ -168,7 +185,7 @@ def starts(chunks: DataFrame, tables: Tables, chunk: int = CHUNK) -> DataFrame |
 
 
 def paths(chunks: DataFrame, begun: DataFrame | None, chunk: int = CHUNK) -> DataFrame:
-    """`conv_id, chunk, start, names, bytes`: chunks with the names of their prefixes."""
+    """`conv_id, chunk, start, names, bytes, last`: chunks with the names of their prefixes."""
     if begun is None:
         ready = chunks.withColumn("start", F.lit(bytearray(ROOT))).withColumn("end", F.lit(None).cast("binary"))
     else:
@@ -182,10 +199,10 @@ def paths(chunks: DataFrame, begun: DataFrame | None, chunk: int = CHUNK) -> Dat
             for start, end, codes in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), batch.column(4).to_pylist(), strict=True):
                 here = cut(start, codes, chunk)
                 names.append(here if len(codes) < chunk else [*here, end])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(names, pa.list_(pa.binary())), batch.column(5)], names=["conv_id", "chunk", "start", "names", "bytes"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), batch.column(2), pa.array(names, pa.list_(pa.binary())), batch.column(5), batch.column(6)], names=["conv_id", "chunk", "start", "names", "bytes", "last"])
 
-    parts = ready.select("conv_id", "chunk", "start", "end", F.transform("turns", lambda t: t["code"]).alias("codes"), F.transform("turns", lambda t: t["bytes"]).alias("bytes"))
-    return parts.mapInArrow(work, "conv_id bigint, chunk bigint, start binary, names array<binary>, bytes array<bigint>")
+    parts = ready.select("conv_id", "chunk", "start", "end", F.transform("turns", lambda t: t["code"]).alias("codes"), F.transform("turns", lambda t: t["bytes"]).alias("bytes"), "last")
+    return parts.mapInArrow(work, "conv_id bigint, chunk bigint, start binary, names array<binary>, bytes array<bigint>, last boolean")
 
 
 # ---- members that end at a node -------------------------------------------------------------------------------------
@@ -235,57 +252,72 @@ def ends_digest(ends: DataFrame) -> DataFrame:
 def trie(conversations: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """One row per node: `conv_id, depth, parent_conv_id, n_convs, n_children, n_leaves, saved_tokens, ends_sha256`.
 
-    `chunk`, a power of two, is the most turns in a row.
+    `chunk`, a power of two of at least `SHARED`, is the most turns in a row.
     """
     tables = Tables(conversations.sparkSession)
-    rows = tables.keep(turns(conversations, tables), "trie-turns")
-    heads = tables.keep(rows.groupBy("conv_id").agg(F.count("*").alias("n")), "trie-heads")
-    made = rebuilt(rows, heads).groupBy("conv_id", F.floor(F.col("pos") / chunk).alias("chunk")).agg(F.array_sort(F.collect_list(F.struct("pos", "code", "bytes"))).alias("turns"))
-    chunks = tables.keep(made, "trie-chunks")
+    chunks, several = sequences(turns(conversations, tables), tables, chunk)
     path = tables.keep(paths(chunks, starts(chunks, tables, chunk), chunk), "trie-paths")
-    tables.drop(rows, chunks)
+    root_conv, n_convs = path.filter("chunk = 0").agg(F.min("conv_id"), F.count("*")).first()
+    if not n_convs:
+        empty = "conv_id bigint, depth bigint, parent_conv_id bigint, n_convs bigint, n_children bigint, n_leaves bigint, saved_tokens bigint, ends_sha256 string"
+        return tables.spark.createDataFrame([], empty)
 
     # One row per turn: the node it leads to, and the one it comes from.
     steps = path.select("conv_id", "start", "chunk", "names", F.posexplode(F.arrays_zip("names", "bytes")).alias("at", "to"))
     steps = steps.select("conv_id", F.col("to.names").alias("name"), F.when(F.col("at") == 0, F.col("start")).otherwise(F.col("names")[F.col("at") - 1]).alias("parent"), (F.col("chunk") * chunk + F.col("at") + 1).alias("depth"), F.col("to.bytes").alias("bytes"))
-    root = heads.agg(F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs")).filter("n_convs > 0")
-    root = root.select(F.lit(bytearray(ROOT)).alias("name"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("bigint").alias("depth"), F.lit(0).cast("bigint").alias("bytes"), "conv_id", "n_convs")
     nodes = steps.groupBy("name").agg(F.first("parent").alias("parent"), F.first("depth").alias("depth"), F.first("bytes").alias("bytes"), F.min("conv_id").alias("conv_id"), F.count("*").alias("n_convs"))
-    nodes = tables.keep(nodes.unionByName(root), "trie-nodes")
-    children = nodes.filter("depth > 0").groupBy(F.col("parent").alias("name")).agg(F.count("*").alias("n_children"))
-    nodes_ = nodes.join(children, "name", "left").withColumn("n_children", F.coalesce("n_children", F.lit(0)))
-    nodes_ = nodes_.withColumn("weight", (F.col("n_convs") - 1) * F.col("bytes")).withColumn("leaf", (F.col("n_children") == 0).cast("bigint"))
-    nodes_ = tables.keep(nodes_, "trie-nodes")
-    tables.drop(nodes)
-    nodes = nodes_
+    nodes = tables.keep(nodes, "trie-nodes")
+    empty_name = F.lit(bytearray(ROOT))
+    zero = F.lit(0).cast("bigint")
+    root = tables.spark.range(1).select(empty_name.alias("name"), F.lit(None).cast("binary").alias("parent"), zero.alias("depth"), zero.alias("bytes"), F.lit(root_conv).cast("bigint").alias("conv_id"), F.lit(n_convs).cast("bigint").alias("n_convs"))
+    # Each node and, under its parent's name, a mark that it is a child.
+    fields = ["parent", "depth", "bytes", "conv_id", "n_convs"]
+    own = nodes.unionByName(root).select("name", F.struct(*fields).alias("node"), zero.alias("child"))
+    marks = nodes.select(F.col("parent").alias("name"), F.lit(None).cast(own.schema["node"].dataType).alias("node"), F.lit(1).cast("bigint").alias("child"))
+    known = own.unionByName(marks).groupBy("name").agg(F.first("node", True).alias("node"), F.sum("child").alias("n_children")).select("name", "node.*", "n_children")
 
     # Sums along the owned part of each path, from its end: inside chunks, then over the sums of chunks.
-    place = F.floor((F.col("depth") - 1) / chunk)
-    owned = nodes.select("name", "conv_id", "depth", "weight", "leaf", place.alias("chunk"))
-    up = lambda *keys: Window.partitionBy(*keys)
-    sums = owned.groupBy("conv_id", "chunk").agg(F.sum("weight").alias("sum"), F.sum("leaf").alias("leaf"), F.min("depth").alias("low"))
-    later = up("conv_id").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
-    sums = tables.keep(sums.select("conv_id", "chunk", "sum", "leaf", "low", F.coalesce(F.sum("sum").over(later), F.lit(0)).alias("below"), F.coalesce(F.sum("leaf").over(later), F.lit(0)).alias("leaves_below")), "trie-sums")
-    own_sum = F.sum("weight").over(up("conv_id", "chunk").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    own_leaf = F.sum("leaf").over(up("conv_id", "chunk").orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0))
-    inside = owned.select("name", "conv_id", "chunk", own_sum.alias("w"), own_leaf.alias("l")).join(sums.select("conv_id", "chunk", "below", "leaves_below"), ["conv_id", "chunk"])
-    inside = inside.select("name", (F.col("w") + F.col("below")).alias("saved"), (F.col("l") + F.col("leaves_below")).alias("leaves"))
-    # A whole path, grafted onto each of its ancestors.
-    whole = sums.groupBy("conv_id").agg(F.min("low").alias("low"), F.sum("sum").alias("w"), F.sum("leaf").alias("l"))
-    ancestors = path.select("conv_id", "chunk", "names").join(whole, "conv_id").filter(F.col("chunk") * chunk + 1 < F.col("low"))
-    ancestors = ancestors.select(F.explode(F.slice("names", F.lit(1), F.least(F.size("names"), (F.col("low") - 1 - F.col("chunk") * chunk).cast("int")))).alias("name"), F.col("w").alias("saved"), F.col("l").alias("leaves"))
-    top = whole.filter("low > 0").agg(F.sum("w").alias("saved"), F.sum("l").alias("leaves")).filter("leaves is not null").select(F.lit(bytearray(ROOT)).alias("name"), "saved", "leaves")
-    totals = inside.unionByName(ancestors).unionByName(top).groupBy("name").agg(F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"))
+    weighted = known.withColumn("weight", (F.col("n_convs") - 1) * F.col("bytes")).withColumn("leaf", (F.col("n_children") == 0).cast("bigint"))
+    weighted = weighted.withColumn("chunk", F.greatest(zero, F.floor((F.col("depth") - 1) / chunk)))
+    part = Window.partitionBy("conv_id", "chunk")
+    tail = part.orderBy(F.col("depth").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    owned = weighted.select("name", *fields, "n_children", "chunk", F.sum("weight").over(tail).alias("saved"), F.sum("leaf").over(tail).alias("leaves"),
+                            F.sum("weight").over(part).alias("w"), F.sum("leaf").over(part).alias("l"), F.min("depth").over(part).alias("low"))
+    owned = tables.keep(owned.withColumn("heads", F.col("depth") == F.col("low")), "trie-owned")
+    tables.drop(nodes)
+    whole = owned.filter("heads").select("conv_id", "chunk", "low", "w", "l")
+    if several:
+        later = Window.partitionBy("conv_id").orderBy(F.col("chunk").desc()).rowsBetween(Window.unboundedPreceding, -1)
+        below = whole.select("conv_id", "chunk", F.coalesce(F.sum("w").over(later), zero).alias("bw"), F.coalesce(F.sum("l").over(later), zero).alias("bl"))
+        rest = owned.join(below, ["conv_id", "chunk"]).withColumn("saved", F.col("saved") + F.col("bw")).withColumn("leaves", F.col("leaves") + F.col("bl")).drop("bw", "bl")
+        whole = whole.groupBy("conv_id").agg(F.min("low").alias("low"), F.sum("w").alias("w"), F.sum("l").alias("l"))
+    else:
+        rest, whole = owned, whole.drop("chunk")
+    # A whole path, grafted onto each of its ancestors; the root is one of them unless it is owned.
+    above = path.select("conv_id", "chunk", "names").join(whole, "conv_id").filter("low > 0")
+    ancestors = F.slice("names", F.lit(1), F.greatest(F.lit(0), F.least(F.size("names"), (F.col("low") - 1 - F.col("chunk") * chunk).cast("int"))))
+    ancestors = F.when(F.col("chunk") == 0, F.concat(F.array(empty_name), ancestors)).otherwise(ancestors)
+    grafts = above.select(F.explode(ancestors).alias("name"), F.col("w").alias("saved"), F.col("l").alias("leaves"))
 
     # Where conversations end: at their last node, or at the root without turns.
-    last = path.groupBy("conv_id").agg(F.max_by(F.element_at("names", -1), "chunk").alias("name"))
-    ends = heads.select("conv_id").join(last, "conv_id", "left").select("conv_id", F.coalesce("name", F.lit(bytearray(ROOT))).alias("name"))
-    digest = ends_digest(ends)
-    nothing = hashlib.sha256(b"").hexdigest()
-    out = nodes.join(totals, "name").join(digest, "name", "left").select("name", "parent", "conv_id", "depth", "n_convs", "n_children", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(nothing)).alias("ends_sha256"))
-    out = tables.keep(out, "trie-out")
-    parents = nodes.filter("n_children > 0").select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
-    out_ = join_to_unique(out, parents, ["parent"]).select("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256")
-    done = tables.keep(out_, "trie")
-    tables.drop(heads, path, nodes, sums, out)
+    ends = ends_digest(path.filter("last").select(F.coalesce(F.try_element_at("names", F.lit(-1)), empty_name).alias("name"), "conv_id"))
+
+    kept = ["parent", "depth", "conv_id", "n_convs", "n_children", "heads"]
+    node = F.struct(*kept)
+    whole_rows = rest.select("name", node.alias("node"), "saved", "leaves", F.lit(None).cast("string").alias("ends_sha256"))
+    nothing = F.lit(None).cast(whole_rows.schema["node"].dataType).alias("node")
+    rows = whole_rows.unionByName(grafts.select("name", nothing, "saved", "leaves", F.lit(None).cast("string").alias("ends_sha256")))
+    rows = rows.unionByName(ends.select("name", nothing, zero.alias("saved"), zero.alias("leaves"), "ends_sha256"))
+    out = rows.groupBy("name").agg(F.first("node", True).alias("node"), F.sum("saved").alias("saved_tokens"), F.sum("leaves").alias("n_leaves"), F.max("ends_sha256").alias("ends_sha256"))
+    out = tables.keep(out.select("name", "node.*", "n_leaves", "saved_tokens", F.coalesce("ends_sha256", F.lit(hashlib.sha256(b"").hexdigest())).alias("ends_sha256")), "trie-out")
+    tables.drop(path, owned)
+
+    # Inside a path the parent has the same smallest member; only heads of paths look theirs up.
+    result = ["conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_tokens", "ends_sha256"]
+    near = F.when(~F.col("heads"), F.col("conv_id")).when(F.col("parent") == empty_name, F.lit(root_conv))
+    simple = ~F.col("heads") | F.col("parent").isNull() | (F.col("parent") == empty_name)
+    names = out.select(F.col("name").alias("parent"), F.col("conv_id").alias("parent_conv_id"))
+    asked = join_counted(out.filter(~simple), names, out.select(F.col("name").alias("parent"), "n_children"), "parent", "n_children")
+    done = tables.keep(out.filter(simple).withColumn("parent_conv_id", near).select(result).unionByName(asked.select(result)), "trie")
+    tables.drop(out)
     return done

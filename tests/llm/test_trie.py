@@ -59,7 +59,7 @@ def _rows():
     return rows + same + long + odd
 
 
-@pytest.mark.parametrize("chunk", [4, 256])
+@pytest.mark.parametrize("chunk", [16, 256])
 def test_against_plain_version(shared, chunk):
     """Copies, long conversations over many chunks, negative ids, missing heads, nulls, ties, repeated rows."""
     rows = _rows()
