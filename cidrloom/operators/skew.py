@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 HOT_KEYS = 1000
 HOT_SPREAD = 4096
+COPIES = 64
 
 
 def join_to_unique(left: DataFrame, right: DataFrame, on: list[str], hot_keys: int = HOT_KEYS) -> DataFrame:
@@ -32,3 +33,21 @@ def join_to_unique(left: DataFrame, right: DataFrame, on: list[str], hot_keys: i
     joined = tagged.join(right.withColumn("_salt", F.lit(0).cast("bigint")), [*on, "_salt"], "left")
     values = [F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(c)).alias(c) for c in payload]
     return joined.select(*left.columns, *values)
+
+
+def join_counted(left: DataFrame, right: DataFrame, counts: DataFrame, key: str, rows: str, hot_keys: int = HOT_KEYS, copies: int = COPIES) -> DataFrame:
+    """Left outer join to a table with one row per key; `counts` holds the number `rows` of left rows per key, stored.
+
+    The counts name the hot keys, so `left` is read once.  The rows of the `hot_keys` most frequent keys are dealt to
+    `copies` copies of their right row; only those keys are broadcast.
+    """
+    payload = [c for c in right.columns if c != key]
+    hot = F.broadcast(counts.orderBy(F.desc(rows), key).limit(hot_keys).select(key, F.lit(True).alias("_hot")))
+    spread = F.pmod(F.monotonically_increasing_id(), F.lit(copies)).cast("int")
+    # Null keys match nothing and would also meet in one task.
+    deal = F.when(F.col("_hot"), spread).when(F.col(key).isNull(), -1 - spread).otherwise(0)
+    dealt = left.join(hot, key, "left").withColumn("_copy", deal)
+    every = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(copies - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.join(hot, key, "left").withColumn("_copy", F.explode(every))
+    joined = dealt.join(copied.select(key, "_copy", *payload), [key, "_copy"], "left")
+    return joined.select(*left.columns, *payload)
