@@ -134,7 +134,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Hashes:
-    """Hashes of any stretch of a sequence of 64-bit codes, from prefix sums of a polynomial modulo 2**64."""
+    """Hashes of any stretch of a sequence of 64-bit codes, from prefix sums of a polynomial modulo 2**64.
+
+    For stretches of a few hundred codes: modulo a power of two, two letters in Thue-Morse order collide from 1,024 codes
+    on, whatever the codes. `stretch_hashes` and `PrimeHashes` have no such weakness.
+    """
 
     def __init__(self, codes: np.ndarray):
         up, self._down = _powers(len(codes) + 1)
@@ -145,6 +149,80 @@ class Hashes:
         return (self._sum[end] - self._sum[start]) * self._down[start]
 
 
+_PRIME = np.uint64((1 << 61) - 1)
+_BASE = 0x1D2C3B4A59687F6D % ((1 << 61) - 1)
+
+
+def _folded(x: np.ndarray) -> np.ndarray:
+    """Values below 2**64 modulo the prime."""
+    x = (x & _PRIME) + (x >> np.uint64(61))
+    return np.where(x >= _PRIME, x - _PRIME, x)
+
+
+def _times(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Products modulo the prime, from halves of 31 and 30 bits."""
+    low31, low30 = np.uint64((1 << 31) - 1), np.uint64((1 << 30) - 1)
+    al, ah, bl, bh = a & low31, a >> np.uint64(31), b & low31, b >> np.uint64(31)
+    middle = al * bh + ah * bl
+    return _folded(ah * bh * np.uint64(2) + (middle >> np.uint64(30)) + ((middle & low30) << np.uint64(31)) + al * bl)
+
+
+def _prime_powers(n: int) -> np.ndarray:
+    if len(_POWERS.get("prime", ())) < n:
+        out = np.array([1], np.uint64)
+        while len(out) < max(n, 1 << 16):
+            step = np.uint64(pow(_BASE, len(out), int(_PRIME)))
+            out = np.concatenate((out, _times(out, np.broadcast_to(step, out.shape))))
+        _POWERS["prime"] = out
+    return _POWERS["prime"][:n]
+
+
+class PrimeHashes:
+    """Hashes of stretches of any length of a sequence of codes: a polynomial modulo the prime 2**61 - 1.
+
+    Hashes of one object may be compared with each other.
+    """
+
+    def __init__(self, codes: np.ndarray):
+        self._n = len(codes)
+        up = _prime_powers(self._n + 1)
+        terms = _times(_folded(codes), up[: self._n])
+        # Sums of the upper and lower 30 bits stay below 2**64.
+        upper = np.cumsum(terms >> np.uint64(30), dtype=np.uint64) % _PRIME
+        lower = np.cumsum(terms & np.uint64((1 << 30) - 1), dtype=np.uint64) % _PRIME
+        self._sum = np.zeros(self._n + 1, np.uint64)
+        self._sum[1:] = _folded(_times(upper, np.broadcast_to(np.uint64(1 << 30), upper.shape)) + lower)
+
+    def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        rest = _folded(self._sum[end] + _PRIME - self._sum[start])
+        return _times(rest, _prime_powers(self._n + 1)[self._n - start])
+
+
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+
+
+def stretch_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of stretches of bytes: each eight bytes are scrambled with their number, and summed up."""
+    size = end - start
+    count = np.maximum((size + 7) // 8, 1)
+    last = np.cumsum(count)
+    owner = np.repeat(np.arange(len(size)), count)
+    number = np.arange(len(owner)) - (last - count)[owner]
+    words = np.ndarray((len(raw) + 1,), "<u8", np.append(raw, np.zeros(8, np.uint8)), strides=(1,))
+    value = words[np.minimum(start[owner] + 8 * number, len(raw))] & _MASKS[np.clip(size[owner] - 8 * number, 0, 8)]
+    total = np.zeros(len(owner) + 1, np.uint64)
+    np.cumsum(mix(value + mix(number.astype(np.uint64) + np.uint64(1))), out=total[1:])
+    return mix(total[last] - total[last - count] + mix(size.astype(np.uint64)))
+
+
+def chained(hashes: np.ndarray, first: np.ndarray, width: int) -> np.ndarray:
+    """Hash of the `width` neighbouring hashes from each index."""
+    out = np.full(len(first), width, np.uint64)
+    for k in range(width):
+        out = mix(out * _A + hashes[first + k])
+    return out
+
+
 # ---- words ----------------------------------------------------------------------------------------------------------
 
 SPACE = np.zeros(256, bool)
@@ -170,8 +248,7 @@ def words(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.n
 
 
 def word_hashes(raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    codes = Hashes(BYTE_CODES[raw])
-    return mix(codes.of(start, end) + (end - start).astype(np.uint64))
+    return stretch_hashes(raw, start, end)
 
 
 def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +257,7 @@ def windows(hashes: np.ndarray, row: np.ndarray, width: int) -> tuple[np.ndarray
     if n <= 0:
         return np.zeros(0, np.uint64), np.zeros(0, np.int64)
     start = np.flatnonzero(row[:n] == row[width - 1 :])
-    return mix(Hashes(hashes).of(start, start + width)), start
+    return chained(hashes, start, width), start
 
 
 def text_rows(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -62,7 +62,7 @@ def repeats(hashes: np.ndarray, row: np.ndarray, n_rows: int, min_words: int) ->
         return np.zeros(n_rows, np.int64), longest
     codes = kit.mix(hashes + kit.mix(row.astype(np.uint64) + np.uint64(1)))  # rows share no code, so no repeat crosses rows
     order = suffix_order(codes)
-    stretch = kit.Hashes(codes)
+    stretch = kit.PrimeHashes(codes)
     row_end = np.searchsorted(row, row, "right")
     a, b = order[:-1], order[1:]
     room = row_end[np.maximum(a, b)] - np.maximum(a, b)
@@ -126,7 +126,7 @@ def _repeated_lines(raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     ink = np.concatenate(([0], np.cumsum(~kit.SPACE[raw])))
     full = ink[ends] > ink[starts]
     starts, ends, row = starts[full], ends[full], row[full]
-    code = kit.mix(kit.Hashes(kit.BYTE_CODES[raw]).of(starts, ends) + (ends - starts).astype(np.uint64)) + kit.mix(row.astype(np.uint64) + np.uint64(3))
+    code = kit.stretch_hashes(raw, starts, ends) + kit.mix(row.astype(np.uint64) + np.uint64(3))
     _, first = np.unique(code, return_index=True)
     return np.bincount(row, minlength=n_rows) - np.bincount(row[first], minlength=n_rows)
 

@@ -57,8 +57,9 @@ def shingles(raw: np.ndarray, at: np.ndarray, width: int = WORDS) -> tuple[np.nd
     short = np.flatnonzero((count > 0) & (count < width))
     if len(short):
         begin = np.searchsorted(row, short)
-        whole = kit.mix(kit.Hashes(hashes).of(begin, begin + count[short]) + count[short].astype(np.uint64))
-        codes, owner = np.concatenate((codes, whole)), np.concatenate((owner, short))
+        for words in range(1, width):
+            some = count[short] == words
+            codes, owner = np.concatenate((codes, kit.chained(hashes, begin[some], words))), np.concatenate((owner, short[some]))
     _, once = np.unique(kit.mix(codes + kit.mix(owner.astype(np.uint64) + np.uint64(11))), return_index=True)
     codes, owner = codes[once], owner[once]
     by = np.argsort(owner, kind="stable")
