@@ -9,11 +9,13 @@ ASCII lower-casing and with every run of white space taken as one blank.
 Segments start every `STRIDE` bytes, half of which is no more than the edits: an exact excerpt of `SEGMENT` bytes is
 within the edits of a segment wherever it starts, and a replaced word with up to nine differing letters hides no segment.
 
-The benchmark is a stated query set: it is read in blocks of at most `BLOCK` bytes of text (or one item), every block is
-matched against all documents, and only one block is held at a time.
+The benchmark is a stated query set: it is read in blocks of at most `BLOCK` bytes of text (or one item), and every block
+is matched against all documents. One block is held at a time: a benchmark of several blocks has what each block finds
+(`matches`) or leaves (`clean`) written before the next block is read. Shared q-grams are expanded to their places in lots
+of about `LOT`, cut by items and, where one item is left, by overlapping stretches of the documents.
 
-Defined cases: null and empty texts match nothing; items of fewer than `LEAST` bytes are too short to be searched; repeated
-items each report; repeated rows and null ids each give their rows; empty tables give no rows; further columns of both
+Defined cases: null and empty texts match nothing; items of fewer than `LEAST` bytes, which a text may hold by chance, match
+texts that are the same as a whole; repeated items each report; repeated rows and null ids each give their rows; empty tables give no rows; further columns of both
 tables never travel in `matches` and stay in `clean`.
 """
 
@@ -29,7 +31,8 @@ from pyspark.sql import functions as F
 from cidrloom.llm import kit
 
 Q = 7
-LEAST = 12  # bytes of the shortest item
+LEAST = 12  # bytes of the shortest item that is searched inside texts
+LOT = 1_000_000  # places that shared q-grams are expanded to at a time
 SEGMENT, STRIDE = 80, 16
 EDITS = 0.1125  # of a segment's length: 9 of 80, a replaced word with up to nine differing letters
 BLOCK = 4_000_000
@@ -39,12 +42,17 @@ _FORM = kit.LOWER.copy()
 _FORM[kit.SPACE] = 0x20
 
 
-def _q_hashes(raw: np.ndarray) -> np.ndarray:
+def _grams(raw: np.ndarray) -> np.ndarray:
+    """The q-grams at all bytes, as they are in the low bytes of 64-bit words."""
     n = len(raw) - Q + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    at = np.arange(n)
-    return kit.mix(kit.Hashes(kit.BYTE_CODES[raw]).of(at, at + Q))
+    padded = np.append(raw, np.zeros(8, np.uint8))
+    return np.ndarray((n,), "<u8", padded, strides=(1,)) & np.uint64((1 << 8 * Q) - 1)
+
+
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).astype(np.int64)
 
 
 def _folded(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -62,21 +70,23 @@ class Segments:
     """The segments of a block of items with an index of the items' q-grams, each held once."""
 
     def __init__(self, ids: list, texts: list[str]):
-        self.raw, item, start, hashes, owner, place = [], [], [], [], [], []
-        self.base = np.zeros(len(texts) + 1, np.int64)  # where each item starts among all
+        self.raw, item, start, grams, owner, place = [], [], [], [], [], []
+        self.short: dict[bytes, list[int]] = {}
+        self.longest = SEGMENT
         for k, text in enumerate(texts):
             raw = np.frombuffer((text or "").encode(), np.uint8)
             raw = _folded(raw, np.array([0, len(raw)]))[0]
-            self.base[k + 1] = self.base[k] + len(raw)
             if len(raw) < LEAST:
+                self.short.setdefault(raw.tobytes(), []).append(k)
                 continue
+            self.longest = max(self.longest, len(raw))
             starts = list(range(0, max(1, len(raw) - SEGMENT + 1), STRIDE))
             if len(raw) > SEGMENT and starts[-1] + SEGMENT < len(raw):
                 starts.append(len(raw) - SEGMENT)
-            h = _q_hashes(raw)
-            hashes.append(h)
-            owner.append(np.full(len(h), k))
-            place.append(np.arange(len(h)))
+            g = _grams(raw)
+            grams.append(g)
+            owner.append(np.full(len(g), k))
+            place.append(np.arange(len(g)))
             for s in starts:
                 self.raw.append(raw[s : s + SEGMENT])
                 item.append(k)
@@ -89,15 +99,22 @@ class Segments:
         self.bound = self.length + 1 - Q * (self.edits + 1)
         self.least = np.full(len(texts), 1 << 40)
         np.minimum.at(self.least, self.item, self.bound)
-        self.first = self.base[self.item] + self.start
-        keys = np.concatenate(hashes) if hashes else np.zeros(0, np.uint64)
+        self.first = np.searchsorted(self.item, np.arange(len(texts) + 1))  # segments of each item
+        keys = np.concatenate(grams) if grams else np.zeros(0, np.uint64)
         order = np.argsort(keys, kind="stable")
-        self.keys = keys[order]
-        self.owner = np.concatenate(owner)[order] if hashes else np.zeros(0, np.int64)
-        self.place = np.concatenate(place)[order] if hashes else np.zeros(0, np.int64)
+        self.keys, at = np.unique(keys[order], return_index=True)
+        self.at = np.append(at, len(keys))  # places of each q-gram, by item
+        self.owner = np.concatenate(owner)[order] if grams else np.zeros(0, np.int64)
+        self.place = np.concatenate(place)[order] if grams else np.zeros(0, np.int64)
+        self.spot = np.repeat(np.arange(len(self.keys)), np.diff(self.at)) * (len(texts) + 1) + self.owner
         self.bits = max(16, min(24, 6 + len(keys).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
-        self.seen[(self.keys >> np.uint64(64 - self.bits)).astype(np.int64)] = True
+        self.seen[_slots(self.keys, self.bits)] = True
+
+    def places(self, gram: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
+        """Range of the places of each q-gram in the items from `low` up to `high`."""
+        of = gram * (len(self.ids) + 1)
+        return np.searchsorted(self.spot, of + low), np.searchsorted(self.spot, of + high)
 
 
 def _repeated(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -116,41 +133,65 @@ def _bands(diagonal: np.ndarray, edits: np.ndarray) -> tuple[np.ndarray, np.ndar
 
 
 def _candidates(index: Segments, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Rows (segment, band, row) whose shared q-grams reach the bound."""
-    none = np.zeros((0, 3), np.int64)
-    h = _q_hashes(raw)
-    hit = np.flatnonzero(index.seen[(h >> np.uint64(64 - index.bits)).astype(np.int64)])
+    """Rows (segment, first byte of the segment's band, row) whose shared q-grams reach the bound."""
+    grams = _grams(raw)
+    hit = np.flatnonzero(index.seen[_slots(grams, index.bits)])
+    gram = np.minimum(np.searchsorted(index.keys, grams[hit]), len(index.keys) - 1)
     row = np.searchsorted(at, hit, "right") - 1
-    hit, row = hit[hit + Q <= at[row + 1]], row[hit + Q <= at[row + 1]]
-    lo, hi = np.searchsorted(index.keys, h[hit], "left"), np.searchsorted(index.keys, h[hit], "right")
-    size = hi - lo
-    hit, row, lo, size = hit[size > 0], row[size > 0], lo[size > 0], size[size > 0]
-    if not len(hit):
-        return none
+    real = (index.keys[gram] == grams[hit]) & (hit + Q <= at[row + 1])
+    hit, gram = hit[real], gram[real]
+    found, todo = [], [(0, len(hit), 0, len(index.ids))] if len(hit) else []
+    over = SEGMENT + 2 * BAND + 3 * int(index.edits.max())  # a stretch that reaches the bound is no longer
+    while todo:
+        start, end, low, high = todo.pop()
+        lo, hi = index.places(gram[start:end], low, high)
+        total = int((hi - lo).sum())
+        if not total:
+            continue
+        middle = (start + end) // 2
+        if total > LOT and high - low > 1:
+            todo += [(start, end, low, (low + high) // 2), (start, end, (low + high) // 2, high)]
+        elif total > LOT and hit[end - 1] - hit[start] > 4 * over:
+            half = int(np.searchsorted(hit, hit[middle] - over))
+            todo += [(start, middle, low, high), (max(start + 1, half), end, low, high)]
+        else:
+            found.append(_reached(index, hit[start:end], lo, hi - lo))
+    if not found:
+        return np.zeros((0, 3), np.int64)
+    segment, base = np.concatenate(found).T
+    # The rows in reach of each band, mostly one.
+    width = index.length[segment] + BAND + 3 * index.edits[segment]
+    first = np.searchsorted(at, np.clip(base, 0, len(raw) - 1), "right") - 1
+    last = np.searchsorted(at, np.clip(base + width, 0, len(raw) - 1), "right") - 1
+    size = last - first + 1
+    return np.unique(np.stack([np.repeat(segment, size), np.repeat(base, size), _repeated(first, size)], axis=1), axis=0)
+
+
+def _reached(index: Segments, hit: np.ndarray, lo: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """(segment, first byte of its band) of all segments that share enough q-grams in one band of diagonals.
+
+    Hits are sorted by item, band and place, so that those of a segment in a band follow each other.
+    """
     which = _repeated(lo, size)
-    place, owner, row, hit = index.place[which], index.owner[which], np.repeat(row, size), np.repeat(hit, size)
-    # First the bands of whole items: one with fewer shared q-grams than the smallest bound has no segment that reaches it.
-    far = index.base[-1] + SEGMENT  # makes diagonals positive
+    place, owner, hit = index.place[which], index.owner[which], np.repeat(hit, size)
+    far = index.longest + SEGMENT  # makes diagonals positive
     band, of = _bands(hit - place + far, np.full(len(hit), index.edits.max()))
-    spot = band * len(index.least) + owner[of]  # a band of the block's bytes lies in few rows, which the next step tells apart
-    _, group, count = np.unique(spot, return_inverse=True, return_counts=True)
-    good = np.unique(of[count[group] >= index.least[owner[of]]])
-    place, owner, row, hit = place[good], owner[good], row[good], hit[good]
-    spot = index.base[owner] + place
-    lo, hi = np.searchsorted(index.first + index.length, spot + Q, "left"), np.searchsorted(index.first, spot, "right")
-    size = np.maximum(hi - lo, 0)
-    owner, place, row, hit = _repeated(lo, size), np.repeat(place, size), np.repeat(row, size), np.repeat(hit, size)
-    if not len(hit):
-        return none
-    band, of = _bands(hit - place + index.start[owner] + SEGMENT, index.edits[owner])
-    both, places = np.stack([owner[of], band, row[of]]), hit[of]
-    order = np.lexsort((places, both[2], both[1], both[0]))
-    both, places = both[:, order], places[order]
-    new = np.concatenate(([True], (both[:, 1:] != both[:, :-1]).any(axis=0)))
-    fresh = new | np.concatenate(([True], places[1:] != places[:-1]))  # one document q-gram counts once
-    counts = np.bincount(np.cumsum(new) - 1, fresh)
-    heads = both[:, new]
-    return heads[:, counts >= index.bound[heads[0]]].T
+    group = band * len(index.ids) + owner[of]
+    spread = index.longest + 1
+    spot = np.sort(group * spread + place[of])
+    head = spot // spread
+    new = np.flatnonzero(np.append(True, head[1:] != head[:-1]))
+    count = np.diff(np.append(new, len(spot)))
+    owner = head[new] % len(index.ids)
+    good = count >= index.least[owner]
+    head, owner = head[new][good], owner[good]
+    size = index.first[owner + 1] - index.first[owner]
+    segment, head = _repeated(index.first[owner], size), np.repeat(head, size)
+    start = head * spread + index.start[segment]
+    shared = np.searchsorted(spot, start + index.length[segment] - Q, "right") - np.searchsorted(spot, start)
+    reach = shared >= index.bound[segment]
+    segment, head = segment[reach], head[reach]
+    return np.stack([segment, head // len(index.ids) * BAND - far + index.start[segment] - 2 * index.edits[segment]], axis=1)
 
 
 def _alike(pattern: np.ndarray, text: np.ndarray, edits: int) -> np.ndarray:
@@ -173,10 +214,9 @@ def _verify(index: Segments, raw: np.ndarray, at: np.ndarray, found: np.ndarray)
         for lot in np.array_split(np.flatnonzero(index.length[found[:, 0]] == length), max(1, n // 2000)):
             if not len(lot):
                 continue
-            segment, band, row = found[lot].T
+            segment, base, row = found[lot].T
             e = int(index.edits[found[lot[0], 0]])
             width = length + BAND + 3 * e
-            base = band * BAND - SEGMENT - 2 * e
             where = base[:, None] + np.arange(width)
             inside = (where >= at[row][:, None]) & (where < at[row + 1][:, None])
             text = np.where(inside, raw[np.clip(where, 0, len(raw) - 1)], 0)  # 0 never equals a segment's byte
@@ -211,12 +251,17 @@ def _verify(index: Segments, raw: np.ndarray, at: np.ndarray, found: np.ndarray)
 
 def find_block(index: Segments, raw: np.ndarray, at: np.ndarray) -> list[tuple[int, int, int, int, int, int]]:
     """(row, item, segments matched, start, end, fewest edits) per row and item, in bytes of the row."""
-    if not len(index.item) or len(raw) < Q:
+    if not len(raw):
         return []
     raw, at, source = _folded(raw, at)
+    head = lambda row: source[at[row]]
+    same = []
+    if index.short:
+        for row in np.flatnonzero((np.diff(at) > 0) & (np.diff(at) < LEAST)).tolist():
+            same += [(row, k, 1, 0, int(source[at[row + 1] - 1] + 1 - head(row)), 0) for k in index.short.get(raw[at[row] : at[row + 1]].tobytes(), ())]
     found = _candidates(index, raw, at)
     if not len(found):
-        return []
+        return same
     edits, start, end = _verify(index, raw, at, found)
     good = edits <= index.edits[found[:, 0]]
     found, edits, start, end = found[good], edits[good], start[good], end[good]
@@ -225,8 +270,7 @@ def find_block(index: Segments, raw: np.ndarray, at: np.ndarray) -> list[tuple[i
         spot = out.setdefault((row, int(index.item[segment])), [set(), 1 << 60, 0, 1 << 20])
         spot[0].add(segment)
         spot[1], spot[2], spot[3] = min(spot[1], a), max(spot[2], b), min(spot[3], e)
-    head = lambda row: source[at[row]]
-    return [(row, item, len(s), int(source[a] - head(row)), int(source[b - 1] + 1 - head(row)), e) for (row, item), (s, a, b, e) in out.items()]
+    return same + [(row, item, len(s), int(source[a] - head(row)), int(source[b - 1] + 1 - head(row)), e) for (row, item), (s, a, b, e) in out.items()]
 
 
 def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, list[str]]]:
@@ -249,11 +293,9 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     item_type = dict(benchmark.dtypes)[item]
     schema = f"`{key}` {dict(rows.dtypes)[key]}, `{item}` {item_type}, n_segments long, start long, end long, edits long"
     item_arrow = pa.int64() if item_type == "bigint" else None
-    out = spark.createDataFrame([], schema)
-    for ids, texts in item_blocks(benchmark, item, "text"):
-        shared = spark.sparkContext.broadcast(Segments(ids, texts))
 
-        def work(batches, shared=shared):
+    def found(shared) -> DataFrame:
+        def work(batches):
             index = shared.value
             for part, raw, at in kit.blocks(batches, "text"):
                 hits = find_block(index, raw, at)
@@ -261,22 +303,49 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
                     row, which, *rest = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array([index.ids[k] for k in which], item_arrow), *[pa.array(x, pa.int64()) for x in rest]], names=[key, item, "n_segments", "start", "end", "edits"])
 
-        out = out.unionByName(rows.mapInArrow(work, schema))
+        return rows.mapInArrow(work, schema)
+
+    out = spark.createDataFrame([], schema)
+    for index, more in _with_next(item_blocks(benchmark, item, "text")):
+        shared = spark.sparkContext.broadcast(Segments(*index))
+        if more:
+            out = out.unionByName(kit.Tables(spark).keep(found(shared), "matches"))
+            shared.destroy()
+        else:
+            out = out.unionByName(found(shared))
     return out
 
 
+def _with_next(blocks: Iterator) -> Iterator[tuple[tuple, bool]]:
+    """Each block, and whether another one follows."""
+    held = next(blocks, None)
+    for block in blocks:
+        yield held, True
+        held = block
+    if held is not None:
+        yield held, False
+
+
 def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFrame:
     """The rows of `docs` that match no item, with all their columns; no shuffle."""
-    out = docs
-    for ids, texts in item_blocks(benchmark, "item_id", "text"):
-        shared = docs.sparkSession.sparkContext.broadcast(Segments(ids, texts))
-
-        def work(batches, shared=shared):
+    def left(docs: DataFrame, shared) -> DataFrame:
+        def work(batches):
             for part, raw, at in kit.blocks(batches, text):
                 keep = [True] * part.num_rows
                 for row, *_ in find_block(shared.value, raw, at):
                     keep[row] = False
                 yield part.filter(pa.array(keep))
 
-        out = out.mapInArrow(work, docs.schema)
-    return out
+        return docs.mapInArrow(work, docs.schema)
+
+    tables, before = kit.Tables(docs.sparkSession), None
+    for index, more in _with_next(item_blocks(benchmark, "item_id", "text")):
+        shared = docs.sparkSession.sparkContext.broadcast(Segments(*index))
+        docs = left(docs, shared)
+        if more:
+            docs = tables.keep(docs, "uncontaminated")
+            shared.destroy()
+            if before is not None:
+                tables.drop(before)
+            before = docs
+    return docs
