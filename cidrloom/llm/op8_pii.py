@@ -8,6 +8,11 @@ A term is generalised from `GENERALISE` on and removed from `REMOVE` on, if at l
 pair: for that, exact copies are one text, so a copied page is no evidence about its own words. It goes wherever it
 stands, at any distance and in texts without the entity too: what discloses an entity does so in any text.
 
+The texts are read by row, never dealt by a key. A set of terms that is asked for or told goes to the rows as a Bloom filter
+of `FILTER_BITS` bits, whatever its size; words that pass it leave their row, and a join on the term settles them. A set
+too large for the filter lets more words pass, which costs time and changes nothing. Terms of a join are dealt to
+`SPREAD` copies, because one term may stand in a third of all texts.
+
 Defined cases: a null text is empty and has no span; repeated rows, ids and null ids each give their row, judged by
 their text alone; an empty table gives no rows; further columns never travel in `find` and are kept by `sanitise`.
 Offsets are code points, end exclusive. Overlapping spans: in `sanitise` the one that starts first replaces the text
@@ -19,12 +24,13 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cidrloom.llm.kit import new_path, staged
-from cidrloom.operators.skew import join_to_unique
+from cidrloom.llm.kit import Tables
 
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.95
+FILTER_BITS = 1 << 22
+SPREAD = 16
 KINDS = ("email", "ip", "card", "phone")
 
 # The first character and the look-behind let a match start only at the head of a run (or where the match before ended),
@@ -117,65 +123,92 @@ def _masked(text: Column, spans: Column) -> Column:
     return F.when(F.size(spans) > 0, F.concat(end["out"], F.substring(text, end["at"] + 1, F.length(text)))).otherwise(text)
 
 
-def disclosing_terms(rows: DataFrame, text: str, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
+def _places(term: Column) -> list[Column]:
+    return [F.pmod(F.xxhash64(term, F.lit(k)), F.lit(FILTER_BITS)) for k in (1, 2)]
+
+
+def term_filter(terms: DataFrame) -> Column:
+    """A Bloom filter of `term` as one binary literal: always FILTER_BITS bits, whatever the number of terms."""
+    bits = terms.select(F.explode(F.array(*_places(F.col("term")))).alias("at"))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), F.pmod("at", F.lit(64)).cast("int"))
+    whole = bytearray(FILTER_BITS // 8)
+    for word, value in bits.groupBy(F.shiftright("at", 6)).agg(F.bit_or(bit)).collect():
+        whole[8 * word : 8 * word + 8] = value.to_bytes(8, "little", signed=True)
+    return F.lit(whole)
+
+
+def may_hold(bits: Column, term: Column) -> Column:
+    """Whether the filter may hold the term: true for all of its terms."""
+    def one(at: Column) -> Column:
+        byte = F.conv(F.hex(F.substring(bits, (F.shiftright(at, 3) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        return F.call_function("shiftright", byte, F.pmod(at, F.lit(8)).cast("int")).bitwiseAND(F.lit(1)) == 1
+
+    first, second = _places(term)
+    return one(first) & one(second)
+
+
+def disclosing_terms(rows: DataFrame, text: str, tables: Tables, support: int = SUPPORT, generalise: float = GENERALISE, remove: float = REMOVE) -> DataFrame:
     """`term, kind`: the terms to generalise or remove wherever they stand. `rows`: see `with_base`.
 
-    Filters lose no pair: a pair needs an entity and a term with `support` texts each, and as n(t,e) is at most n(e), its
-    term stands in at most N^(1-g) n(e)^g texts, g being `generalise`.
+    Filters lose no pair: a pair needs an entity and a term with `support` texts each, all of them texts of such entities.
     """
-    held = rows.filter(F.size("_spans") > 0)
-    once = staged(held.select(F.md5(text).alias("md5"), "_spans", _masked(F.col(text), F.col("_spans")).alias("_said")).dropDuplicates(["md5"]).select("md5", F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], s["value"]))).alias("entities"), _terms_of(F.col("_said")).alias("terms")), "pii-once")
+    entities = F.array_distinct(F.transform("_spans", lambda s: F.concat_ws(":", s["kind"], s["value"])))
+    held = rows.filter(F.size("_spans") > 0).select(F.md5(text).alias("md5"), entities.alias("entities"), "_spans", F.col(text).alias("_text"))
     total = float(rows.filter(F.col(text).isNotNull()).count())
+    n_e = held.select("md5", F.explode("entities").alias("entity")).distinct().groupBy("entity").agg(F.count("*").alias("n_e"))
+    n_e = tables.keep(n_e.filter((F.col("n_e") >= support) & (F.col("n_e") < total)), "pii-entities")
+    # Only texts of such entities, each once, give their terms.
+    bits = term_filter(n_e.select(F.col("entity").alias("term")))
+    some = held.withColumn("entities", F.filter("entities", lambda e: may_hold(bits, e))).filter(F.size("entities") > 0)
+    once = some.select("md5", "entities", _terms_of(_masked(F.col("_text"), F.col("_spans"))).alias("terms")).dropDuplicates(["md5"])
+    once = tables.keep(once, "pii-once")
+    # An entity may stand in many texts, so its row is dealt to copies.
     entity = once.select("md5", F.explode("entities").alias("entity"))
-    n_e = entity.groupBy("entity").agg(F.count("*").alias("n_e")).filter((F.col("n_e") >= support) & (F.col("n_e") < total))
-    n_e = staged(n_e.withColumn("most", F.lit(total) ** (1 - generalise) * F.col("n_e") ** generalise + 1e-6), "pii-entities")
-    top = n_e.agg(F.max("most")).first()[0]
-    if top is None:
-        return n_e.select(F.col("entity").alias("term"), F.lit("").alias("kind")).filter("false")
-    entity = staged(join_to_unique(entity, n_e, ["entity"]).filter("n_e is not null"), "pii-entity")
-    # n(t) is at least the number of distinct texts with base spans that hold t.
-    said = once.join(entity.select("md5").distinct(), "md5", "left_semi").select("md5", F.explode("terms").alias("term"))
-    least = once.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("least"))
-    least = staged(least.filter((F.col("least") >= support) & (F.col("least") <= top)), "pii-least")
-    said = said.join(least, "term")
-    pairs = said.join(entity, "md5").filter("least <= most").groupBy("entity", "term").agg(F.count("*").alias("n_te"), F.first("n_e").alias("n_e"), F.first("least").alias("n_t")).filter(F.col("n_te") >= support)
+    copies = n_e.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    known = entity.withColumn("copy", F.pmod(F.xxhash64("md5"), F.lit(SPREAD)).cast("int")).join(copies, ["entity", "copy"])
+    known = known.groupBy("md5").agg(F.collect_list(F.struct("entity", "n_e")).alias("known"))
+    told_in = tables.keep(once.select("md5", "terms").join(known, "md5").select("known", "terms"), "pii-known")
+    least = told_in.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("n")).filter(F.col("n") >= support).select("term")
+    likely = term_filter(tables.keep(least, "pii-least"))
+    said = told_in.select("known", F.explode(F.filter("terms", lambda t: may_hold(likely, t))).alias("term"))
+    pairs = said.select("term", F.explode("known").alias("e")).groupBy("term", "e.entity", "e.n_e").agg(F.count("*").alias("n_te")).filter(F.col("n_te") >= support)
+    # n(t) is at least n(t, e).
     rare = F.log(F.lit(total) / F.col("n_e"))
-    disclosure = F.when(rare > 0, F.log(F.col("n_te") * F.lit(total) / (F.col("n_t") * F.col("n_e"))) / rare).otherwise(0.0)
-    pairs = staged(pairs.filter(disclosure >= generalise).drop("n_t"), "pii-pairs")
-    terms = staged(pairs.select("term").distinct(), "pii-asked")
-    heard = rows.select(F.explode(_terms_of(_masked(F.col(text), F.col("_spans")))).alias("term"))
-    n_t = heard.join(terms, "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_t"))
-    told = pairs.join(n_t, "term").withColumn("disclosure", disclosure).filter(F.col("disclosure") >= generalise)
-    told = told.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= remove, "removed").otherwise("general")).alias("kind"))
-    return staged(told, "pii-told")
+    disclosure = lambda n_t: F.when(rare > 0, F.log(F.col("n_te") * F.lit(total) / (n_t * F.col("n_e"))) / rare).otherwise(0.0)
+    pairs = tables.keep(pairs.filter(disclosure(F.col("n_te")) >= generalise), "pii-pairs")
+    asked = tables.keep(pairs.select("term").distinct(), "pii-asked")
+    bits = term_filter(asked)
+    heard = rows.select(F.explode(F.filter(_terms_of(_masked(F.col(text), F.col("_spans"))), lambda t: may_hold(bits, t))).alias("term"))
+    n_t = heard.groupBy("term").agg(F.count("*").alias("n_t"))
+    told = pairs.join(n_t, "term").withColumn("disclosure", disclosure(F.col("n_t"))).filter(F.col("disclosure") >= generalise)
+    told = tables.keep(told.groupBy("term").agg(F.max(F.when(F.col("disclosure") >= remove, "removed").otherwise("general")).alias("kind")), "pii-told")
+    tables.drop(once, n_e, told_in, pairs, asked)
+    return told
 
 
-def flagged(rows: DataFrame, told: DataFrame, text: str) -> DataFrame:
-    """`_hash, _told`: the told terms that each text holds, per xxhash64 of the text.
-
-    Texts that share a hash get the terms of both; the place of each is looked for in the text itself.
-    """
-    said = rows.select(F.xxhash64(text).alias("_hash"), F.explode(_terms_of(_masked(F.col(text), F.col("_spans")))).alias("term"))
-    return staged(said.join(told, "term").groupBy("_hash").agg(F.map_from_entries(F.collect_set(F.struct("term", "kind"))).alias("_told")), "pii-flagged")
+SPANS = "array<struct<kind:string,start:int,end:int,value:string>>"
 
 
-def with_terms(rows: DataFrame, found: DataFrame, text: str) -> DataFrame:
-    """Adds `_terms`, the spans of told terms in the whole text, in order of kind and start. `found`: see `flagged`."""
-    none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
+def told_spans(rows: DataFrame, told: DataFrame, text: str) -> DataFrame:
+    """`_row, _terms`: the spans of told terms in the whole texts, in order of kind and start, for rows that hold any."""
+    bits = term_filter(told)
     said = _masked(F.col(text), F.col("_spans"))
-    pieces, words = F.split(said, _WORD, -1), F.regexp_extract_all(said, F.lit(_WORD), F.lit(0))
+    pieces, words = F.split(F.col("_said"), _WORD, -1), F.regexp_extract_all("_said", F.lit(_WORD), F.lit(0))
+    passing = F.exists("_words", lambda w: may_hold(bits, F.lower(w)))
 
     def add(state, pair):
         start = state["at"] + F.length(pair["piece"])
         end = start + F.length(pair["value"])
-        kind = F.element_at(F.col("_told"), F.lower(pair["value"]))
-        span = F.struct(kind.alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
-        return F.struct(end.alias("at"), F.when(kind.isNotNull(), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
+        span = F.struct(F.lit("").alias("kind"), start.alias("start"), end.alias("end"), pair["value"].alias("value"))
+        return F.struct(end.alias("at"), F.when(may_hold(bits, F.lower(pair["value"])), F.concat(state["found"], F.array(span))).otherwise(state["found"]).alias("found"))
 
-    pairs = F.zip_with(F.slice(pieces, 1, F.size(words)), words, lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
-    at = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), none.alias("found")), add)["found"]
-    out = rows.withColumn("_hash", F.xxhash64(text)).join(found, "_hash", "left")
-    return out.withColumn("_terms", F.when(F.col("_told").isNotNull(), F.array_sort(at)).otherwise(none)).drop("_hash", "_told")
+    pairs = F.zip_with(F.slice(pieces, 1, F.size("_words")), F.col("_words"), lambda p, v: F.struct(p.alias("piece"), v.alias("value")))
+    at = F.aggregate(pairs, F.struct(F.lit(0).alias("at"), F.array().cast(SPANS).alias("found")), add)["found"]
+    some = rows.select("_row", said.alias("_said")).withColumn("_words", words).filter(passing)
+    spans = some.select("_row", F.explode(at).alias("s")).select("_row", "s.start", "s.end", "s.value", F.lower("s.value").alias("term"))
+    copies = told.withColumn("copy", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
+    sure = spans.withColumn("copy", F.pmod(F.xxhash64("_row"), F.lit(SPREAD)).cast("int")).join(copies, ["term", "copy"])
+    return sure.groupBy("_row").agg(F.array_sort(F.collect_list(F.struct("kind", "start", "end", "value"))).alias("_terms"))
 
 
 def _joined(spans: Column) -> Column:
@@ -184,14 +217,16 @@ def _joined(spans: Column) -> Column:
 
 def find(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """Per row: counts of base spans, their digest, and all spans as text."""
+    tables = Tables(docs.sparkSession)
     rows = with_base(docs.select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_text")
-    rows = staged(rows, "pii-base")
-    found = with_terms(rows, flagged(rows, disclosing_terms(rows, "_text"), "_text"), "_text")
+    rows = tables.keep(rows.withColumn("_row", F.monotonically_increasing_id()), "pii-base")
+    terms = told_spans(rows, disclosing_terms(rows, "_text", tables), "_text")
     counts = [F.size(F.filter("_spans", _is(kind))).cast("long").alias(f"n_{kind}") for kind in KINDS]
-    base = _joined(F.col("_spans"))
-    terms_text = _joined(F.col("_terms"))
-    both = F.when(F.length(terms_text) == 0, base).when(F.length(base) == 0, terms_text).otherwise(F.concat_ws(",", base, terms_text))
-    return found.select(F.col("_key").alias(key), *counts, F.sha2(base, 256).alias("base_sha256"), both.alias("spans"))
+    base = rows.select("_row", F.col("_key").alias(key), *counts, _joined(F.col("_spans")).alias("_base"))
+    found = base.join(terms, "_row", "left")
+    also = F.coalesce(_joined(F.col("_terms")), F.lit(""))
+    both = F.when(F.length(also) == 0, F.col("_base")).when(F.length("_base") == 0, also).otherwise(F.concat_ws(",", "_base", also))
+    return found.select(key, *[f"n_{kind}" for kind in KINDS], F.sha2("_base", 256).alias("base_sha256"), both.alias("spans"))
 
 
 def _replaced(text: Column, spans: Column) -> Column:
@@ -209,10 +244,9 @@ def _replaced(text: Column, spans: Column) -> Column:
 
 def sanitise(docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with base spans and disclosing terms replaced in `text`, wherever they stand; other columns stay."""
-    columns = docs.columns
-    path = new_path(docs.sparkSession, "pii-held")
-    with_base(docs, text).write.parquet(path)
-    rows = docs.sparkSession.read.parquet(path)
-    done = with_terms(rows, flagged(rows, disclosing_terms(rows, text), text), text)
-    spans = F.concat("_spans", "_terms")
+    columns, tables = docs.columns, Tables(docs.sparkSession)
+    rows = tables.keep(with_base(docs, text).withColumn("_row", F.monotonically_increasing_id()), "pii-held")
+    terms = tables.keep(told_spans(rows, disclosing_terms(rows, text, tables), text), "pii-terms")
+    done = rows.join(terms, "_row", "left")
+    spans = F.concat("_spans", F.coalesce("_terms", F.array().cast(SPANS)))
     return done.withColumn(text, F.when(F.size(spans) > 0, _replaced(F.col(text), spans)).otherwise(F.col(text))).select(columns)
