@@ -110,9 +110,22 @@ class Segments:
         self.bits = max(16, min(24, 6 + len(keys).bit_length()))
         self.seen = np.zeros(1 << self.bits, bool)
         self.seen[_slots(self.keys, self.bits)] = True
+        self.key_of = np.zeros(1 << self.bits, np.int32)  # one of the q-grams of each slot
+        self.key_of[_slots(self.keys, self.bits)] = np.arange(len(self.keys))
+
+    def find(self, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Index of each q-gram among the keys, and whether it is one."""
+        if not len(self.keys):
+            return np.zeros(len(grams), np.int64), np.zeros(len(grams), bool)
+        at = self.key_of[_slots(grams, self.bits)].astype(np.int64)
+        other = np.flatnonzero(self.keys[at] != grams)  # none of the keys, or another one of the slot
+        at[other] = np.minimum(np.searchsorted(self.keys, grams[other]), len(self.keys) - 1)
+        return at, self.keys[at] == grams
 
     def places(self, gram: np.ndarray, low: int, high: int) -> tuple[np.ndarray, np.ndarray]:
         """Range of the places of each q-gram in the items from `low` up to `high`."""
+        if (low, high) == (0, len(self.ids)):
+            return self.at[gram], self.at[gram + 1]
         of = gram * (len(self.ids) + 1)
         return np.searchsorted(self.spot, of + low), np.searchsorted(self.spot, of + high)
 
@@ -136,10 +149,10 @@ def _candidates(index: Segments, raw: np.ndarray, at: np.ndarray) -> np.ndarray:
     """Rows (segment, first byte of the segment's band, row) whose shared q-grams reach the bound."""
     grams = _grams(raw)
     hit = np.flatnonzero(index.seen[_slots(grams, index.bits)])
-    gram = np.minimum(np.searchsorted(index.keys, grams[hit]), len(index.keys) - 1)
-    row = np.searchsorted(at, hit, "right") - 1
-    real = (index.keys[gram] == grams[hit]) & (hit + Q <= at[row + 1])
+    gram, real = index.find(grams[hit])
     hit, gram = hit[real], gram[real]
+    row_end = np.repeat(at[1:], np.diff(np.searchsorted(hit, at)))
+    hit, gram = hit[hit + Q <= row_end], gram[hit + Q <= row_end]
     found, todo = [], [(0, len(hit), 0, len(index.ids))] if len(hit) else []
     over = SEGMENT + 2 * BAND + 3 * int(index.edits.max())  # a stretch that reaches the bound is no longer
     while todo:
