@@ -1,6 +1,7 @@
 """Dynamic JSON records: field inventory, display text, dotted paths, typed projection.
 
-Records are VARIANT columns.  Object keys come in sorted order.
+Records are canonical JSON text (`jsontext`) or VARIANT columns.  Object keys come in sorted order.  Each function is one
+pass inside the row: no job runs while a plan is made, nothing is shuffled, and streams may use it.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import let
+from cidrloom.functions.jsontext import nodes, quoted, record_text, unquoted
 
 
 @dataclass(frozen=True)
@@ -22,9 +24,10 @@ class ProjectedField:
     type: str = "auto"
 
 
-def json_path(dotted: str) -> str:
-    """`a.b` to a quoted JSON path of object keys."""
-    return "$" + "".join("['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']" for key in dotted.split("."))
+def json_path(dotted: str, whole: bool = False) -> str:
+    """`a.b` to a quoted JSON path of object keys; `whole` takes the text as one key."""
+    keys = [dotted] if whole else dotted.split(".")
+    return "$" + "".join("['" + key.replace("\\", "\\\\").replace("'", "\\'") + "']" for key in keys)
 
 
 def get_by_path(record: Column, dotted: str) -> Column:
@@ -45,45 +48,18 @@ def type_tag(value: Column) -> Column:
     )
 
 
-def nesting(df: DataFrame, record: str) -> int:
-    """Deepest nesting of objects over all records, from the braces of their JSON text outside strings."""
-    braces = F.regexp_replace(F.regexp_replace(F.to_json(record), r'"(?:[^"\\]|\\.)*+"', ""), r"[^{}]", "")
-
-    def walk(state: Column, brace: Column) -> Column:
-        now = state["now"] + F.when(brace == "{", 1).otherwise(-1)
-        return F.struct(now.alias("now"), F.greatest(state["most"], now).alias("most"))
-
-    start = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
-    deepest = F.aggregate(F.filter(F.split(braces, ""), lambda c: c != ""), start, walk)["most"]
-    return df.agg(F.max(deepest)).first()[0] or 0
+def text_of(df: DataFrame, record: str) -> Column:
+    return record_text(F.col(record), df.schema[record].dataType.simpleString())
 
 
 def flatten_fields(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
     """All nodes as `keep..., ord, path, type_tag, value`; objects are listed, then entered, whatever their depth.
 
-    A root that is no object is one node with an empty path.  The nodes of a record grow level by level inside its row,
-    as many levels as the data has, and are exploded once: one scan, no shuffle.  `ord` sorts them in walk order.
+    A root that is no object is one node with an empty path.  `ord` sorts the nodes of a record in walk order, `value` is
+    JSON text, null for objects.
     """
-    def node(order: Column, path: Column, value: Column) -> Column:
-        return F.struct(order.alias("ord"), path.alias("path"), type_tag(value).alias("type_tag"), value.alias("value"))
-
-    def children(parent: Column, root: bool) -> Column:
-        entries = F.map_entries(F.try_variant_get(parent["value"], "$", "map<string,variant>"))
-        return F.transform(entries, lambda e, i: node(F.concat(parent["ord"], F.array(i)), e["key"] if root else F.concat(parent["path"], F.lit("."), e["key"]), e["value"]))
-
-    root = node(F.array().cast("array<int>"), F.lit(""), F.col(record))
-    rows = df.select(*keep, F.array(root).alias("_level0"))
-    depth = nesting(df, record)
-    for k in range(depth):
-        objects = F.filter(f"_level{k}", lambda n: n["type_tag"] == "object")
-        rows = rows.withColumn(f"_level{k + 1}", _entered(objects, children, k == 0))
-    own = F.filter("_level0", lambda n: (n["type_tag"] != "object") & n["value"].isNotNull())
-    nodes = F.concat(own, *[F.col(f"_level{k + 1}") for k in range(depth)])
-    return rows.select(*keep, F.explode(nodes).alias("n")).select(*keep, "n.ord", "n.path", "n.type_tag", "n.value")
-
-
-def _entered(objects: Column, children, root: bool) -> Column:
-    return F.flatten(F.transform(objects, lambda n: children(n, root)))
+    found = df.select(*keep, F.posexplode(nodes(text_of(df, record))).alias("ord", "n"))
+    return found.select(*keep, "ord", "n.path", "n.type_tag", "n.value")
 
 
 def scalar_text(value: Column) -> Column:
@@ -101,21 +77,16 @@ def _number_json(value: Column) -> Column:
     return F.to_json(value)
 
 
-def display_text(value: Column) -> Column:
+def display_text(tag: Column, value: Column) -> Column:
     """Leaf as shown to people: strings bare, null as `null`, arrays joined by comma and blank."""
-    def element(v: Column) -> Column:
-        tag = type_tag(v)
-        return F.when(tag == "string", F.try_variant_get(v, "$", "string")).when(tag == "null", "null").when(
-            v.isNull(), "null").otherwise(F.to_json(v))
-
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.when(type_tag(value) == "list", F.array_join(F.transform(items, element), ", ", "null")).otherwise(element(value))
+    items = F.array_join(F.from_json(value, "array<string>"), ", ", "null")
+    return F.when(tag == "list", items).when(tag == "string", unquoted(value)).otherwise(value)
 
 
 def flatten_display(df: DataFrame, record: str, keep: list[str]) -> DataFrame:
     """Leaves as `keep..., ord, key, text`; objects without keys give nothing."""
-    nodes = flatten_fields(df, record, keep).filter(F.col("type_tag") != "object")
-    return nodes.select(*keep, "ord", F.col("path").alias("key"), display_text(F.col("value")).alias("text"))
+    leaves = flatten_fields(df, record, keep).filter(F.col("type_tag") != "object")
+    return leaves.select(*keep, "ord", F.col("path").alias("key"), display_text(F.col("type_tag"), F.col("value")).alias("text"))
 
 
 def coerce(value: Column, to: str, array_sep: str = ", ") -> Column:
@@ -156,47 +127,79 @@ def _variant(scalar: Column) -> Column:
     return scalar.cast("variant")
 
 
-def project_fields(
-    df: DataFrame, record: str, key: str, fields: list[ProjectedField], array_sep: str = ", "
-) -> DataFrame:
-    """Flat projection as a long table `key, name, value VARIANT`, one row per output field.
-
-    A path that names an object expands to its leaves under the output name, except leaves that are
-    listed themselves; a later field of the same name replaces an earlier one; missing paths give no
-    row.  Works for records of unknown shape; `project_record` packs the rows into JSON text.
+def coerce_text(tag: Column, value: Column, to: str, array_sep: str = ", ") -> Column:
+    """`coerce` of a node, JSON text to JSON text, so that numbers stay as they are written."""
+    content = unquoted(value)
+    if to == "auto":
+        return value
+    if to == "string":
+        return F.when(tag == "string", value).when(tag == "list", '""').otherwise(F.concat(F.lit('"'), value, F.lit('"')))
+    if to == "integer":
+        number = F.when(tag == "number", F.when(value.rlike("^-?[0-9]+$"), value.try_cast("bigint"))).when(
+            (tag == "string") & content.rlike(r"^[+-]?[0-9]+\z"), content.try_cast("bigint"))
+        return F.coalesce(number.cast("string"), value)
+    if to == "bool":
+        low = F.when(tag == "string", F.lower(content))
+        return F.when(low.isin("true", "1", "yes"), "true").when(low.isin("false", "0", "no"), "false").otherwise(value)
+    if to == "array_join":
+        kinds = F.transform(F.from_json(value, "array<variant>"), lambda v: F.coalesce(type_tag(v), F.lit("null")))
+        texts = F.zip_with(F.from_json(value, "array<string>"), kinds, lambda t, k: F.when(k == "list", "").otherwise(F.coalesce(t, F.lit("null"))))
+        flat = (tag == "list") & ~F.array_contains(kinds, "object")
+        return F.when(flat, quoted(F.array_join(texts, array_sep))).otherwise(value)
+    raise ValueError(f"unknown field type {to!r}")
+
+
+def node_at(text: Column, dotted: str) -> Column:
+    """`struct<type_tag, value>` of the node at a dotted path of canonical text; null when a key is missing."""
+    found = F.filter(nodes(text), lambda n: (n["path"] == dotted) & (n["depth"] == dotted.count(".") + 1))
+    whole = F.get_json_object(text, json_path(dotted))
+    return let(F.get(found, F.lit(0)), lambda n: F.when(n.isNotNull(), F.struct(n["type_tag"].alias("type_tag"), F.when(n["type_tag"] == "object", whole).otherwise(n["value"]).alias("value"))))
+
+
+def projected(text: Column, fields: list[ProjectedField], array_sep: str = ", ") -> Column:
+    """Flat projection of canonical text as `array<struct<name, value>>` sorted by name; `value` is JSON text.
+
+    A path that names an object expands to its leaves under the output name, except leaves that are listed themselves; a
+    later field of the same name replaces an earlier one; missing paths give no entry.
     """
     listed = [f.field for f in fields]
-    leaves = flatten_fields(df, record, [key]).filter(F.col("type_tag") != "object")
-    # A key that itself holds a dot cannot be reached by a dotted path.
-    reachable = F.size("ord") == F.size(F.split("path", r"\."))
-    leaves = leaves.filter(reachable)
-    picks = []
-    for i, f in enumerate(fields):
-        name = f.output_name or f.field
-        exact = F.col("path") == f.field
-        below = F.col("path").startswith(f.field + ".") & ~F.col("path").isin(listed)
-        sub_key = F.concat(F.lit(name), F.substring(F.col("path"), F.lit(len(f.field) + 1), F.length("path")))
-        picks.append(
-            F.when(
-                exact | below,
-                F.struct(
-                    F.lit(i).alias("i"),
-                    F.when(exact, F.lit(name)).otherwise(sub_key).alias("name"),
-                    coerce(F.col("value"), f.type, array_sep).alias("value"),
-                ),
-            )
-        )
-    hits = leaves.select(key, "ord", F.explode(F.filter(F.array(*picks), lambda p: p.isNotNull())).alias("p"))
-    order = F.struct(F.col("p.i"), F.col("ord"))
-    # Fields of one record are few, so both groups stay small.
-    return hits.groupBy(key, F.col("p.name").alias("name")).agg(
-        F.max_by("p.value", order).alias("value")
-    )
+
+    def reachable(n: Column) -> Column:
+        # A key that itself holds a dot cannot be reached by a dotted path.
+        return (n["type_tag"] != "object") & (n["depth"] == F.size(F.split(n["path"], r"\.")))
+
+    def entries_of(leaves: Column, f: ProjectedField) -> Column:
+        def fits(n: Column) -> Column:
+            return (n["path"] == f.field) | (n["path"].startswith(f.field + ".") & ~n["path"].isin(listed))
+
+        def entry(n: Column) -> Column:
+            name = F.concat(F.lit(f.output_name or f.field), F.substring(n["path"], F.lit(len(f.field) + 1), F.length(n["path"])))
+            return F.struct(name.alias("name"), coerce_text(n["type_tag"], n["value"], f.type, array_sep).alias("value"))
+
+        return F.transform(F.filter(leaves, fits), entry)
+
+    def picked(leaves: Column) -> Column:
+        return F.concat(*[entries_of(leaves, f) for f in fields])
+
+    def last(entries: Column) -> Column:
+        again = lambda e, i: F.exists(F.slice(entries, i + 2, F.size(entries)), lambda later: later["name"] == e["name"])
+        return F.array_sort(F.filter(entries, lambda e, i: ~again(e, i)))
+
+    return let(let(F.filter(nodes(text), reachable), picked), last)
+
+
+def project_text(text: Column, fields: list[ProjectedField], array_sep: str = ", ") -> Column:
+    """`projected` as JSON text; a record without any listed field gives `{}`."""
+    members = F.transform(projected(text, fields, array_sep), lambda e: F.concat(quoted(e["name"]), F.lit(":"), e["value"]))
+    return F.concat(F.lit("{"), F.array_join(members, ","), F.lit("}"))
+
+
+def project_fields(df: DataFrame, record: str, key: str, fields: list[ProjectedField], array_sep: str = ", ") -> DataFrame:
+    """Flat projection as a long table `key, name, value`, one row per output field; `value` is JSON text."""
+    rows = df.select(key, F.explode(projected(text_of(df, record), fields, array_sep)).alias("p"))
+    return rows.select(key, "p.name", "p.value")
 
 
-def project_record(projected: DataFrame, key: str) -> DataFrame:
-    """Pack projected rows into one JSON object text per record, keys sorted."""
-    pair = F.concat(F.to_json(F.col("name").cast("variant")), F.lit(":"), F.to_json("value"))
-    packed = projected.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("name", pair.alias("pair")))).alias("pairs"))
-    body = F.array_join(F.transform("pairs", lambda p: p["pair"]), ",")
-    return packed.select(key, F.concat(F.lit("{"), body, F.lit("}")).alias("record"))
+def project_record(df: DataFrame, record: str, key: str, fields: list[ProjectedField], array_sep: str = ", ") -> DataFrame:
+    """Flat projection as `key, record`, one JSON object text per record."""
+    return df.select(key, project_text(text_of(df, record), fields, array_sep).alias("record"))

@@ -134,37 +134,3 @@ def disjoint_intervals(table: DataFrame, net: str) -> DataFrame:
         f"coalesce(lead(lo) OVER (PARTITION BY _block ORDER BY lo), (_block + 1) * {BLOCK}) - 1"
     ))
     return spans.drop("_block").join(found, "lo").select("lo", "hi", "match")
-
-
-def block_table(table: DataFrame, net: str, max_rows: int) -> tuple[DataFrame, list[int]] | None:
-    """One stored row per IPv4 net and the prefix lengths that occur (at most 33), longest first.
-
-    Only for at most `max_rows` nets, which are counted; None beyond that and the caller takes
-    `longest_prefix_join`.
-    """
-    unique = cut_lineage(one_per_net(table.filter(F.col(net)["family"] == 4), net))
-    if unique.count() > max_rows:
-        return None
-    lengths = unique.select(F.col("match")["plen"].alias("l")).distinct().collect()
-    return unique, sorted((r.l for r in lengths), reverse=True)
-
-
-def block_lookup_join(left: DataFrame, ip: str, table: DataFrame, net: str, max_rows: int) -> DataFrame | None:
-    """Left outer longest-prefix join of IPv4 numbers without any shuffle of `left`; None when `block_table` is."""
-    blocks = block_table(table, net, max_rows)
-    return None if blocks is None else join_block_table(left, ip, *blocks)
-
-
-def join_block_table(left: DataFrame, ip: str, unique: DataFrame, lengths: list[int]) -> DataFrame:
-    """One broadcast hash join per prefix length, longest first; then the row of the first hit."""
-    found, hit = left, F.lit(None).cast("bigint")
-    for l in lengths:
-        nets = unique.filter(F.col("match")["plen"] == l).select(F.col("match")["lo"].alias(f"_n{l}"))
-        mask = (2**32 - 1) ^ (2 ** (32 - l) - 1)
-        found = found.withColumn(f"_k{l}", F.col(ip).bitwiseAND(F.lit(mask).cast("bigint")))
-        found = found.join(F.broadcast(nets), F.col(f"_k{l}") == F.col(f"_n{l}"), "left").drop(f"_k{l}")
-    # Network and length in one number: the row key of the final join.
-    hit = F.coalesce(*[F.col(f"_n{l}") * 64 + l for l in lengths], hit)
-    found = found.withColumn("_hit", hit).drop(*[f"_n{l}" for l in lengths])
-    rows = unique.withColumn("_hit", F.col("match")["lo"] * 64 + F.col("match")["plen"]).drop("match")
-    return found.join(F.broadcast(rows), "_hit", "left").drop("_hit")

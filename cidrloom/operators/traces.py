@@ -49,13 +49,18 @@ def remaining_targets(targets: DataFrame, net: str, ip: str, traces: DataFrame)
     return targets.join(done, [net, ip], "left_anti")
 
 
+def planned_parents(targets: DataFrame, ip: str, net: str) -> DataFrame:
+    """`ip, parent`: the longest net each address was planned under; equal lengths fall to the smallest net."""
+    rank = F.struct((-F.col(net)["plen"]).alias("l"), F.col(net)["hi"].alias("h"), F.col(net)["lo"].alias("a"))
+    return targets.groupBy(ip).agg(F.min_by(net, rank).alias("parent"))
+
+
 def parent_prefix(destinations: DataFrame, ip: str, targets: DataFrame, net: str) -> DataFrame:
     """Longest target prefix an address was planned under, unmatched addresses dropped.
 
     `targets` are planned (net, ip) pairs; equal lengths fall to the smallest net.
     """
-    rank = F.struct((-F.col(net)["plen"]).alias("l"), F.col(net)["hi"].alias("h"), F.col(net)["lo"].alias("a"))
-    best = targets.groupBy(ip).agg(F.min_by(net, rank).alias("parent"))
+    best = planned_parents(targets, ip, net)
     return join_to_unique(destinations, best, [ip]).filter(F.col("parent").isNotNull())
 
 

@@ -7,94 +7,75 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cidrloom.functions.fields import ProjectedField, flatten_display, flatten_fields, project_fields, project_record
-from cidrloom.functions.ip import cidr_struct, ip4_number, parse_ip
-from cidrloom.operators.prefix import block_table, join_block_table, join_unique_nets, longest_prefix_join, one_per_net
+from cidrloom.functions.fields import ProjectedField, display_text, flatten_fields, json_path, project_record, text_of
+from cidrloom.functions.ip import ip4_number, parse_ip
+from cidrloom.functions.jsontext import canonical, nodes, set_member
+from cidrloom.operators.asof import interval_join, record_intervals
+from cidrloom.operators.prefix import longest_prefix_join
 from cidrloom.plans.lookup import lookup_nets
 from cidrloom.session import cut_lineage
 
 # Fixed value: key of the lookup record inside an enriched log record.
 RECORD_KEY = "mmdb"
 
-BROADCAST_RECORDS = 200_000
 
+def lookup_join(left: DataFrame, ip: str, lookup: DataFrame) -> DataFrame:
+    """Left outer join of an IPv4 number column to the lookup record that covers it, as `record STRUCT`."""
+    return prepared_lookup(lookup)(left, ip)
 
-def lookup_join(left: DataFrame, ip: str, lookup: DataFrame, broadcast_records: int = BROADCAST_RECORDS) -> DataFrame:
-    """Left outer join of an IPv4 number column to the lookup record that covers it, as `record STRUCT`.
 
-    A lookup table of at most `broadcast_records` rows (counted first) is broadcast and the left table
-    is not shuffled at all; a larger one resolves every distinct address once by hash join.
-    """
-    return prepared_lookup(lookup, broadcast_records)(left, ip)
-
-
-def prepared_lookup(lookup: DataFrame, broadcast_records: int = BROADCAST_RECORDS) -> Callable[[DataFrame, str], DataFrame]:
-    """The join of `lookup_join` to one lookup table, grouped, stored and counted once for any number of left tables."""
-    nets = lookup_nets(lookup)
-    table = nets.select("net", F.struct(*lookup.columns).alias("record"))
-    blocks = block_table(table, "net", broadcast_records)
-    unique = cut_lineage(one_per_net(table, "net")) if blocks is None else None
-
-    def join(left: DataFrame, ip: str) -> DataFrame:
-        if blocks is not None:
-            return join_block_table(left, ip, *blocks).drop("net")
-        probed = left.withColumn("_probe", cidr_struct(4, 32, 0, F.col(ip)))
-        return join_unique_nets(probed, "_probe", unique).drop("_probe", "net")
-
-    return join
+def prepared_lookup(lookup: DataFrame) -> Callable[[DataFrame, str], DataFrame]:
+    """The join of `lookup_join` to one lookup table, cut into intervals and stored once for any number of left tables."""
+    intervals = cut_lineage(record_intervals(lookup_nets(lookup), "net"))
+    return lambda left, ip: interval_join(left, ip, intervals)
 
 
 def record_ip(record: Column, field: str) -> Column:
     """IPv4 number of a top-level text field, null when missing, no text, no address or IPv6."""
-    path = "$['" + field.replace("'", "\\'") + "']"
-    v = F.try_variant_get(record, path, "variant")
-    return ip4_number(F.when(F.schema_of_variant(v) == "STRING", F.try_variant_get(record, path, "string")))
+    return ip4_number(F.get_json_object(record, json_path(field, whole=True)))
 
 
 def merge_record(record: Column, found: Column) -> Column:
-    """Set the lookup record (or null) under its key; values that are no object stay as they are."""
-    is_object = F.schema_of_variant(record).startswith("OBJECT")
-    inner = F.coalesce(F.to_json(found, {"ignoreNullFields": "true"}), F.lit("null"))
-    rest = F.to_json(F.map_filter(F.from_json(F.to_json(record), "map<string,variant>"), lambda k, _: k != RECORD_KEY))
-    body = F.substring(rest, F.lit(2), F.length(rest) - 2)
-    merged = F.concat(F.lit("{"), body, F.when(body != "", ",").otherwise(""), F.lit(f'"{RECORD_KEY}":'), inner, F.lit("}"))
-    return F.when(is_object, F.parse_json(merged)).otherwise(record)
+    """Set the lookup record (or null) under its key; values that are no object stay as they are. All are JSON text."""
+    return set_member(record, RECORD_KEY, F.coalesce(found, F.lit("null")))
 
 
-def enrich_logs(logs: DataFrame, ip_field: str, lookup: DataFrame, broadcast_records: int = BROADCAST_RECORDS) -> DataFrame:
-    """`log_id, record` with the lookup record merged in.  `range` is not part of the exported record."""
-    return enrich_with(logs, ip_field, prepared_lookup(lookup, broadcast_records))
+def lookup_text(lookup: DataFrame) -> DataFrame:
+    """Lookup records as `range, text`, canonical JSON without the range, which is not part of the exported record."""
+    inner = F.struct(*[F.col(c) for c in lookup.columns if c != "range"])
+    return lookup.select("range", canonical(F.to_json(inner, {"ignoreNullFields": "true"})).alias("text"))
+
+
+def enrich_logs(logs: DataFrame, ip_field: str, lookup: DataFrame) -> DataFrame:
+    """`log_id, record` with the lookup record merged in.  Records keep their type, JSON text or VARIANT."""
+    return enrich_with(logs, ip_field, prepared_lookup(lookup_text(lookup)))
 
 
 def enrich_with(logs: DataFrame, ip_field: str, join: Callable[[DataFrame, str], DataFrame]) -> DataFrame:
-    """`enrich_logs` with a lookup that `prepared_lookup` has made."""
-    logs = logs.withColumn("_ip", record_ip(F.col("record"), ip_field)).withColumnRenamed("record", "_log")
-    joined = join(logs, "_ip")
-    found = F.when(F.col("record").isNotNull(), F.col("record").dropFields("range"))
-    return joined.select("log_id", merge_record(F.col("_log"), found).alias("record"))
+    """`enrich_logs` with a lookup of `lookup_text` that `prepared_lookup` has made."""
+    is_variant = logs.schema["record"].dataType.simpleString() == "variant"
+    logs = logs.select("log_id", text_of(logs, "record").alias("_log")).withColumn("_ip", record_ip(F.col("_log"), ip_field))
+    merged = merge_record(F.col("_log"), F.col("record.text"))
+    return join(logs, "_ip").select("log_id", (F.parse_json(merged) if is_variant else merged).alias("record"))
 
 
 def project_logs(enriched: DataFrame, fields: list[ProjectedField], array_sep: str = ", ") -> DataFrame:
     """Flat projected records as JSON text; a record without any listed field gives `{}`."""
-    packed = project_record(project_fields(enriched, "record", "log_id", fields, array_sep), "log_id")
-    return enriched.select("log_id").join(packed, "log_id", "left").select("log_id", F.coalesce("record", F.lit("{}")).alias("record"))
+    return project_record(enriched, "record", "log_id", fields, array_sep)
 
 
 def query_ips(ips: DataFrame, ip: str, lookup: DataFrame) -> DataFrame:
     """Addresses to `ip, status, key, text`: leaves of the record, `(not found)` or `invalid`."""
-    table = lookup_nets(lookup)
-    table = table.select("net", F.parse_json(F.to_json(F.struct(*[c for c in lookup.columns if c != "range"]), {"ignoreNullFields": "true"})).alias("record"))
+    table = lookup_nets(lookup).select("net", "range")
+    table = table.join(lookup_text(lookup), "range").select("net", F.col("text").alias("record"))
     probed = ips.select(ip).distinct().withColumn("_probe", parse_ip(F.col(ip)))
     joined = longest_prefix_join(probed, "_probe", table, "net")
-    leaves = flatten_display(joined.filter(F.col("record").isNotNull()).select(ip, "record"), "record", [ip])
-    hits = leaves.select(ip, F.lit("found").alias("status"), "key", "text")
-    misses = joined.filter(F.col("record").isNull()).select(
-        ip,
-        F.when(F.col("_probe").isNull(), "invalid").otherwise("missing").alias("status"),
-        F.lit(None).cast("string").alias("key"),
-        F.when(F.col("_probe").isNotNull(), "(not found)").alias("text"),
-    )
-    return hits.unionByName(misses)
+    leaves = F.filter(nodes(F.col("record")), lambda n: n["type_tag"] != "object")
+    found = F.transform(leaves, lambda n: F.struct(n["path"].alias("key"), display_text(n["type_tag"], n["value"]).alias("text")))
+    note = F.struct(F.lit(None).cast("string").alias("key"), F.when(F.col("_probe").isNotNull(), "(not found)").alias("text"))
+    status = F.when(F.col("record").isNotNull(), "found").when(F.col("_probe").isNull(), "invalid").otherwise("missing")
+    rows = joined.select(ip, status.alias("status"), F.explode(F.when(F.col("record").isNotNull(), found).otherwise(F.array(note))).alias("leaf"))
+    return rows.select(ip, "status", "leaf.key", "leaf.text")
 
 
 def field_union(records: DataFrame, record: str, order: str) -> DataFrame:

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, parse_cidr
+from cidrloom.functions.jsontext import canonical
 from cidrloom.sources import schemas
+from cidrloom.sources.arrays import read_array
 
 BAD = "_bad"
 
@@ -80,21 +82,14 @@ def read_whois(spark: SparkSession, path: str, strict: bool = False) -> DataFram
 
 
 def json_value(text: Column) -> Column:
-    """JSON text as VARIANT, null when it is none.
-
-    VARIANT parsing refuses objects with a repeated key.  They are read a second time key by key, and the
-    last value wins; a key that is repeated deeper inside still makes the text bad.
-    """
-    entries = F.map_entries(F.from_json(text, "map<string,variant>"))
-    keys = F.transform(entries, lambda e: e["key"])
-    last = F.filter(entries, lambda e, i: ~F.array_contains(F.slice(keys, i + 2, F.size(keys)), e["key"]))
-    return F.coalesce(F.try_parse_json(text), F.to_variant_object(F.map_from_entries(last)))
+    """JSON text as VARIANT, null when it is none; of repeated keys the last value is kept, at every depth."""
+    return F.coalesce(F.try_parse_json(text), F.try_parse_json(canonical(text)))
 
 
 def bad_json_count(lines: DataFrame) -> DataFrame:
     """`lines, bad_lines` of a text column `value`: what the sheet and log readers skip, blank lines apart."""
     text = lines.filter(F.trim("value") != "")
-    return text.agg(F.count("*").alias("lines"), F.count_if(json_value(F.col("value")).isNull()).alias("bad_lines"))
+    return text.agg(F.count("*").alias("lines"), F.count_if(canonical(F.col("value")).isNull()).alias("bad_lines"))
 
 
 def parse_sheet_lines(lines: DataFrame) -> DataFrame:
@@ -137,15 +132,11 @@ def sheet_row_cidrs(rows: DataFrame) -> DataFrame:
 
 
 def read_logs(spark: SparkSession, path: str) -> DataFrame:
-    """`log_id, record VARIANT`.  `.jsonl`: one value per line, blank and bad lines skipped; else one JSON array."""
-    if path.lower().endswith(".jsonl"):
-        parsed = _text(spark, path).withColumn("record", json_value(F.col("value")))
-        return parsed.filter(F.col("record").isNotNull()).select(F.col("line_id").alias("log_id"), "record")
-    whole = spark.read.option("multiLine", True).option("mode", "FAILFAST").option("singleVariantColumn", "v").json(path)
-    is_array = F.schema_of_variant("v").startswith("ARRAY")
-    whole = whole.filter(F.when(is_array, True).otherwise(F.raise_error(F.lit("log file is no JSON array")).cast("boolean")))
-    items = spark.sql("SELECT e.value AS record FROM {whole} w, LATERAL variant_explode(w.v) e", whole=whole)
-    return items.select(F.monotonically_increasing_id().alias("log_id"), "record")
+    """`log_id, record` (canonical JSON text).  `.jsonl`: one value per line, blank and bad lines skipped; else one JSON array."""
+    if not path.lower().endswith(".jsonl"):
+        return read_array(spark, path)
+    parsed = _text(spark, path).withColumn("record", canonical(F.col("value")))
+    return parsed.filter(F.col("record").isNotNull()).select(F.col("line_id").alias("log_id"), "record")
 
 
 def read_gateways(spark: SparkSession, path: str) -> DataFrame:

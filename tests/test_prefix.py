@@ -4,7 +4,8 @@ import random
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, ip4_number, parse_cidr, parse_ip
-from cidrloom.operators.prefix import block_lookup_join, containing, disjoint_intervals, first_related, longest_prefix_join
+from cidrloom.operators import asof
+from cidrloom.operators.prefix import containing, disjoint_intervals, first_related, longest_prefix_join
 from cidrloom.operators.skew import join_to_unique
 
 
@@ -62,13 +63,26 @@ def test_ipv6_longest_prefix_and_containment(spark):
     assert sorted(map(tuple, pairs.collect())) == sorted((i, nets[n]) for i, t in probes for n in cover(t))
 
 
-def test_block_lookup_equals_brute_force(spark):
+def test_interval_join_equals_brute_force(spark, monkeypatch):
+    """Nested nets from /0 to /32, block edges, one hot address, nulls; wide nets dealt to several copies of their row."""
     net_rows, probe_rows, table, left = fixture(spark, seed=2)
-    left = left.withColumn("n", ip4_number(F.col("ip")))
-    out = block_lookup_join(left, "n", table, "net", max_rows=10_000)
-    got = {r.id: r.owner for r in out.select("id", "owner").collect()}
-    assert got == {i: brute(net_rows, t) for i, t in probe_rows}
-    assert block_lookup_join(left, "n", table, "net", max_rows=3) is None
+    edges = ["0.0.0.0", "255.255.255.255", "198.50.255.255", "198.51.0.0", "198.51.255.255", "198.52.0.0", "10.1.2.3"]
+    probe_rows = probe_rows + [(20_000 + i, ip) for i, ip in enumerate(edges)]
+    left = spark.createDataFrame(probe_rows, "id int, ip string").withColumn("n", ip4_number(F.col("ip")))
+    for spread, rows in ((256, table), (2, table), (256, table.filter("net.plen > 20")), (256, table.filter("net.plen = 0")), (256, table.filter("false"))):
+        monkeypatch.setattr(asof, "WIDE_SPREAD", spread)
+        kept = {str(ipaddress.ip_network(k)) for k in (r.t for r in rows.select(cidr_text(F.col("net")).alias("t")).collect())}
+        some = {n: v for n, v in net_rows.items() if str(n) in kept}
+        out = asof.interval_join(left, "n", asof.record_intervals(rows, "net")).select("id", "record.owner").collect()
+        assert sorted((r.id, r.owner) for r in out) == sorted((i, brute(some, t)) for i, t in probe_rows)
+
+
+def test_interval_join_has_one_plan(spark):
+    """No size of either side changes the plan, and groups of the merge are /16 blocks."""
+    _, _, table, left = fixture(spark, nets=20, probes=20)
+    intervals = asof.record_intervals(table, "net")
+    plan = asof.resolve(left.select(ip4_number(F.col("ip")).alias("n")).distinct(), "n", intervals)._jdf.queryExecution().toString()
+    assert "Window" in plan and "_block" in plan and "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_intervals_are_disjoint(spark):

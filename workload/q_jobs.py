@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from cidrloom.functions.ip import cidr_text, parse_cidr
+from cidrloom.functions.jsontext import canonical
 from cidrloom.plans import enrich as E
 from cidrloom.plans.gateways import build_gateways
 from cidrloom.plans.lookup import build_lookup, lookup_intervals
@@ -121,11 +122,15 @@ ENRICHED_SQL = oracle("""
     FROM z_log_ips e LEFT JOIN ips i ON i.event_id = e.event_id LEFT JOIN hit h ON h.ip = i.ip LEFT JOIN gws g ON g.range = h.range LEFT JOIN rw w ON w.network = h.range""", **IP_RANGE)
 
 
+HOT_LOGS = "SELECT event_id, CASE WHEN event_id % 5 = 0 THEN ip ELSE 3325256704 + 7919 END AS ip FROM z_log_ips"
+
+
 def log_records(spark, d):
-    return shape(spark, d, "z_logs").select(F.col("event_id").alias("log_id"), F.try_parse_json("line").alias("record"))
+    return shape(spark, d, "z_logs").select(F.col("event_id").alias("log_id"), canonical(F.col("line")).alias("record"))
 
 
 def _enriched(rows):
+    rows = rows.withColumn("record", F.parse_json("record"))
     get = lambda p, t: F.try_variant_get("record", p, t)
     found = F.schema_of_variant(get("$.mmdb", "variant")) != "VOID"
     return rows.select("log_id", get("$.type", "string").alias("type"), found.alias("found"), get("$.mmdb.whois.netname", "string").alias("netname"), get("$.mmdb.country.iso_code", "string").alias("country"),
@@ -137,28 +142,35 @@ def j6_enrich(spark, d):
     return _enriched(E.enrich_logs(log_records(spark, d), "ip", inputs.lookup(spark, d)))
 
 
-@query("j6_enrich_logs_shuffle", ENRICHED_SQL)
+# Four of five logs have one address here, which is far more than a task should hold.
+@query("j6_enrich_logs_shuffle", oracle("""
+    SELECT e.event_id AS log_id, h.range IS NOT NULL AS found, w.netname FROM hot e LEFT JOIN hit h ON h.ip = e.ip LEFT JOIN rw w ON w.network = h.range""",
+    **IP_RANGE, hot=HOT_LOGS))
 def j6_enrich_shuffle(spark, d):
-    return _enriched(E.enrich_logs(log_records(spark, d), "ip", inputs.lookup(spark, d), broadcast_records=0))
+    logs = run(spark, d, f"SELECT event_id AS log_id, concat('{{\"ip\":\"', {ip4('ip')}, '\"}}') AS line FROM ({HOT_LOGS}) t")
+    return _enriched(E.enrich_logs(logs.select("log_id", canonical(F.col("line")).alias("record")), "ip", inputs.lookup(spark, d))).select("log_id", "found", "netname")
 
 
 @query("j6_enrich_stream", ENRICHED_SQL)
 def j6_stream(spark, d):
     source, sink = staging_path(spark, "log-source"), staging_path(spark, "log-sink")
     run(spark, d, "SELECT event_id AS log_id, line FROM z_logs").write.parquet(source)
-    logs = spark.readStream.schema("log_id bigint, line string").parquet(source).select("log_id", F.try_parse_json("line").alias("record"))
+    logs = spark.readStream.schema("log_id bigint, line string").parquet(source).select("log_id", canonical(F.col("line")).alias("record"))
     enrich_stream(logs, "ip", inputs.lookup(spark, d), sink, staging_path(spark, "log-checkpoint"), every=None).awaitTermination()
     return _enriched(spark.read.parquet(sink))
 
 
 @query("j7_lookup_intervals", oracle("""
-    SELECT range, CAST(count(*) AS BIGINT) AS addresses FROM (
+    SELECT range, CAST(count(*) AS BIGINT) AS addresses, min(ip) AS lowest, max(ip) AS highest, CAST(sum(ip % 65521) AS BIGINT) AS mixed FROM (
         SELECT a.ip, g.range, row_number() OVER (PARTITION BY a.ip ORDER BY g.plen DESC) AS rn
         FROM (SELECT ip, CAST(unnest(range(20, 33)) AS BIGINT) AS plen FROM (SELECT CAST(unnest(range(3325256704 - 4096, 3325256704 + 65536 + 4096)) AS BIGINT) AS ip) x) a
         JOIN gws g ON g.plen = a.plen AND g.net = a.ip // CAST(pow(2, 32 - a.plen) AS BIGINT) * CAST(pow(2, 32 - a.plen) AS BIGINT)) t WHERE rn = 1 GROUP BY range""", **FULL))
 def j7_intervals(spark, d):
     spans = lookup_intervals(inputs.lookup(spark, d))
-    return spans.groupBy("range").agg(F.sum(F.col("hi") - F.col("lo") + 1).alias("addresses"))
+    size = F.col("hi") - F.col("lo") + 1
+    # The sum of remainders over all addresses tells intervals apart that only have the same size and ends.
+    mixed = F.aggregate(F.sequence("lo", "hi"), F.lit(0).cast("bigint"), lambda t, x: t + x % 65521)
+    return spans.groupBy("range").agg(F.sum(size).alias("addresses"), F.min("lo").alias("lowest"), F.max("hi").alias("highest"), F.sum(mixed).alias("mixed"))
 
 
 @query("j8_query_ips", oracle(f"""
@@ -188,8 +200,8 @@ def j11_duplicates(spark, d):
     return count(conflicts, "conflict").unionByName(count(sheets, "sheets")).unionByName(count(unknown, "unknown"))
 
 
-LOG_PATHS = """SELECT unnest(['cents', 'deep', 'deep.x', 'deep.x.y', 'deep.z', 'flag', 'id', 'ip', 'num', 'props', 'props.k', 'tags', 'type']) AS path,
-    unnest(['number', 'object', 'object', 'number', 'string', CASE WHEN first % 3 = 1 THEN 'bool' ELSE 'string' END, 'number', CASE WHEN first % 17 = 0 THEN 'null' ELSE 'string' END, CASE WHEN first % 4 = 1 THEN 'number' ELSE 'string' END, 'object', 'number', 'list', 'string']) AS type_tag
+LOG_PATHS = """SELECT unnest(['cents', 'deep', 'deep.x', 'deep.x.y', 'deep.z', 'flag', 'id', 'ip', 'num', 'props', 'props.k', 'ratio', 'tags', 'type']) AS path,
+    unnest(['number', 'object', 'object', 'number', 'string', CASE WHEN first % 3 = 1 THEN 'bool' ELSE 'string' END, 'number', CASE WHEN first % 17 = 0 THEN 'null' ELSE 'string' END, CASE WHEN first % 4 = 1 THEN 'number' ELSE 'string' END, 'object', 'number', 'number', 'list', 'string']) AS type_tag
     FROM (SELECT min(event_id) AS first FROM z_log_ips) t"""
 
 
@@ -206,10 +218,36 @@ def u4_schema_union(spark, d):
     return out.withColumn("part", F.col("part").cast("bigint"))
 
 
-@query("j12_discover_fields")
+# Path, type and presence of every field of the lookup records, by hand.
+def _sheet_fields(kind, found, host="NULL", port="NULL"):
+    top = f"xlsx.{kind}"
+    parts = [(top, "object", found), (f"{top}.filename", "string", found), (f"{top}.sheetname", "string", found), (f"{top}.fields", "object", found), (f"{top}.fields.site", "string", found),
+             (f"{top}.fields.notes", "list", found), (f"{top}.fields.network", "list", found), (f"{top}.fields.host", "string", f"{host} IS NOT NULL"), (f"{top}.fields.port", "string", f"{port} IS NOT NULL")]
+    return parts
+
+
+_DEVICE = ["ip", "ptr", "device", "device_role", "facility", "interface", "facing"]
+_LOOKUP_FIELDS = [
+    ("continent", "object", "c.continent IS NOT NULL"), ("continent.code", "string", "c.continent IS NOT NULL"), ("country", "object", "w.country IS NOT NULL"), ("country.iso_code", "string", "w.country IS NOT NULL"),
+    ("autonomous_system_number", "number", "w.as_num IS NOT NULL"), ("autonomous_system_organization", "string", "w.as_name IS NOT NULL"),
+    ("whois", "object", "w.wnet IS NOT NULL"), ("whois.inetnum", "string", "w.wnet IS NOT NULL"), ("whois.netname", "string", "w.netname IS NOT NULL"), ("whois.descr", "string", "d.descr IS NOT NULL"), ("whois.source", "string", "w.wnet IS NOT NULL"),
+    ("gateway", "object", "g.ip IS NOT NULL OR g.ptr IS NOT NULL OR g.device IS NOT NULL"), *[(f"gateway.{x}", "string", f"g.{x} IS NOT NULL") for x in _DEVICE],
+    ("xlsx", "object", "a.brow IS NOT NULL OR a.hrow IS NOT NULL"), *_sheet_fields("backbone", "a.brow IS NOT NULL", "s.host", "s.port"), *_sheet_fields("hosting", "a.hrow IS NOT NULL"),
+    ("xlsx_matched", "object", "true"), ("xlsx_matched.backbone", "bool", "true"), ("xlsx_matched.hosting", "bool", "true"), ("gateway_found", "bool", "true"),
+]
+
+
+@query("j12_discover_fields", oracle(f"""
+    SELECT path, type_tag, 0 AS part FROM p
+    UNION ALL SELECT 'mmdb', CASE WHEN (SELECT count(*) FROM z_log_ips e JOIN hit h ON h.ip = e.ip JOIN ips i ON i.event_id = e.event_id WHERE e.event_id = (SELECT min(event_id) FROM z_log_ips)) > 0 THEN 'object' ELSE 'null' END, 0
+    UNION ALL SELECT concat('mmdb.', f.path), any_value(f.tag), min(CASE WHEN EXISTS (SELECT 1 FROM hit h JOIN ips i ON i.ip = h.ip WHERE h.range = l.range) THEN 0 ELSE 1 END)
+    FROM (SELECT range, unnest(fields) AS f FROM lk) l WHERE f.found GROUP BY f.path""", **IP_RANGE, conts=CONTINENTS, p=LOG_PATHS, lk=f"""
+    SELECT g.range, [{', '.join(f"struct_pack(path := '{path}', tag := '{tag}', found := ({found}))" for path, tag, found in _LOOKUP_FIELDS)}] AS fields
+    FROM gws g LEFT JOIN rw w ON w.network = g.range LEFT JOIN z_whois d ON d.network = w.wnet LEFT JOIN conts c ON c.cc = w.country JOIN attached a ON a.range = g.range
+    LEFT JOIN z_sheet s ON s.sheettype = 'backbone' AND s.file = a.bfile AND s.sheet = a.bsheet AND s.row_index = a.brow"""))
 def j12_fields(spark, d):
     table = inputs.lookup(spark, d)
-    records = table.select(F.col("range").alias("record_id"), F.parse_json(F.to_json(F.struct(*[c for c in table.columns if c != "range"]), {"ignoreNullFields": "true"})).alias("record"))
+    records = E.lookup_text(table).select(F.col("range").alias("record_id"), F.col("text").alias("record"))
     enriched = inputs.once(spark, d, "enriched", lambda: E.enrich_logs(log_records(spark, d), "ip", table))
     return E.discover_fields(enriched, records)
 

@@ -6,7 +6,8 @@ from cidrloom.functions.ip import parse_ip
 from cidrloom.operators import conflicts as C
 from cidrloom.operators import dns as D
 from cidrloom.operators import match as M
-from cidrloom.operators.prefix import block_lookup_join, longest_prefix_join
+from cidrloom.operators.asof import interval_join, record_intervals
+from cidrloom.operators.prefix import longest_prefix_join
 from cidrloom.plans.gateways import attach_whois, match_summary
 from cidrloom.plans.reports import unmatched
 from cidrloom.sources import sheets
@@ -42,15 +43,15 @@ def _records(spark, d):
     return inputs.whois(spark, d).select("net", "network", "whois.netname")
 
 
+# As-of join over intervals; the name is from the broadcast form that it replaced.
 @query("j_lookup_broadcast", LOOKUP_SQL)
 def lookup_broadcast(spark, d):
     logs = shape(spark, d, "z_log_ips").select("event_id", "ip")
-    out = block_lookup_join(logs, "ip", _records(spark, d), "net", max_rows=1_000_000)
-    if out is None:  # too many records to broadcast
-        return lookup_shuffle(spark, d)
-    return out.select("event_id", "ip", "network", "netname")
+    out = interval_join(logs, "ip", record_intervals(_records(spark, d), "net"))
+    return out.select("event_id", "ip", "record.network", "record.netname")
 
 
+# Both address families: hash join on prefix lengths.
 @query("j_lookup_shuffle", LOOKUP_SQL)
 def lookup_shuffle(spark, d):
     logs = run(spark, d, f"SELECT event_id, ip, {ip4('ip')} AS text FROM z_log_ips").withColumn("probe", parse_ip(F.col("text")))

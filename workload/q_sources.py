@@ -3,7 +3,8 @@
 from pyspark.sql import functions as F
 
 from cidrloom.functions.fields import ProjectedField
-from cidrloom.functions.ip import cidr_text
+from cidrloom.functions.ip import cidr_text, parse_cidr
+from cidrloom.functions.jsontext import canonical
 from cidrloom.plans.enrich import project_logs
 from cidrloom.session import staging_path
 from cidrloom.sources import readers, registry, sheets, sinks
@@ -65,14 +66,14 @@ def read_sheet_rows(spark, d):
     return rows.select("source.file", "source.sheet", "source.row_index", "source.sheettype", F.variant_get("fields", "$.site", "string").alias("site"))
 
 
-@query("s4_read_logs", oracle("SELECT event_id AS id, event_type AS type, cents FROM z_log_ips WHERE event_id % 29 > 1"))
+@query("s4_read_logs", oracle("SELECT e.event_id AS id, event_type AS type, cents, ratio FROM z_log_ips e JOIN z_log_texts t ON t.event_id = e.event_id WHERE e.event_id % 29 > 1"))
 def read_logs(spark, d):
     lines = run(spark, d, "SELECT CASE WHEN event_id % 29 = 0 THEN '' WHEN event_id % 29 = 1 THEN '{\"id\":' ELSE line END AS value FROM z_logs")
     path = staging_path(spark, "logs") + ".jsonl"
     sinks.write_text_lines(lines, path)
     record = readers.read_logs(spark, path).select("record")
-    get = lambda p, t: F.variant_get("record", p, t)
-    return record.select(get("$.id", "bigint").alias("id"), get("$.type", "string").alias("type"), get("$.cents", "bigint").alias("cents"))
+    get = lambda p, t: F.get_json_object("record", p).cast(t)
+    return record.select(get("$.id", "bigint").alias("id"), get("$.type", "string").alias("type"), get("$.cents", "bigint").alias("cents"), get("$.ratio", "string").alias("ratio"))
 
 
 GATEWAY_LINES = """
@@ -257,18 +258,30 @@ def write_tables(spark, d):
     pq, js = staging_path(spark, "whois-pq"), staging_path(spark, "whois-js")
     sinks.write_parquet(rows, pq)
     sinks.write_json_lines(rows, js, skip_empty=True)
-    out = spark.read.parquet(pq).withColumn("format", F.lit("parquet"))
-    return out.unionByName(spark.read.schema("network string, netname string, country string").json(js).withColumn("format", F.lit("json")))
+    out = sinks.read_table(spark, pq).withColumn("format", F.lit("parquet"))
+    return out.unionByName(sinks.read_table(spark, js).withColumn("format", F.lit("json")))
 
 
 @query("s20_write_enriched", oracle("""
-    SELECT 'raw' AS part, CAST(count(*) AS BIGINT) AS n, min(CAST(event_id AS BIGINT)) AS lowest FROM z_log_ips UNION ALL SELECT concat('{"id":', event_id, ',"t":"', event_type, '"}'), 1, event_id FROM z_log_ips"""))
+    SELECT 'raw' AS part, concat(head, tail) AS line FROM z_log_texts
+    UNION ALL SELECT 'projected', concat('{"id":', e.event_id, ',"r":"', ratio, '","t":"', event_type, '"}') FROM z_log_ips e JOIN z_log_texts t ON t.event_id = e.event_id"""))
 def write_enriched(spark, d):
-    logs = shape(spark, d, "z_logs").select(F.col("event_id").alias("log_id"), F.try_parse_json("line").alias("record"))
-    raw, projected = staging_path(spark, "raw"), staging_path(spark, "projected")
-    sinks.write_enriched(logs, raw, projected, lambda t: project_logs(t, [ProjectedField("id"), ProjectedField("type", "t")]))
-    whole = spark.read.text(raw).agg(F.lit("raw").alias("part"), F.count("*").alias("n"), F.min(F.get_json_object("value", "$.id").cast("bigint")).alias("lowest"))
-    return whole.unionByName(spark.read.text(projected).select(F.col("value").alias("part"), F.lit(1).cast("bigint").alias("n"), F.get_json_object("value", "$.id").cast("bigint").alias("lowest")))
+    logs = shape(spark, d, "z_logs").select(F.col("event_id").alias("log_id"), canonical(F.col("line")).alias("record"))
+    root = staging_path(spark, "enriched-logs")
+    sinks.write_enriched(logs, root, lambda t: project_logs(t, [ProjectedField("id"), ProjectedField("type", "t"), ProjectedField("ratio", "r", "string")]))
+    line = lambda part: sinks.read_table(spark, root, part).select(F.lit(part).alias("part"), F.col("value").alias("line"))
+    return line("raw").unionByName(line("projected"))
+
+
+# The same logs as array files without line breaks.
+@query("s4_read_log_arrays", oracle("SELECT event_id AS id, concat(head, tail) AS record FROM z_log_texts"))
+def read_log_arrays(spark, d):
+    lines = shape(spark, d, "z_logs").select("event_id", "line")
+    whole = lines.groupBy(F.col("event_id") % 7).agg(F.concat(F.lit("[ "), F.array_join(F.collect_list("line"), " ,"), F.lit("]")).alias("value"))
+    path = staging_path(spark, "log-arrays")
+    whole.select("value").write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
+    record = readers.read_logs(spark, path).select("record")
+    return record.select(F.get_json_object("record", "$.id").cast("bigint").alias("id"), "record")
 
 
 @query("s21_append_traces", oracle("""
@@ -279,3 +292,21 @@ def append_trace_stream(spark, d):
     sink, checkpoint = staging_path(spark, "trace-sink"), staging_path(spark, "trace-checkpoint")
     append_traces(spark, source, sink, checkpoint, files_per_batch=4, every=None).awaitTermination()
     return spark.read.parquet(sink).select("destination", "measured_at", F.size("hops").cast("bigint").alias("hops"))
+
+
+# Documents that land three times, twice in one run and once more in the next, are appended once per pair.
+@query("s21_resume_traces", oracle("""
+    SELECT range, destination, CAST(1 AS BIGINT) AS n FROM (SELECT d.destination, m.network AS range, row_number() OVER (PARTITION BY d.destination ORDER BY m.plen DESC) AS rn
+        FROM (SELECT DISTINCT destination, dest FROM docs WHERE kind = 'trace' AND trace_id % 103 <> 7) d
+        JOIN (SELECT DISTINCT network, net, plen, size FROM z_nets WHERE plen >= 27) m ON m.net <= d.dest AND d.dest < m.net + m.size) t WHERE rn = 1""", docs=DOC_KINDS))
+def resume_trace_stream(spark, d):
+    lines = trace_docs(spark, d).select(F.col("doc").alias("value"))
+    nets = run(spark, d, "SELECT DISTINCT network, CAST(net AS BIGINT) AS first, CAST(size AS BIGINT) AS size FROM z_nets WHERE plen >= 27")
+    planned = nets.select("network", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("ip"))
+    targets = planned.select(parse_cidr(F.col("network")).alias("net"), "ip")
+    source, sink, checkpoint = (staging_path(spark, f"resume-{x}") for x in ("source", "sink", "checkpoint"))
+    for copies in (2, 1):
+        for _ in range(copies):
+            lines.write.mode("append").text(source)
+        append_traces(spark, source, sink, checkpoint, files_per_batch=3, every=None, targets=targets).awaitTermination()
+    return spark.read.parquet(sink).groupBy("range", "destination").agg(F.count("*").alias("n"))

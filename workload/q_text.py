@@ -4,7 +4,8 @@ from pyspark.sql import functions as F
 
 from cidrloom.functions import fields, patterns, text
 from cidrloom.functions.fields import ProjectedField
-from cidrloom.functions.ip import cidr_text
+from cidrloom.functions.ip import cidr_text, let
+from cidrloom.functions.jsontext import canonical
 from cidrloom.functions.patterns import INTERFACE_CODES, INTERFACE_NORMALIZER, Normalizer, NormalizeRule, PtrPattern
 from cidrloom.sources.sheets import cell_struct
 from workload.registry import query
@@ -168,55 +169,55 @@ def merge_addresses(spark, d):
 
 
 def _logs(spark, d):
-    return shape(spark, d, "z_logs").select("event_id", F.try_parse_json("line").alias("record"))
+    return shape(spark, d, "z_logs").select("event_id", canonical(F.col("line")).alias("record"))
 
 
 @query("t16_flatten_fields", oracle("""
     SELECT p.path, p.tag AS type_tag, CAST(count(*) AS BIGINT) AS n FROM z_logs l, LATERAL (
-        SELECT unnest(['cents', 'deep', 'deep.x', 'deep.x.y', 'deep.z', 'flag', 'id', 'ip', 'num', 'props', 'props.k', 'tags', 'type']) AS path,
+        SELECT unnest(['cents', 'deep', 'deep.x', 'deep.x.y', 'deep.z', 'flag', 'id', 'ip', 'num', 'props', 'props.k', 'ratio', 'tags', 'type']) AS path,
                unnest(['number', 'object', 'object', 'number', 'string', CASE WHEN event_id % 3 = 1 THEN 'bool' ELSE 'string' END, 'number', CASE WHEN event_id % 17 = 0 THEN 'null' ELSE 'string' END,
-                       CASE WHEN event_id % 4 = 1 THEN 'number' ELSE 'string' END, 'object', 'number', 'list', 'string']) AS tag) p GROUP BY ALL"""))
+                       CASE WHEN event_id % 4 = 1 THEN 'number' ELSE 'string' END, 'object', 'number', 'number', 'list', 'string']) AS tag) p GROUP BY ALL"""))
 def flatten_fields(spark, d):
     nodes = fields.flatten_fields(_logs(spark, d), "record", ["event_id"])
     return nodes.groupBy("path", "type_tag").agg(F.count("*").alias("n"))
 
 
 @query("t17_flatten_display", oracle("""
-    SELECT event_id, unnest(['cents', 'deep.x.y', 'deep.z', 'flag', 'id', 'props.k', 'tags', 'type']) AS key,
-           unnest([CAST(cents AS VARCHAR), CAST(event_id % 7 AS VARCHAR), 'w', CASE WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'false' ELSE 'maybe' END, CAST(event_id AS VARCHAR),
-                   regexp_extract(props, '[0-9]+'), concat('a, ', event_id % 5, ', true, null'), event_type]) AS text FROM z_log_ips"""))
+    SELECT e.event_id, unnest(['cents', 'deep.x.y', 'deep.z', 'flag', 'id', 'ip', 'num', 'props.k', 'ratio', 'tags', 'type']) AS key,
+           unnest([CAST(cents AS VARCHAR), CAST(e.event_id % 7 AS VARCHAR), 'w', flag, CAST(e.event_id AS VARCHAR), ip_text, num,
+                   regexp_extract(props, '[0-9]+'), ratio, concat('a, ', e.event_id % 5, ', true, null'), event_type]) AS text FROM z_log_ips e JOIN z_log_texts t ON t.event_id = e.event_id"""))
 def flatten_display(spark, d):
-    rows = fields.flatten_display(_logs(spark, d), "record", ["event_id"])
-    return rows.filter(~F.col("key").isin("ip", "num")).select("event_id", "key", "text")
+    return fields.flatten_display(_logs(spark, d), "record", ["event_id"]).select("event_id", "key", "text")
 
 
 @query("t18_get_by_path", oracle("SELECT event_id, event_id % 7 AS y, CAST(regexp_extract(props, '[0-9]+') AS BIGINT) AS k, true AS missing FROM z_log_ips"))
 def get_by_path(spark, d):
     v = lambda p: fields.get_by_path(F.col("record"), p)
-    return _logs(spark, d).select("event_id", v("deep.x.y").cast("bigint").alias("y"), v("props.k").cast("bigint").alias("k"), v("deep.q.y").isNull().alias("missing"))
+    logs = _logs(spark, d).withColumn("record", F.parse_json("record"))
+    return logs.select("event_id", v("deep.x.y").cast("bigint").alias("y"), v("props.k").cast("bigint").alias("k"), v("deep.q.y").isNull().alias("missing"))
 
 
 @query("t19_coerce", oracle("""
     SELECT event_id, CASE event_id % 4 WHEN 0 THEN '64497' WHEN 1 THEN '7' ELSE '"not-a-number"' END AS as_integer,
            CASE event_id % 3 WHEN 0 THEN 'true' WHEN 1 THEN 'false' ELSE '"maybe"' END AS as_bool,
-           concat('"a|', event_id % 5, '|true|null"') AS joined, '""' AS list_text, concat('{"y":', event_id % 7, '}') AS kept, concat('"', event_id, '"') AS as_string FROM z_log_ips"""))
+           concat('"a|', event_id % 5, '|true|null"') AS joined, '""' AS list_text, concat('{"y":', event_id % 7, '}') AS kept, concat('"', event_id, '"') AS as_string,
+           concat('"', ratio, '"') AS ratio_string, ratio AS ratio_integer FROM z_log_texts"""))
 def coerce(spark, d):
     def cell(path, to):
-        return F.to_json(fields.coerce(fields.get_by_path(F.col("record"), path), to, "|"))
+        return let(fields.node_at(F.col("record"), path), lambda n: fields.coerce_text(n["type_tag"], n["value"], to, "|"))
 
     return _logs(spark, d).select(
-        "event_id", cell("num", "integer").alias("as_integer"), cell("flag", "bool").alias("as_bool"), cell("tags", "array_join").alias("joined"),
-        cell("tags", "string").alias("list_text"), cell("deep.x", "array_join").alias("kept"), cell("id", "string").alias("as_string"))
+        "event_id", cell("num", "integer").alias("as_integer"), cell("flag", "bool").alias("as_bool"), cell("tags", "array_join").alias("joined"), cell("tags", "string").alias("list_text"),
+        cell("deep.x", "array_join").alias("kept"), cell("id", "string").alias("as_string"), cell("ratio", "string").alias("ratio_string"), cell("ratio", "integer").alias("ratio_integer"))
 
 
-PROJECTION = [ProjectedField("deep", "d", "string"), ProjectedField("deep.x.y", "why", "integer"), ProjectedField("id", None, "string"), ProjectedField("gone"), ProjectedField("tags", "t", "array_join"), ProjectedField("type", "id")]
+PROJECTION = [ProjectedField("deep", "d", "string"), ProjectedField("deep.x.y", "why", "integer"), ProjectedField("id", None, "string"), ProjectedField("gone"), ProjectedField("tags", "t", "array_join"), ProjectedField("type", "id"), ProjectedField("ratio")]
 
 
 @query("t20_project_fields", oracle("""
-    SELECT event_id, concat('{"d.z":"w","id":"', event_type, '","t":"a, ', event_id % 5, ', true, null","why":', event_id % 7, '}') AS record FROM z_log_ips"""))
+    SELECT e.event_id, concat('{"d.z":"w","id":"', event_type, '","ratio":', ratio, ',"t":"a, ', e.event_id % 5, ', true, null","why":', e.event_id % 7, '}') AS record FROM z_log_ips e JOIN z_log_texts t ON t.event_id = e.event_id"""))
 def project_fields(spark, d):
-    rows = fields.project_fields(_logs(spark, d), "record", "event_id", PROJECTION)
-    return fields.project_record(rows, "event_id")
+    return fields.project_record(_logs(spark, d), "record", "event_id", PROJECTION)
 
 
 def _duck_normalize(col: str) -> str:

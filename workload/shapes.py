@@ -64,11 +64,21 @@ SHAPES = {
                {BASE} + (event_id * 7919) % 131072 AS ip FROM @events@""",
     "z_logs": f"""
         SELECT event_id, ip, concat('{{"id":', event_id, ',"ip":', CASE WHEN event_id % 17 = 0 THEN 'null' WHEN event_id % 19 = 0 THEN '"2001:db8::1"'
-                 ELSE concat('"', {ip4('ip')}, '"') END, ',"type":"', event_type, '","cents":', cents, ',"props":', props,
+                 ELSE concat('"', {ip4('ip')}, '"') END, ',"type":"', event_type, '","cents":', cents, ',"ratio":', CASE WHEN event_id % 3 = 0 THEN '1.0' WHEN event_id % 3 = 1 THEN '1e3' ELSE '2.50' END, ',"props":', props,
                  ',"flag":', CASE WHEN event_id % 3 = 0 THEN '"yes"' WHEN event_id % 3 = 1 THEN 'false' ELSE '"maybe"' END,
                  ',"num":', CASE WHEN event_id % 4 = 0 THEN '"64497"' WHEN event_id % 4 = 1 THEN '7' ELSE '"not-a-number"' END,
-                 ',"tags":["a",', event_id % 5, ',true,null],"deep":{{"x":{{"y":', event_id % 7, '}},"z":"w"}}}}') AS line
+                 ',"tags":["a",', event_id % 5, ',true,null],"deep":{{"z":"v","x":{{"y":-1,"y":', event_id % 7, '}},"z":"w"}}}}') AS line
         FROM z_log_ips""",
+    # The same records in canonical form: keys sorted, the last of repeated keys, numbers spelled out.
+    "z_log_texts": f"""
+        SELECT event_id, ip, concat('{{"cents":', cents, ',"deep":{{"x":{{"y":', event_id % 7, '}},"z":"w"}},"flag":', CASE WHEN flag = 'false' THEN 'false' ELSE concat('"', flag, '"') END,
+                 ',"id":', event_id, ',"ip":', CASE WHEN event_id % 17 = 0 THEN 'null' ELSE concat('"', ip_text, '"') END) AS head,
+               concat(',"num":', CASE WHEN num = '7' THEN num ELSE concat('"', num, '"') END, ',"props":', replace(props, ' ', ''), ',"ratio":', ratio,
+                 ',"tags":["a",', event_id % 5, ',true,null],"type":"', event_type, '"}}') AS tail, flag, num, ratio, ip_text
+        FROM (SELECT *, CASE WHEN event_id % 3 = 0 THEN 'yes' WHEN event_id % 3 = 1 THEN 'false' ELSE 'maybe' END AS flag,
+                 CASE WHEN event_id % 4 = 0 THEN '64497' WHEN event_id % 4 = 1 THEN '7' ELSE 'not-a-number' END AS num,
+                 CASE WHEN event_id % 3 = 0 THEN '1.0' WHEN event_id % 3 = 1 THEN '1000.0' ELSE '2.5' END AS ratio,
+                 CASE WHEN event_id % 17 = 0 THEN 'null' WHEN event_id % 19 = 0 THEN '2001:db8::1' ELSE {ip4('ip')} END AS ip_text FROM z_log_ips) t""",
     "z_traces": f"""
         SELECT o_orderkey AS trace_id, n.network AS range, n.net, n.plen, n.size, n.k,
                concat(replace(CAST(o_orderdate AS STRING), ' ', 'T'), 'Z') AS measured_at, '192.0.2.1' AS source,
