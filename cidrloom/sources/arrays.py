@@ -62,13 +62,13 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     ends = F.when((quoted == 0) & (deep == 1), 1).otherwise(0)
     known = known.select(*SPLIT, "id", "value", (F.col("start") + F.col("at")).alias("offset"), ends.alias("ends"))
     known = cut_lineage(known.withColumn("nth", _before("ends", SPLIT, "id")))
-    counts = known.groupBy(*SPLIT).agg(F.sum("ends").alias("ends"))
-    counts = counts.select(*SPLIT, _before("ends", SPLIT[:1], SPLIT[1]).alias("first"), F.sum("ends").over(Window.partitionBy(SPLIT[0])).alias("final"))
+    counts = known.groupBy(*SPLIT).agg(F.sum("ends").alias("ends"), F.max("nth").alias("nth"))
+    counts = counts.withColumn("first", _before("ends", SPLIT[:1], SPLIT[1]))
+    counts = counts.select(*SPLIT, "first", F.max(F.col("first") + F.col("nth")).over(Window.partitionBy(SPLIT[0])).alias("final"))
     pieces = known.join(counts, SPLIT).withColumn("element", F.col("first") + F.col("nth"))
     # One element is one record, so what is gathered is bounded by the largest record.
     piece = F.struct(SPLIT[1], "id", "value")
     whole = pieces.groupBy("file_path", "element").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min("offset").alias("offset"), F.first("final").alias("final"))
-    # The last comma, if any, stands before the closing bracket's piece, which may end the array at depth 0.
     text = F.array_join(F.transform("p", lambda p: p["value"]), ",")
     last = F.col("element") == F.col("final")
     opened = F.when(F.col("element") == 0, F.regexp_replace(text, r"\A\s*+\[", F.lit(""))).otherwise(text)
