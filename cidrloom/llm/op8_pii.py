@@ -29,7 +29,7 @@ from cidrloom.llm.kit import Tables
 SUPPORT = 3
 GENERALISE = 0.75
 REMOVE = 0.95
-FILTER_BITS = 1 << 22
+FILTER_BITS = 1 << 18
 SPREAD = 16
 KINDS = ("email", "ip", "card", "phone")
 

@@ -56,7 +56,7 @@ def test_disclosure_equals_counts_by_hand(shared, monkeypatch):
     df = shared.createDataFrame(rows, "doc_id long, t string").repartition(4)
     want = _plain(rows)
     assert {"removed", "general"} <= set(want.values())
-    for bits in (1 << 22, 128):  # a full filter lets every word pass and changes nothing
+    for bits in (1 << 18, 128):  # a full filter lets every word pass and changes nothing
         monkeypatch.setattr(op8_pii, "FILTER_BITS", bits)
         got = op8_pii.disclosing_terms(op8_pii.with_base(df, "t"), "t", Tables(shared))
         assert {r.term: r.kind for r in got.collect()} == want
@@ -73,5 +73,5 @@ def test_a_filter_holds_all_of_its_terms(shared):
     words = shared.range(3000).select(F.concat(F.lit("w"), "id").alias("term"))
     asked = shared.range(20000).select(F.concat(F.lit("w"), "id").alias("term"), "id")
     passed = {r.id for r in asked.filter(op8_pii.may_hold(op8_pii.term_filter(words), F.col("term"))).collect()}
-    assert set(range(3000)) <= passed and len(passed) < 3100
+    assert set(range(3000)) <= passed and len(passed) < 3600
     assert asked.filter(op8_pii.may_hold(op8_pii.term_filter(words.limit(0)), F.col("term"))).count() == 0
