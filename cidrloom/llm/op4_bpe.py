@@ -1,6 +1,6 @@
 """Byte-level BPE with a minimal acyclic transducer as lexicon.
 
-Word counts over the whole corpus choose up to `LEXICON` frequent words. Their token ids are the outputs of a minimal
+Word counts over the whole corpus choose up to `LEXICON` frequent words by a cut in the count. Their token ids are the outputs of a minimal
 acyclic automaton: equal suffixes share states, outputs are numbers of id lists that sum along a path. Its tables are one
 file in the shared folder, handed to every node once and memory-mapped there. Words of a text that the automaton accepts
 get their ids from it; all others are merged exactly by rank, all words of a block at a time.
@@ -9,7 +9,7 @@ Ids equal those of the tokenizers library with the same vocabulary file and add_
 an added token is that token. Decoding joins the tokens' bytes and reads them as UTF-8 with replacement.
 
 Defined cases: null and empty texts have no ids and decode to the empty text; repeated rows and ids, null ids and ties
-among word counts (broken by the word itself) change no result; an empty table gives no rows.
+among word counts (all in or all out) change no result; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -283,11 +283,25 @@ class Encoder:
 
 
 def frequent_words(docs: DataFrame, text: str = "text", limit: int = LEXICON) -> list[bytes]:
-    """The `limit` most frequent words of all texts, sorted by their bytes. Counted inside Spark; where its regular
-    expressions see another white space than the encoder, a word is merely missing from the lexicon."""
+    """Up to `limit` of the most frequent words of all texts, sorted by their bytes. Counted inside Spark; where its
+    regular expressions see another white space than the encoder, a word is merely missing from the lexicon.
+
+    The cut is a count: words are summed up by the step of their count (16 steps to each doubling, so at most some
+    thousand rows), and the steps that fit into `limit` together are fetched, never more than `limit` words.
+    """
     said = docs.select(F.explode(F.regexp_extract_all(F.col(text), F.lit(PATTERN), F.lit(0))).alias("word")).filter(F.octet_length("word") <= LEXICON_BYTES)
     total = said.groupBy("word").agg(F.count("*").alias("n")).filter(F.col("n") >= MIN_COUNT)
-    return sorted(r["word"].encode() for r in total.orderBy(F.desc("n"), "word").limit(limit).collect())
+    tables = kit.Tables(docs.sparkSession)
+    counted = tables.keep(total.select("word", F.floor(F.log2("n") * 16).cast("int").alias("step")), "words")
+    room, cut = limit, None
+    for r in counted.groupBy("step").count().orderBy(F.desc("step")).collect():
+        room -= r["count"]
+        if room < 0:
+            break
+        cut = r["step"]
+    words = [] if cut is None else sorted(r["word"].encode() for r in counted.filter(F.col("step") >= cut).select("word").collect())
+    tables.drop(counted)
+    return words
 
 
 def publish(spark: SparkSession, tables: dict[str, np.ndarray]) -> str:
