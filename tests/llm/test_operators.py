@@ -2,8 +2,10 @@
 
 import base64
 import hashlib
+import math
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 from itertools import combinations
 
 import pyarrow as pa
@@ -174,10 +176,66 @@ def test_url_model_separates_the_classes(shared):
     pages = shared.read.parquet("/root/testdata/sf0.01/pages.parquet")
     rows = op5_urls._letters(pages.withColumn("_host", op5_urls.host_of(F.col("url"))).withColumn("_path", op5_urls.path_of(F.col("url"))))
     good = F.col("_path").startswith("/fr/")
-    model = op5_urls.train(rows.select("_letters", F.when(good, 0).otherwise(1).alias("_block"), F.pmod(F.col("page_id"), F.lit(5)).alias("_fold")))
-    raw, at = kit.utf8(pa.array(["ththon.example.net/fr/0000", "ththon.example.net/de/0000"]))
-    allow, block = model.scores(raw, at)
-    assert allow > model.threshold > block
+    rows = rows.select("_letters", F.when(good, "allow").otherwise("block").alias("_said"), F.pmod(F.col("page_id"), F.lit(5)).alias("_fold"))
+    asked = ["ththon.example.net/fr/0000", "ththon.example.net/de/0000"]
+    urls = op5_urls.grouped(rows.unionByName(shared.createDataFrame([(u, None, 1) for u in asked], "_letters string, _said string, _fold long"))).cache()
+    score = op5_urls.scores(urls, kit.Tables(shared))
+    got = {r["letters"]: r["score"] for r in urls.join(score, "name").collect()}
+    assert got[asked[0]] > op5_urls.calibrated(urls, score) > got[asked[1]]
+
+
+def plain_url_scores(train, asked):
+    """Witten-Bell smoothing from counts in dictionaries: `train` holds (text, class), `asked` texts."""
+    counts = [Counter(), Counter()]
+    follows = [{}, {}]
+    pad = b"\xff" * op5_urls.ORDER
+    for text, c in train:
+        data = pad + text.encode()
+        for i in range(len(pad), len(data)):
+            for k in range(op5_urls.ORDER + 1):
+                counts[c][data[i - k : i], data[i]] += 1
+                follows[c].setdefault(data[i - k : i], Counter())[data[i]] += 1
+
+    def p(c, context, byte):
+        below = p(c, context[1:], byte) if context else 1 / 256
+        after = follows[c].get(context)
+        return (counts[c][context, byte] + len(after) * below) / (sum(after.values()) + len(after)) if after else below
+
+    out = {}
+    for text in asked:
+        data = pad + text.encode()
+        steps = [math.log(p(0, data[i - len(pad) : i], data[i])) - math.log(p(1, data[i - len(pad) : i], data[i])) for i in range(len(pad), len(data))]
+        out[text] = sum(steps) / len(steps) if steps else 0.0
+    return out
+
+
+def test_url_scores_equal_plain_smoothing(shared):
+    pages = shared.read.parquet(f"{SF}/pages.parquet").select("page_id", "url")
+    more = [(-1, "https://" + "lång.example.net/sta" * 20000 + "x/y"), (-2, None), (-3, "none"), (-3, "http://ü☃.net/ß"), (None, "http://q.net/fr/7")]
+    pages = pages.unionByName(shared.createDataFrame(more * 2, "page_id long, url string")).withColumns({c: F.lit(1) for c in ("name", "score", "m", "letters", "_key", "a")})
+    got = op5_urls.judge(pages)
+    assert got.columns == ["page_id", "host", "path", "rule", "verdict", "score"]
+    got = got.collect()
+    assert len(got) == pages.count()
+    said = dict(op5_urls.RULES[i][::-1] for i in range(len(op5_urls.RULES)))
+    zeros = lambda r: re.sub("[0-9]", "0", r["host"] + r["path"])
+    fold = {r["url"]: zlib.crc32(r["url"].encode()) % op5_urls.FOLDS for r in pages.select("url").collect() if r["url"]}
+    ruled = [(r["host"], r["path"], r["rule"]) for r in got if r["rule"]]
+    assert ruled
+    url_of = defaultdict(list)
+    for r in pages.select("url", op5_urls.host_of(F.col("url")).alias("host"), op5_urls.path_of(F.col("url")).alias("path")).collect():
+        if r["url"]:
+            url_of[r["host"], r["path"]].append(r["url"])
+    train = [(re.sub("[0-9]", "0", h + p), int(said[rule] == "block")) for h, p, rule in sorted(set(ruled)) for u in url_of[h, p] if fold[u]]
+    asked = {zeros(r) for r in got if not r["rule"]}
+    want = plain_url_scores(train, {t for t in asked if len(t) < 1000})
+    for r in got:
+        if r["rule"]:
+            assert r["score"] is None and r["verdict"] == said[r["rule"]]
+        elif zeros(r) in want:
+            assert abs(r["score"] - want[zeros(r)]) < 1e-7
+        else:
+            assert math.isfinite(r["score"])
 
 
 def test_language_held_out_accuracy(shared, odd):
