@@ -35,11 +35,16 @@ def staged(df: DataFrame, name: str = "llm") -> DataFrame:
     spark, schema, path = df.sparkSession, df.schema, new_path(df.sparkSession, name)
     df.write.parquet(path)
     del df
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()  # Spark drops shuffle files once the plan that made them is collected
+    release_shuffles(spark)
     return spark.read.schema(schema).parquet(path)
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Spark drops shuffle files once the plan that made them is collected."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 class Tables:
     """Stored intermediate tables of one job; `drop` deletes those that a later stored table has replaced."""
 

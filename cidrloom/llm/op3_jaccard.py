@@ -9,6 +9,8 @@ Texts meet through group signatures, which lose no pair. Two sets of sizes a and
 most (a + b)(1 - s)/(1 + s) shingles. Sizes are cut into classes; a class with at most D differing shingles hashes its
 sets into more than D groups, so one group at least is the same in both, and its hash is a key both have. Sets near
 the next class are keyed there too. A pair that shares only empty groups is met through keys of its empty groups.
+Keys are dealt in ranges of (key, node) and read once in their order, so the rows of a hot key spread over tasks and only
+keys of several nodes are kept.
 
 Equal sets are one node. In each bucket the node that meets most others is the centre. Every node is checked against its
 best centre, then, where components still meet, against the centres of all its buckets, which joins groups of near
@@ -41,6 +43,7 @@ DIMS = 1 << DIM_BITS
 CLASS = 1.5  # ratio of the sizes in one class
 BUCKET = 2048
 LEAF = 16
+REMEMBERED = 500_000  # sets a task knows as seen; copies beyond are keyed again, which changes no result
 
 
 # ---- sets -----------------------------------------------------------------------------------------------------------
@@ -117,10 +120,14 @@ def fetch_key(key: Column, text: Column) -> Column:
 
 
 def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
-    """`id, fetch, n, node, point, keys` of every row; `node` names the set, null for an empty one."""
+    """`id, fetch, n, node, point, keys` of every row; `node` names the set, null for an empty one.
+
+    Of equal sets in one task, the first alone has keys.
+    """
     rows = docs.select(F.col(key).alias("id"), F.col(text).alias("text"), fetch_key(F.col(key), F.col(text)).alias("fetch"))
 
     def work(batches):
+        given: set[int] = set()  # sets whose keys this task gave already, for copies
         for part, raw, at in kit.blocks(batches, "text"):
             codes, owner = shingles(raw, at, width)
             n = part.num_rows
@@ -129,7 +136,14 @@ def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width:
             np.add.at(node, owner, kit.mix(codes + np.uint64(19)))
             node = kit.mix(node + size.astype(np.uint64)).view(np.int64)
             point = np.bincount(owner * DIMS + (codes >> np.uint64(64 - DIM_BITS)).astype(np.int64), minlength=n * DIMS)
-            keys, rows = signatures(codes, owner, size, similarity)
+            fresh = np.zeros(n, bool)
+            for i in np.flatnonzero(size):
+                if int(node[i]) not in given:
+                    fresh[i] = True
+                    if len(given) < REMEMBERED:
+                        given.add(int(node[i]))
+            asked = fresh[owner]
+            keys, rows = signatures(codes[asked], owner[asked], np.where(fresh, size, 0), similarity)
             by = np.argsort(rows, kind="stable")
             ends = np.searchsorted(rows[by], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
@@ -245,8 +259,8 @@ def bounded(pairs: DataFrame, points: DataFrame, similarity=SIMILARITY) -> DataF
     return both.filter(shared * (part + whole) >= part * (F.col("n_a") + F.col("n_b"))).select("a", "b")
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
-    """The pairs `a, b` whose exact sets link. Every text that takes part is fetched once, packed."""
+def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, tables: kit.Tables, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
+    """The pairs `a, b` (a stored table) whose exact sets link, stored. Every text that takes part is fetched once, packed."""
     part_, whole = similarity
 
     def pack(batches):
@@ -275,7 +289,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
             yield batch.filter(pa.array(keep))
 
     texts = texts.select("fetch", "packed", "node").mapInArrow(named, "fetch string, packed binary, node long")
-    texts = staged(texts.select("node", "packed").dropDuplicates(["node"]), "texts")
+    texts = tables.keep(texts.select("node", "packed").dropDuplicates(["node"]), "texts")
     side = lambda c: texts.select(F.col("node").alias(c), F.col("packed").alias(f"packed_{c}"))
 
     def compare(batches):
@@ -291,7 +305,40 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
             out = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
 
-    return pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long")
+    links = tables.keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long"), "links")
+    tables.drop(texts)
+    return links
+
+
+# ---- buckets --------------------------------------------------------------------------------------------------------
+
+
+def shared_keys(keyed: DataFrame) -> DataFrame:
+    """The distinct `key, node` of keys that several nodes have; a key at the edge of a range may also come with one node.
+
+    One shuffle, by ranges of both columns, so that a key of many nodes spans as many tasks as it needs.
+    """
+
+    def work(batches):
+        before = held = None  # the key before the held row; the last row, whose next row is not known yet
+        for batch in batches:
+            key, node = (batch.column(i).to_numpy() for i in range(2))
+            if held is not None:
+                key, node = np.concatenate((held[0], key)), np.concatenate((held[1], node))
+            if not len(key):
+                continue
+            new = np.append(True, (key[1:] != key[:-1]) | (node[1:] != node[:-1]))
+            key, node = key[new], node[new]
+            same = key[1:] == key[:-1]
+            take = np.append(before is None or key[0] == before, same) | np.append(same, False)
+            take[-1] = False
+            yield pa.RecordBatch.from_arrays([pa.array(key[take]), pa.array(node[take])], names=["key", "node"])
+            before = key[-2] if len(key) > 1 else before
+            held = key[-1:].copy(), node[-1:].copy()
+        if held is not None:  # the run may go on in the next range
+            yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "node"])
+
+    return keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(work, "key long, node long")
 
 
 # ---- centres --------------------------------------------------------------------------------------------------------
@@ -320,32 +367,45 @@ def open_buckets(members: DataFrame, part: DataFrame) -> DataFrame:
 
 def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
     """`key, n, component, node` per row; `component` is the smallest id of its connected group."""
-    rows = staged(profiles(docs, key, text, similarity, width), "profiles")
-    nodes = rows.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"))
-    points = rows.filter("node is not null").select("node", "n", "point").dropDuplicates(["node"])
-    keyed = rows.filter("node is not null").select(F.explode("keys").alias("key"), "node")
-    shared = keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last")).filter("first != last").select("key")
-    members = staged(keyed.join(shared, "key").distinct(), "members")
+    spark = docs.sparkSession
+    tables = kit.Tables(spark)
+    check = lambda pairs: verified(pairs, sets, docs, key, text, tables, similarity, width)
+    made = tables.keep(profiles(docs, key, text, similarity, width), "profiles")
+    rows = tables.keep(made.select("id", "n", "node"), "rows")
+    members = tables.keep(shared_keys(made.select(F.explode("keys").alias("key"), "node")), "members")
+    sets = tables.keep(made.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
+    points = sets.select("node", "n", "point")
+    tables.drop(made)
+    kit.release_shuffles(spark)
     centre = centres(members)
     best = F.max_by("centre", F.struct("met", "centre"))
     star = members.join(centre, "key").filter("node != centre").groupBy(F.col("node").alias("a")).agg(best.alias("b"))
-    links = staged(verified(bounded(star, points, similarity), nodes, docs, key, text, similarity, width), "links")
+    pairs = tables.keep(bounded(star, points, similarity), "pairs")
+    first_links = check(pairs)
+    tables.drop(pairs)
+    kit.release_shuffles(spark)
     # Open buckets, which still hold several components: every node against the centre of each of them.
-    part = staged(components(links), "parts")
-    placed = staged(open_buckets(members, part), "open")
+    part = tables.keep(components(first_links), "parts")
+    placed = tables.keep(open_buckets(members, part), "open")
+    tables.drop(members, part)
     place = lambda c: placed.select("key", F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
     hubs = centre.select("key", F.col("centre").alias("b")).join(place("b"), ["key", "b"])
     spokes = place("a").join(hubs, "key").filter("part_a != part_b").select("a", "b").distinct()
-    links = staged(links.unionByName(verified(bounded(spokes, points, similarity), nodes, docs, key, text, similarity, width)), "links")
-    part = staged(components(links), "parts")
+    pairs = tables.keep(bounded(spokes, points, similarity), "pairs")
+    links = first_links.unionByName(check(pairs))
+    tables.drop(pairs)
+    kit.release_shuffles(spark)
+    part = tables.keep(components(links), "parts")
     # What is still open is searched.
     rest = open_buckets(placed.select("key", "node"), part).join(points, "node")
-    pairs = staged(search_buckets(rest, similarity), "pairs")
+    pairs = tables.keep(search_buckets(rest, similarity), "pairs")
+    tables.drop(placed)
     if not pairs.isEmpty():
-        more = verified(pairs, nodes, docs, key, text, similarity, width)
-        part = staged(components(links.unionByName(more)), "parts")
+        part = tables.keep(components(links.unionByName(check(pairs))), "parts")
+    tables.drop(pairs, sets)
     named = rows.join(part, "node", "left").select("id", "n", "node", F.coalesce("component", "node").alias("part"))
     named = staged(named, "named")
+    tables.drop(rows)
     first = named.filter("part is not null").groupBy("part").agg(F.min("id").alias("component"))
     return named.join(first, "part", "left").select(F.col("id").alias(key), "n", F.coalesce("component", "id").alias("component"), "node")
 
