@@ -1,9 +1,9 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
-A text's set is its distinct word shingles (3 words, or the width that is passed). Shingles are hashed into `DIMS` groups; the group counts are the text's
-point. The overlap of two sets is at most the sum of the smaller coordinates, so a pair, or a whole R-tree node by the
-upper corner of its box, is dropped when that sum is below what the similarity needs. Pairs that survive are verified
-on their exact sets.
+A text's set is its distinct word shingles (3 words, or the width that is passed). Shingles are hashed into groups,
+`DIMS` of them or a quarter of the shingles; the group counts are the text's point, folded to `DIMS` for the tree. The
+overlap of two sets is at most the sum of the smaller coordinates, so a pair, or a whole R-tree node by the upper corner of
+its box, is dropped when that sum is below what the similarity needs. Pairs that survive are verified on their exact sets.
 
 Texts meet through group signatures, which lose no pair. Two sets of sizes a and b with similarity s or more differ in at
 most (a + b)(1 - s)/(1 + s) shingles. Sizes are cut into classes; a class with at most D differing shingles hashes its
@@ -120,7 +120,7 @@ def fetch_key(key: Column, text: Column) -> Column:
 
 
 def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
-    """`id, fetch, n, node, point, keys` of every row; `node` names the set, null for an empty one.
+    """`id, fetch, n, node, counts, keys` of every row; `node` names the set, null for an empty one.
 
     Of equal sets in one task, the first alone has keys.
     """
@@ -135,7 +135,6 @@ def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width:
             node = np.zeros(n, np.uint64)
             np.add.at(node, owner, kit.mix(codes + np.uint64(19)))
             node = kit.mix(node + size.astype(np.uint64)).view(np.int64)
-            point = np.bincount(owner * DIMS + (codes >> np.uint64(64 - DIM_BITS)).astype(np.int64), minlength=n * DIMS)
             fresh = np.zeros(n, bool)
             for i in np.flatnonzero(size):
                 if int(node[i]) not in given:
@@ -148,10 +147,36 @@ def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width:
             ends = np.searchsorted(rows[by], np.arange(n + 1)).astype(np.int32)
             yield pa.RecordBatch.from_arrays([
                 part.column(0), part.column(2), pa.array(size, pa.int64()), pa.array(node, mask=size == 0),
-                pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * DIMS), pa.array(point.astype(np.int32))),
-                pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[by].view(np.int64)))], names=["id", "fetch", "n", "node", "point", "keys"])
+                group_counts(codes, owner, size), pa.ListArray.from_arrays(pa.array(ends), pa.array(keys[by].view(np.int64)))], names=["id", "fetch", "n", "node", "counts", "keys"])
 
-    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, fetch string, n long, node long, point array<int>, keys array<long>")
+    return rows.mapInArrow(work, f"id {dict(rows.dtypes)['id']}, fetch string, n long, node long, counts binary, keys array<long>")
+
+
+# ---- group counts ---------------------------------------------------------------------------------------------------
+
+
+def group_bits(size: np.ndarray) -> np.ndarray:
+    """Binary digits of the number of groups of a set: about a quarter of its shingles, at least DIMS."""
+    return np.maximum(DIM_BITS, np.log2(np.maximum(size, 1) / 4).astype(np.int64))
+
+
+def group_counts(codes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.Array:
+    """Shingles in each group, by the leading digits of their codes: a byte each, or four in sets with a count over 255."""
+    bits = group_bits(size)
+    base = np.concatenate(([0], np.cumsum(1 << bits)))
+    total = np.bincount(base[owner] + (codes >> (64 - bits[owner]).astype(np.uint64)).astype(np.int64), minlength=base[-1])
+    rows = np.split(total, base[1:-1])
+    return pa.array([t.astype(np.uint8 if t.max() < 256 else "<i4").tobytes() for t in rows], pa.binary())
+
+
+def unpacked(counts: list[bytes], bits: int, to: int) -> np.ndarray:
+    """One row per set with `1 << bits` groups, folded to `1 << to`: neighbouring groups share their leading digits."""
+    if all(len(c) == 1 << bits for c in counts):
+        wide = np.frombuffer(b"".join(counts), np.uint8)
+    else:
+        wide = np.concatenate([np.frombuffer(c, np.uint8 if len(c) == 1 << bits else "<i4").astype(np.int32) for c in counts])
+    wide = wide.reshape(len(counts), 1 << bits)
+    return wide if bits == to else wide.reshape(len(counts), 1 << to, -1).sum(axis=2, dtype=np.int32)
 
 
 # ---- R-tree ---------------------------------------------------------------------------------------------------------
@@ -207,19 +232,20 @@ class RTree:
 
 
 def search_buckets(members: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """Candidate pairs `a, b` across components. `members`: `key, node, part, n, point` of buckets with several components."""
+    """Candidate pairs `a, b` across components. `members`: `key, node, part, n, counts` of buckets with several components."""
     size = members.groupBy("key").agg(F.count("*").alias("m"))
     rows = members.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int"))
     own = F.pmod(F.hash("node"), F.col("blocks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "n", "point")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "n", "counts")
 
     def work(batches):
         held: list[pa.RecordBatch] = []
 
         def search(t: pa.Table):
             node, part, n, own = (t.column(c).to_numpy() for c in ("node", "part", "n", "own"))
-            points = np.asarray(t.column("point").combine_chunks().flatten()).reshape(-1, DIMS)
+            counts, bits = t.column("counts"), group_bits(n)
+            points = np.concatenate([unpacked([counts[i].as_py()], int(bits[i]), DIM_BITS) for i in range(len(n))]).astype(np.int32)
             if points.max(initial=0) < 1 << 15:
                 points = points.astype(np.int16)
             left = own == t.column("lo")[0].as_py()
@@ -250,13 +276,30 @@ def search_buckets(members: DataFrame, similarity=SIMILARITY) -> DataFrame:
 # ---- verification ---------------------------------------------------------------------------------------------------
 
 
-def bounded(pairs: DataFrame, points: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """The pairs whose summed coordinate minima reach the needed overlap."""
+def bounded(pairs: DataFrame, sets: DataFrame, similarity=SIMILARITY) -> DataFrame:
+    """The pairs whose summed coordinate minima reach the needed overlap, over the groups that both sets have."""
     part, whole = similarity
-    side = lambda c: points.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("point").alias(f"p_{c}"))
-    both = pairs.join(side("a"), "a").join(side("b"), "b")
-    shared = F.aggregate(F.zip_with("p_a", "p_b", lambda x, y: F.least(x, y).cast("long")), F.lit(0).cast("long"), lambda t, x: t + x)
-    return both.filter(shared * (part + whole) >= part * (F.col("n_a") + F.col("n_b"))).select("a", "b")
+    side = lambda c: sets.select(F.col("node").alias(c), F.col("n").alias(f"n_{c}"), F.col("counts").alias(f"c_{c}"))
+
+    def work(batches):
+        for whole_batch in batches:
+            for lo in range(0, whole_batch.num_rows, 512):
+                batch = whole_batch.slice(lo, 512)
+                n_a, n_b = (batch.column(i).to_numpy() for i in (2, 3))
+                bits_a, bits_b = group_bits(n_a), group_bits(n_b)
+                good = np.zeros(batch.num_rows, bool)
+                for x, y in set(zip(bits_a.tolist(), bits_b.tolist(), strict=True)):
+                    at = np.flatnonzero((bits_a == x) & (bits_b == y))
+                    points = [unpacked(batch.column(i).take(pa.array(at)).to_pylist(), bits, min(x, y)) for i, bits in ((4, x), (5, y))]
+                    shared = np.minimum(*points).sum(axis=1, dtype=np.int64)
+                    good[at] = shared >= needed(n_a[at], n_b[at], similarity)
+                out = batch.filter(pa.array(good))
+                yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
+
+    sizes = sets.select("node", "n")
+    near = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part).select("a", "b")
+    both = near.join(side("a"), "a").join(side("b"), "b").select("a", "b", "n_a", "n_b", "c_a", "c_b")
+    return both.mapInArrow(work, "a long, b long")
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text: str, tables: kit.Tables, similarity=SIMILARITY, width: int = WORDS) -> DataFrame:
@@ -373,14 +416,13 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     made = tables.keep(profiles(docs, key, text, similarity, width), "profiles")
     rows = tables.keep(made.select("id", "n", "node"), "rows")
     members = tables.keep(shared_keys(made.select(F.explode("keys").alias("key"), "node")), "members")
-    sets = tables.keep(made.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n").alias("n"), F.first("point").alias("point")), "sets")
-    points = sets.select("node", "n", "point")
+    sets = tables.keep(made.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
     tables.drop(made)
     kit.release_shuffles(spark)
     centre = centres(members)
     best = F.max_by("centre", F.struct("met", "centre"))
     star = members.join(centre, "key").filter("node != centre").groupBy(F.col("node").alias("a")).agg(best.alias("b"))
-    pairs = tables.keep(bounded(star, points, similarity), "pairs")
+    pairs = tables.keep(bounded(star, sets, similarity), "pairs")
     first_links = check(pairs)
     tables.drop(pairs)
     kit.release_shuffles(spark)
@@ -391,14 +433,14 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     place = lambda c: placed.select("key", F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
     hubs = centre.select("key", F.col("centre").alias("b")).join(place("b"), ["key", "b"])
     spokes = place("a").join(hubs, "key").filter("part_a != part_b").select("a", "b").distinct()
-    pairs = tables.keep(bounded(spokes, points, similarity), "pairs")
+    pairs = tables.keep(bounded(spokes, sets, similarity), "pairs")
     links = first_links.unionByName(check(pairs))
     tables.drop(pairs)
     kit.release_shuffles(spark)
     part = tables.keep(components(links), "parts")
     # What is still open is searched.
-    rest = open_buckets(placed.select("key", "node"), part).join(points, "node")
-    pairs = tables.keep(search_buckets(rest, similarity), "pairs")
+    rest = open_buckets(placed.select("key", "node"), part).join(sets.select("node", "n", "counts"), "node")
+    pairs = tables.keep(bounded(search_buckets(rest, similarity), sets, similarity), "pairs")
     tables.drop(placed)
     if not pairs.isEmpty():
         part = tables.keep(components(links.unionByName(check(pairs))), "parts")
