@@ -350,6 +350,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
 
     links = tables.keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long"), "links")
     tables.drop(texts)
+    kit.release_shuffles(docs.sparkSession)
     return links
 
 
@@ -412,38 +413,41 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     """`key, n, component, node` per row; `component` is the smallest id of its connected group."""
     spark = docs.sparkSession
     tables = kit.Tables(spark)
+
+    def keep(df: DataFrame, name: str) -> DataFrame:
+        out = tables.keep(df, name)
+        kit.release_shuffles(spark)
+        return out
+
     check = lambda pairs: verified(pairs, sets, docs, key, text, tables, similarity, width)
-    made = tables.keep(profiles(docs, key, text, similarity, width), "profiles")
-    rows = tables.keep(made.select("id", "n", "node"), "rows")
-    members = tables.keep(shared_keys(made.select(F.explode("keys").alias("key"), "node")), "members")
-    sets = tables.keep(made.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
+    made = keep(profiles(docs, key, text, similarity, width), "profiles")
+    rows = keep(made.select("id", "n", "node"), "rows")
+    members = keep(shared_keys(made.select(F.explode("keys").alias("key"), "node")), "members")
+    sets = keep(made.filter("node is not null").groupBy("node").agg(F.min("fetch").alias("fetch"), F.first("n").alias("n"), F.first("counts").alias("counts")), "sets")
     tables.drop(made)
-    kit.release_shuffles(spark)
     centre = centres(members)
     best = F.max_by("centre", F.struct("met", "centre"))
     star = members.join(centre, "key").filter("node != centre").groupBy(F.col("node").alias("a")).agg(best.alias("b"))
-    pairs = tables.keep(bounded(star, sets, similarity), "pairs")
+    pairs = keep(bounded(star, sets, similarity), "pairs")
     first_links = check(pairs)
     tables.drop(pairs)
-    kit.release_shuffles(spark)
     # Open buckets, which still hold several components: every node against the centre of each of them.
-    part = tables.keep(components(first_links), "parts")
-    placed = tables.keep(open_buckets(members, part), "open")
+    part = keep(components(first_links), "parts")
+    placed = keep(open_buckets(members, part), "open")
     tables.drop(members, part)
     place = lambda c: placed.select("key", F.col("node").alias(c), F.col("part").alias(f"part_{c}"))
     hubs = centre.select("key", F.col("centre").alias("b")).join(place("b"), ["key", "b"])
     spokes = place("a").join(hubs, "key").filter("part_a != part_b").select("a", "b").distinct()
-    pairs = tables.keep(bounded(spokes, sets, similarity), "pairs")
+    pairs = keep(bounded(spokes, sets, similarity), "pairs")
     links = first_links.unionByName(check(pairs))
     tables.drop(pairs)
-    kit.release_shuffles(spark)
-    part = tables.keep(components(links), "parts")
+    part = keep(components(links), "parts")
     # What is still open is searched.
     rest = open_buckets(placed.select("key", "node"), part).join(sets.select("node", "n", "counts"), "node")
-    pairs = tables.keep(bounded(search_buckets(rest, similarity), sets, similarity), "pairs")
+    pairs = keep(bounded(search_buckets(rest, similarity), sets, similarity), "pairs")
     tables.drop(placed)
     if not pairs.isEmpty():
-        part = tables.keep(components(links.unionByName(check(pairs))), "parts")
+        part = keep(components(links.unionByName(check(pairs))), "parts")
     tables.drop(pairs, sets)
     named = rows.join(part, "node", "left").select("id", "n", "node", F.coalesce("component", "node").alias("part"))
     named = staged(named, "named")
