@@ -162,3 +162,22 @@ def test_flatten_passes_escaped_quotes_around_braces(spark):
     df = spark.createDataFrame([(1, text)], "id int, t string").select("id", F.parse_json("t").alias("r"))
     nodes = {r["path"] for r in flatten_fields(df, "r", ["id"]).collect()}
     assert nodes == {"a", "deep", "deep.x", "deep.x.y"}
+
+
+def test_shuffled_enrichment_covers_whole_records_and_a_hot_address(spark, monkeypatch):
+    from workload import ORACLES, QUERIES, q_jobs
+
+    def line(i):
+        ip = "203.0.113.7" if i % 5 else [None, "203.0.113.200", "no address", "198.18.0.9"][i // 5 % 4]
+        return json.dumps({"id": i, "ip": ip, "type": f"t{i % 3}", "deep": {"x": [1, {"y": None}]}})
+
+    logs = spark.createDataFrame([(i, line(i)) for i in range(400)], "event_id long, line string")
+    whole = "whois struct<netname string>, country struct<iso_code string>, gateway_found boolean, gateway struct<ip string>"
+    lookup = spark.createDataFrame([("203.0.113.0/25", ("LOW",), ("JP",), True, ("192.0.2.1",)), ("203.0.113.128/25", ("HIGH",), None, False, None)], "range string, " + whole)
+    monkeypatch.setattr(q_jobs, "shape", lambda s, d, name: logs)
+    monkeypatch.setattr(q_jobs.inputs, "lookup", lambda s, d: lookup)
+    low, high, none = (True, "LOW", "JP", True, "192.0.2.1"), (True, "HIGH", None, False, None), (False, None, None, None, None)
+    out = QUERIES["j6_enrich_logs_shuffle"](spark, "none")
+    want = [(i, f"t{i % 3}", *(low if i % 5 else high if i // 5 % 4 == 1 else none)) for i in range(400)]
+    assert sorted(tuple(r) for r in out.select("log_id", "type", "found", "netname", "country", "gateway_found", "gateway_ip").collect()) == want
+    assert ORACLES["j6_enrich_logs_shuffle"] == ORACLES["j6_enrich_logs"]
