@@ -268,6 +268,7 @@ def search_buckets(members: DataFrame, similarity=SIMILARITY) -> DataFrame:
                 held.append(batch.slice(lo, hi - lo))
         if held:
             yield from search(pa.Table.from_batches(held))
+        kit.release_memory()
 
     dealt = rows.repartition("key", "lo", "hi").sortWithinPartitions("key", "lo", "hi")
     return dealt.mapInArrow(work, "a long, b long").distinct()
@@ -295,6 +296,7 @@ def bounded(pairs: DataFrame, sets: DataFrame, similarity=SIMILARITY) -> DataFra
                     good[at] = shared >= needed(n_a[at], n_b[at], similarity)
                 out = batch.filter(pa.array(good))
                 yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
+        kit.release_memory()
 
     sizes = sets.select("node", "n")
     near = pairs.join(sizes.toDF("a", "n_a"), "a").join(sizes.toDF("b", "n_b"), "b").filter(F.least("n_a", "n_b") * whole >= F.greatest("n_a", "n_b") * part).select("a", "b")
@@ -310,6 +312,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
         packer = zstandard.ZstdCompressor(level=3)
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([packer.compress((t.as_py() or "").encode()) for t in batch.column(1)], pa.binary())], names=["fetch", "packed"])
+        kit.release_memory()
 
     takes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "fetch"), "node")
     texts = docs.select(fetch_key(F.col(key), F.col(text)).alias("fetch"), F.col(text)).mapInArrow(pack, "fetch string, packed binary").join(takes, "fetch")
@@ -330,6 +333,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
                     total = kit.mix(codes + np.uint64(19)).sum(dtype=np.uint64)
                 keep.append(int(kit.mix(np.array([total + np.uint64(len(codes))], np.uint64)).view(np.int64)[0]) == node)
             yield batch.filter(pa.array(keep))
+        kit.release_memory()
 
     texts = texts.select("fetch", "packed", "node").mapInArrow(named, "fetch string, packed binary, node long")
     texts = tables.keep(texts.select("node", "packed").dropDuplicates(["node"]), "texts")
@@ -347,6 +351,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, key: str, text
                 good.append(overlap * whole >= part_ * (len(one) + len(held) - overlap) and overlap > 0)
             out = batch.filter(pa.array(good))
             yield pa.RecordBatch.from_arrays([out.column(0), out.column(1)], names=["a", "b"])
+        kit.release_memory()
 
     links = tables.keep(pairs.join(side("a"), "a").join(side("b"), "b").select("a", "b", "packed_a", "packed_b").mapInArrow(compare, "a long, b long"), "links")
     tables.drop(texts)
@@ -381,6 +386,7 @@ def shared_keys(keyed: DataFrame) -> DataFrame:
             held = key[-1:].copy(), node[-1:].copy()
         if held is not None:  # the run may go on in the next range
             yield pa.RecordBatch.from_arrays([pa.array(held[0]), pa.array(held[1])], names=["key", "node"])
+        kit.release_memory()
 
     return keyed.repartitionByRange("key", "node").sortWithinPartitions("key", "node").mapInArrow(work, "key long, node long")
 

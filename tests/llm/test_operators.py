@@ -403,3 +403,18 @@ def test_pipeline_near_duplicates_equal_plain_version(shared, docs, texts):
     df = shared.createDataFrame(rows, "doc_id long, text string")
     got = sorted(r["doc_id"] for r in corpus_pipeline.near_duplicates(shared, df, SF).select("doc_id").collect())
     assert got == [i for i in sets if min(group[i]) == i] and 10**6 in got and 10**6 + 1 not in got
+
+
+def test_stored_tables_pass_python_in_batches_of_bounded_size(spark):
+    def work(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], names=["n"])
+
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    made = spark.range(0, 4000, 1, 1).selectExpr("id", "repeat('x', 10000) AS text").mapInArrow(work, "n long")
+    for before in (None, "30000000"):
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+        rows = [r.n for r in kit.Tables(spark).keep(made, "sizes").collect()]
+        assert spark.conf.get(name, None) == before
+        assert sum(rows) == 4000 and max(rows) * 10000 <= 2 * kit.BATCH_BYTES
+    spark.conf.unset(name)
