@@ -8,7 +8,8 @@ its box, is dropped when that sum is below what the similarity needs. Pairs that
 Texts meet through group signatures, which lose no pair. Two sets of sizes a and b with similarity s or more differ in at
 most (a + b)(1 - s)/(1 + s) shingles. Sizes are cut into classes; a class with at most D differing shingles hashes its
 sets into more than D groups, so one group at least is the same in both, and its hash is a key both have. Sets near
-the next class are keyed there too. A pair that shares only empty groups is met through keys of its empty groups.
+the next class are keyed there too. There are more groups to spare than sets usually leave empty, so a pair shares a filled
+one; only sets with more empty groups than that are also met through keys of those.
 Keys are dealt in ranges of (key, node) and read once in their order, so the rows of a hot key spread over tasks and only
 keys of several nodes are kept.
 
@@ -80,10 +81,26 @@ def size_classes(part: int, whole: int) -> tuple[np.ndarray, np.ndarray]:
     return low, 2 * (np.append(low[1:], low[-1] * 2) - 1) * (whole - part) // (whole + part)
 
 
+@lru_cache
+def spare_groups(part: int, whole: int) -> np.ndarray:
+    """Groups of each class beyond the shingles that may differ, more than its smallest sets usually leave empty.
+
+    A pair then agrees on a filled group too. Keys of empty groups, which all sets with that gap share, are rare.
+    """
+    differ = size_classes(part, whole)[1]
+    least = part * (whole + part) / (2 * CLASS * whole * (whole - part)) if whole > part else 1e9  # shingles to a differing one
+    share = 0.0
+    for _ in range(50 if least > 2 else 0):  # of empty groups, where their number adds to the groups; few words to a group have no use of it
+        share = float(np.exp(-least * (1 - share)))
+    empty = differ * share / (1 - share)
+    return np.maximum(np.maximum(2, differ // 50), np.ceil(empty + 3 * np.sqrt(empty)).astype(np.int64))
+
+
 def signatures(codes: np.ndarray, owner: np.ndarray, size: np.ndarray, similarity=SIMILARITY) -> tuple[np.ndarray, np.ndarray]:
     """Bucket keys of all sets of a block and their rows."""
     part, whole = similarity
     low, differ = size_classes(part, whole)
+    spares = spare_groups(part, whole)
     own = np.searchsorted(low, size, "right") - 1
     keys, rows = [], []
     for ahead in (0, 1):
@@ -95,9 +112,8 @@ def signatures(codes: np.ndarray, owner: np.ndarray, size: np.ndarray, similarit
         members = np.flatnonzero(takes)
         if not len(members):
             continue
-        spare = np.maximum(2, differ[cls[members]] // 50)
         groups = np.zeros(len(size), np.int64)
-        groups[members] = differ[cls[members]] + 1 + spare
+        groups[members] = differ[cls[members]] + 1 + spares[cls[members]]
         base = np.concatenate(([0], np.cumsum(groups)))
         item = takes[owner]
         slot = base[owner[item]] + (kit.mix(codes[item] ^ np.uint64(77)) % groups[owner[item]].astype(np.uint64)).astype(np.int64)
@@ -108,7 +124,7 @@ def signatures(codes: np.ndarray, owner: np.ndarray, size: np.ndarray, similarit
         number = np.arange(base[-1]) - base[row]
         # Empty groups are needed only where a pair could agree on more of them than are spare.
         empty = np.bincount(row[filled == 0], minlength=len(size))
-        use = (filled > 0) | (empty[row] > np.maximum(2, differ[np.maximum(cls, 0)] // 50)[row])
+        use = (filled > 0) | (empty[row] > spares[np.maximum(cls, 0)][row])
         row, number, total = row[use], number[use], total[use]
         keys.append(kit.mix(total + kit.mix((cls[row] * (1 << 40) + number).astype(np.uint64))))
         rows.append(row)
@@ -231,21 +247,34 @@ class RTree:
                 yield asked[q], members[m]
 
 
-def search_buckets(members: DataFrame, similarity=SIMILARITY) -> DataFrame:
-    """Candidate pairs `a, b` across components. `members`: `key, node, part, n, counts` of buckets with several components."""
+def folded(sets: DataFrame) -> DataFrame:
+    """`node, n, point` of `node, n, counts`: the counts folded to `DIMS` groups, a byte each, or four where one is over 255."""
+
+    def work(batches):
+        for batch in batches:
+            bits = group_bits(batch.column(1).to_numpy())
+            points = [unpacked([c.as_py()], int(b), DIM_BITS)[0] for c, b in zip(batch.column(2), bits, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.astype(np.uint8 if p.max() < 256 else "<i4").tobytes() for p in points], pa.binary())], names=["node", "n", "point"])
+        kit.release_memory()
+
+    return sets.select("node", "n", "counts").mapInArrow(work, "node long, n long, point binary")
+
+
+def search_buckets(members: DataFrame, sets: DataFrame, similarity=SIMILARITY) -> DataFrame:
+    """Candidate pairs `a, b` across components. `members`: `key, node, part` of buckets with several components."""
     size = members.groupBy("key").agg(F.count("*").alias("m"))
     rows = members.join(size, "key").withColumn("blocks", F.ceil(F.col("m") / BUCKET).cast("int"))
     own = F.pmod(F.hash("node"), F.col("blocks"))
     rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part", "n", "counts")
+    rows = rows.select("key", F.least("own", "other").alias("lo"), F.greatest("own", "other").alias("hi"), "own", "node", "part").join(folded(sets), "node")
+    rows = rows.select("key", "lo", "hi", "own", "node", "part", "n", "point")
 
     def work(batches):
         held: list[pa.RecordBatch] = []
 
         def search(t: pa.Table):
             node, part, n, own = (t.column(c).to_numpy() for c in ("node", "part", "n", "own"))
-            counts, bits = t.column("counts"), group_bits(n)
-            points = np.concatenate([unpacked([counts[i].as_py()], int(bits[i]), DIM_BITS) for i in range(len(n))]).astype(np.int32)
+            points = unpacked(t.column("point").to_pylist(), DIM_BITS, DIM_BITS).astype(np.int32)
             if points.max(initial=0) < 1 << 15:
                 points = points.astype(np.int16)
             left = own == t.column("lo")[0].as_py()
@@ -449,9 +478,12 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     tables.drop(pairs)
     part = keep(components(links), "parts")
     # What is still open is searched.
-    rest = open_buckets(placed.select("key", "node"), part).join(sets.select("node", "n", "counts"), "node")
-    pairs = keep(bounded(search_buckets(rest, similarity), sets, similarity), "pairs")
+    rest = keep(open_buckets(placed.select("key", "node"), part), "rest")
     tables.drop(placed)
+    found = keep(search_buckets(rest, sets, similarity), "found")
+    tables.drop(rest)
+    pairs = keep(bounded(found, sets, similarity), "pairs")
+    tables.drop(found)
     if not pairs.isEmpty():
         part = keep(components(links.unionByName(check(pairs))), "parts")
     tables.drop(pairs, sets)
