@@ -56,8 +56,8 @@ def _slide(x: np.ndarray, width: int, pick) -> np.ndarray:
     return pick(x[: len(x) - rest], x[rest:]) if rest else x
 
 
-def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Position, row, k-mer hash and context hash of every anchor of a block."""
+def anchors(raw: np.ndarray, at: np.ndarray, contexts: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Position, row, k-mer hash and (else none) context hash of every anchor of a block."""
     none = np.zeros(0, np.int64)
     if len(raw) < LENGTH:
         return none, none, none.view(np.uint64), none.view(np.uint64)
@@ -80,6 +80,8 @@ def anchors(raw: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np
     # A k-mer can equal the minimum of windows in its own row only: both ends lie there.
     good = chosen + KMER <= at[row + 1]
     chosen, row = chosen[good], row[good]
+    if not contexts:
+        return chosen - at[row], row, h[chosen], none.view(np.uint64)
     lo, hi = np.maximum(chosen - REACH, at[row]), np.minimum(chosen + LENGTH, at[row + 1])
     context = kit.mix(stretch.of(lo, hi) + kit.mix(((chosen - lo) << 20 | (hi - lo)).astype(np.uint64)))
     return chosen - at[row], row, h[chosen], context
@@ -95,6 +97,18 @@ def _anchor_rows(rows: DataFrame) -> DataFrame:
     return rows.select("d", "th", "text").mapInArrow(work, f"{PLACE}, pos long, h long, c long")
 
 
+def _repeated(rows: DataFrame) -> DataFrame:
+    """The hashes `h` of anchors that occur twice or more. Every block is summed up before its rows leave Python."""
+
+    def work(batches):
+        for _, raw, at in kit.blocks(batches, "text"):
+            h = np.sort(anchors(raw, at, contexts=False)[2])
+            head = np.flatnonzero(np.append(len(h) > 0, h[1:] != h[:-1]))
+            yield pa.RecordBatch.from_arrays([pa.array(h[head].view(np.int64)), pa.array(np.diff(np.append(head, len(h))))], names=["h", "n"])
+
+    return rows.select("text").mapInArrow(work, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).filter("n > 1").select("h")
+
+
 # ---- index ----------------------------------------------------------------------------------------------------------
 
 
@@ -108,17 +122,18 @@ class RunIndex:
         m, n = len(at) - 1, len(raw) + len(at) - 1
         self.begin, self.end = at[:-1] + np.arange(m), at[1:] + np.arange(m)  # in the text with separators
         symbol = np.empty(n, np.int64)
-        place = np.arange(len(raw)) + kit.rows_of(at)
+        owner = kit.rows_of(at)
+        place = np.arange(len(raw)) + owner
         symbol[place] = raw.astype(np.int64) + m
         symbol[self.end] = np.arange(m)  # every separator is a symbol of its own, so no two suffixes tie
         self.place = np.full(n, np.iinfo(np.int64).max)  # document and byte of every position
-        self.place[place] = (document << 40)[kit.rows_of(at)] + (lo - at[:-1])[kit.rows_of(at)] + np.arange(len(raw))
+        self.place[place] = ((document << 40) + lo - at[:-1])[owner] + np.arange(len(raw))
         order, ranks3, ranks96 = self._sorted(symbol)
         self._runs(order, symbol)
         # Rows that share their first LENGTH symbols with the row before.
-        i, j = order[:-1], order[1:]
-        far = lambda x, by: ranks3[np.minimum(x + by, n - 1)]
-        same = (ranks96[i] == ranks96[j]) & (far(i, 96) == far(j, 96)) & (far(i, 97) == far(j, 97)) & (np.maximum(i, j) + LENGTH <= n)
+        same = np.maximum(order[:-1], order[1:]) + LENGTH <= n
+        for value in (ranks96[order], ranks3[np.minimum(order + 96, n - 1)], ranks3[np.minimum(order + 97, n - 1)]):
+            same &= value[1:] == value[:-1]
         self.interval = np.concatenate(([0], np.cumsum(~same)))
         self.earliest = self._locate(np.bincount(self.interval))
         self.m = m
@@ -146,9 +161,13 @@ class RunIndex:
         def shifted(x: np.ndarray, by: int) -> np.ndarray:
             return np.concatenate((x[by:] + 1, np.zeros(min(by, n), np.int64)))
 
-        one, _ = ranked(symbol)
-        two, _ = ranked(one * (n + 1) + shifted(one, 1))
-        rank, order = ranked(two * (n + 1) + shifted(one, 2))
+        base = int(symbol.max(initial=0)) + 2
+        if base**3 < 1 << (63 - bits):  # three symbols in one sort
+            rank, order = ranked((symbol * base + shifted(symbol, 1)) * base + shifted(symbol, 2))
+        else:
+            one, _ = ranked(symbol)
+            two, _ = ranked(one * (n + 1) + shifted(one, 1))
+            rank, order = ranked(two * (n + 1) + shifted(one, 2))
         three, wide, width = rank, rank, 3
         while width < n and int(rank.max(initial=0)) < n - 1:
             rank, order = ranked(rank * (n + 1) + shifted(rank, width))
@@ -162,6 +181,7 @@ class RunIndex:
         before = symbol[order - 1]
         head = np.concatenate(([True], before[1:] != before[:-1]))
         self.start = np.flatnonzero(head)
+        self.run = np.cumsum(head, dtype=np.int32) - 1  # of every row
         self.stop = np.append(self.start[1:], n) - 1
         char, size = before[self.start], self.stop - self.start + 1
         by = np.argsort(char, kind="stable")  # first column: runs by symbol
@@ -177,7 +197,7 @@ class RunIndex:
 
     def step(self, row: np.ndarray) -> np.ndarray:
         """LF: the row of the suffix that starts one symbol earlier."""
-        run = np.searchsorted(self.start, row, "right") - 1
+        run = self.run[row]
         return self.maps_to[run] + row - self.start[run]
 
     def above(self, position: np.ndarray) -> np.ndarray:
@@ -190,7 +210,7 @@ class RunIndex:
         out = np.empty(len(row), np.int64)
         todo, steps = np.arange(len(row)), 0
         while len(todo):
-            run = np.searchsorted(self.start, row, "right") - 1
+            run = self.run[row]
             ends = self.stop[run] == row
             out[todo[ends]] = self.tail[run[ends]] + steps
             row, todo, run = row[~ends], todo[~ends], run[~ends]
@@ -410,8 +430,7 @@ def dedup(docs: DataFrame, key: str = "doc_id", text: str = "text", crowd: int =
         rows = rows.withColumn("th", F.xxhash64("text"))
         once = rows.dropDuplicates(["d", "th"])
     found = _anchor_rows(once)
-    twice = found.groupBy("h").agg(F.count("*").alias("n")).filter("n > 1").select("h")
-    places = staged(found.join(twice, "h", "left_semi"), "anchors")
+    places = staged(found.join(_repeated(once), "h", "left_semi"), "anchors")
     classes = places.groupBy("h", "c").agg(F.min(F.struct("d", "th", "pos")).alias("first"))
     classes = staged(classes.select("h", "c", "first.*"), "classes")
     several = classes.groupBy("h").agg(F.count("*").alias("m")).filter("m > 1")
