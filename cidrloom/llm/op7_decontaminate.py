@@ -36,6 +36,7 @@ LOT = 1_000_000  # places that shared q-grams are expanded to at a time
 SEGMENT, STRIDE = 80, 16
 EDITS = 0.1125  # of a segment's length: 9 of 80, a replaced word with up to nine differing letters
 BLOCK = 4_000_000
+TEXT_BLOCK = 250_000  # bytes of texts searched at a time; the search takes some 150 bytes of memory for each
 BAND = 16  # diagonals of one band
 
 _FORM = kit.LOWER.copy()
@@ -286,6 +287,12 @@ def find_block(index: Segments, raw: np.ndarray, at: np.ndarray) -> list[tuple[i
     return same + [(row, item, len(s), int(source[a] - head(row)), int(source[b - 1] + 1 - head(row)), e) for (row, item), (s, a, b, e) in out.items()]
 
 
+def hits_of(index: Segments, batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int, int, int, int, int]]]]:
+    """Runs of whole rows, as many as the search holds at a time, and what `find_block` has for them."""
+    for part, raw, at in kit.blocks(batches, column, TEXT_BLOCK):
+        yield part, find_block(index, raw, at)
+
+
 def item_blocks(benchmark: DataFrame, item: str, text: str) -> Iterator[tuple[list, list[str]]]:
     """The items in blocks of at most BLOCK bytes of text."""
     ids, texts, size = [], [], 0
@@ -310,8 +317,7 @@ def matches(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id", item: st
     def found(shared) -> DataFrame:
         def work(batches):
             index = shared.value
-            for part, raw, at in kit.blocks(batches, "text"):
-                hits = find_block(index, raw, at)
+            for part, hits in hits_of(index, batches, "text"):
                 if hits:
                     row, which, *rest = zip(*hits, strict=True)
                     yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(row)), pa.array([index.ids[k] for k in which], item_arrow), *[pa.array(x, pa.int64()) for x in rest]], names=[key, item, "n_segments", "start", "end", "edits"])
@@ -343,9 +349,9 @@ def clean(docs: DataFrame, benchmark: DataFrame, text: str = "text") -> DataFram
     """The rows of `docs` that match no item, with all their columns; no shuffle."""
     def left(docs: DataFrame, shared) -> DataFrame:
         def work(batches):
-            for part, raw, at in kit.blocks(batches, text):
+            for part, hits in hits_of(shared.value, batches, text):
                 keep = [True] * part.num_rows
-                for row, *_ in find_block(shared.value, raw, at):
+                for row, *_ in hits:
                     keep[row] = False
                 yield part.filter(pa.array(keep))
 

@@ -4,10 +4,12 @@ import base64
 import hashlib
 import math
 import re
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import combinations
 
+import numpy as np
 import pyarrow as pa
 import pytest
 import public_tokenizers
@@ -282,6 +284,27 @@ def test_decontamination_word_changes_and_excerpts(shared):
     assert op7_decontaminate.clean(df, bench).count() == 0
 
 
+def test_decontamination_searches_texts_in_bounded_memory():
+    """3 MB of texts made of the items' words: the search holds a part of them at a time, and finds every copy."""
+    pick = np.random.default_rng(5)
+    words = ["".join(pick.choice(list("abcdefghijklmnopqrstuvwxyz"), 7)) for _ in range(4000)]
+    items = [" ".join(pick.choice(words, 40)) for _ in range(50)]
+    texts = [" ".join(pick.choice(words, 300)) for _ in range(1500)]
+    for i in range(0, len(texts), 30):
+        texts[i] += " " + items[i // 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    index = op7_decontaminate.Segments(list(range(len(items))), items)
+    found, row = set(), 0
+    tracemalloc.start()
+    for part, hits in op7_decontaminate.hits_of(index, iter([batch]), "text"):
+        found |= {(row + r, item) for r, item, *_ in hits}
+        row += part.num_rows
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert row == len(texts) and {(i, i // 30) for i in range(0, len(texts), 30)} <= found
+    assert peak < 50e6  # 92 MB where 2 MB of texts are searched at once
+
+
 PII = {"email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", "card": r"[0-9]([\x20-]?[0-9])+", "phone": r"\+[0-9][\x20().0-9-]+[0-9]"}
 
 
@@ -418,3 +441,22 @@ def test_stored_tables_pass_python_in_batches_of_bounded_size(spark):
         assert spark.conf.get(name, None) == before
         assert sum(rows) == 4000 and max(rows) * 10000 <= 2 * kit.BATCH_BYTES
     spark.conf.unset(name)
+
+
+def test_pipeline_stages_lower_the_batches_of_the_session(shared, docs):
+    """A stage's result is written by its caller, so the limit holds until then; `run` gives the setting back."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    few = docs.limit(3)
+    for before in (None, "30000000", "100000"):
+        for step, stage in corpus_pipeline.STAGES:
+            if step in ("quality rules", "benchmark decontamination"):
+                shared.conf.unset(name) if before is None else shared.conf.set(name, before)
+                assert stage(shared, few, SF).count() <= 3
+                assert int(shared.conf.get(name)) == min(int(before or kit.BATCH_BYTES), kit.BATCH_BYTES)
+    with pytest.MonkeyPatch.context() as patch:
+        patch.setattr(corpus_pipeline, "STAGES", corpus_pipeline.STAGES[:1])
+        for before in (None, "30000000"):
+            shared.conf.unset(name) if before is None else shared.conf.set(name, before)
+            corpus_pipeline.run(shared, SF)
+            assert shared.conf.get(name, None) == before
+    shared.conf.unset(name)
