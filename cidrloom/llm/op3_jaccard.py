@@ -15,8 +15,9 @@ keys of several nodes are kept.
 
 Equal sets are one node. In each bucket the node that meets most others is the centre. Every node is checked against its
 best centre, then, where components still meet, against the centres of all its buckets, which joins groups of near
-copies, however large. Buckets that still hold several components are searched by R-tree, across components only. Buckets over `BUCKET` nodes are dealt to tasks as pairs of blocks, which
-covers every pair of nodes and holds two blocks at a time.
+copies, however large. Buckets that still hold several components are searched by R-tree, across components only; those
+of one centre are searched as one, without the centre, which all their nodes were checked against. Searches of over
+`BUCKET` nodes are dealt to tasks as pairs of blocks, which covers every pair of nodes and holds two blocks at a time.
 
 Defined cases: texts without words, null or empty, have no shingle and are alone; repeated rows and ids each give a row
 (a null id is never a component's name while another exists); an empty table gives no rows; other columns are ignored.
@@ -441,6 +442,17 @@ def open_buckets(members: DataFrame, part: DataFrame) -> DataFrame:
     return placed.join(keys, "key", "left_semi")
 
 
+def by_centre(members: DataFrame, centre: DataFrame) -> DataFrame:
+    """`key, node, part`: the buckets of one centre as one, named after it, without the centre itself.
+
+    Near copies share most of their keys, and the buckets of these a centre: a pair comes up once for each centre, not
+    once for each key. For buckets whose nodes have been checked against their centre; those of two nodes need no more.
+    """
+    rows = members.join(centre.select("key", "centre"), "key").filter("node != centre").select(F.col("centre").alias("key"), "node", "part").distinct()
+    several = rows.groupBy("key").agg(F.min("part").alias("p"), F.max("part").alias("q")).filter("p != q").select("key")
+    return rows.join(several, "key", "left_semi")
+
+
 # ---- the join -------------------------------------------------------------------------------------------------------
 
 
@@ -478,7 +490,7 @@ def grouped(docs: DataFrame, key: str = "doc_id", text: str = "text", similarity
     tables.drop(pairs)
     part = keep(components(links), "parts")
     # What is still open is searched.
-    rest = keep(open_buckets(placed.select("key", "node"), part), "rest")
+    rest = keep(by_centre(open_buckets(placed.select("key", "node"), part), centre), "rest")
     tables.drop(placed)
     found = keep(search_buckets(rest, sets, similarity), "found")
     tables.drop(rest)

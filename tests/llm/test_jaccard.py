@@ -51,3 +51,25 @@ def test_search_finds_pairs_of_wide_counts(spark):
     members = spark.createDataFrame([(k, i, i) for k in (1, 2) for i in range(5)], "key long, node long, part long")
     found = op3_jaccard.search_buckets(members, table, (80, 100)).collect()
     assert sorted((r.a, r.b) for r in found) == [(0, 1), (2, 3)]
+
+
+def test_search_meets_a_pair_of_near_copies_a_few_times(shared, monkeypatch):
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(400)]
+    texts = []
+    for k in range(24):  # pairwise just below 90 %, so that no check against a centre joins them
+        words = list(base)
+        for at in rng.choice(400, 6, replace=False):
+            words[at] = f"x{k}at{at}"
+        texts.append(words)
+    texts.append([w if i != 200 else "y" for i, w in enumerate(texts[3])])
+    sets = [{tuple(t[i : i + 3]) for i in range(398)} for t in texts]
+    links = [(i, j) for j in range(25) for i in range(j) if len(sets[i] & sets[j]) * 100 >= 90 * len(sets[i] | sets[j])]
+    assert links == [(3, 24)]
+    searched, search = [], op3_jaccard.search_buckets
+    monkeypatch.setattr(op3_jaccard, "search_buckets", lambda members, *rest: searched.extend(members.collect()) or search(members, *rest))
+    docs = shared.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
+    got = {r["doc_id"]: r["component"] for r in op3_jaccard.grouped(docs).collect()}
+    assert got == {i: 3 if i == 24 else i for i in range(25)}
+    met = Counter(r["key"] for r in searched)
+    assert 0 < sum(m * (m - 1) // 2 for m in met.values()) <= 5 * 25 * 24 // 2  # a pair shares some twenty keys
