@@ -1,7 +1,7 @@
 """N-gram Jaccard join over a count-vector R-tree.
 
 A text's set is its distinct word shingles (3 words, or the width that is passed). Shingles are hashed into groups,
-`DIMS` of them or a quarter of the shingles; the group counts are the text's point, folded to `DIMS` for the tree. The
+`DIMS` to 512 of them or a quarter of the shingles; the group counts are the text's point, folded to `DIMS` for the tree. The
 overlap of two sets is at most the sum of the smaller coordinates, so a pair, or a whole R-tree node by the upper corner of
 its box, is dropped when that sum is below what the similarity needs. Pairs that survive are verified on their exact sets.
 
@@ -42,6 +42,7 @@ SIMILARITY = (90, 100)  # a pair links when 100 * overlap >= 90 * union
 WORDS = 3
 DIM_BITS = 7
 DIMS = 1 << DIM_BITS
+FINE_BITS = 9
 CLASS = 1.5  # ratio of the sizes in one class
 BUCKET = 2048
 LEAF = 16
@@ -173,8 +174,12 @@ def profiles(docs: DataFrame, key: str, text: str, similarity=SIMILARITY, width:
 
 
 def group_bits(size: np.ndarray) -> np.ndarray:
-    """Binary digits of the number of groups of a set: about a quarter of its shingles, at least DIMS."""
-    return np.maximum(DIM_BITS, np.log2(np.maximum(size, 1) / 4).astype(np.int64))
+    """Binary digits of the number of groups of a set: about a quarter of its shingles, at least DIMS.
+
+    Up to `FINE_BITS` there are more groups than shingles: what two sets do not share then seldom counts as shared.
+    """
+    size = np.maximum(size, 1)
+    return np.maximum(np.maximum(DIM_BITS, np.log2(size / 4).astype(np.int64)), np.minimum(FINE_BITS, np.log2(size * 2).astype(np.int64)))
 
 
 def group_counts(codes: np.ndarray, owner: np.ndarray, size: np.ndarray) -> pa.Array:
@@ -249,12 +254,12 @@ class RTree:
 
 
 def folded(sets: DataFrame) -> DataFrame:
-    """`node, n, point` of `node, n, counts`: the counts folded to `DIMS` groups, a byte each, or four where one is over 255."""
+    """`node, n, point` of `node, n, counts`: the counts folded to `FINE_BITS` at most, a byte each, or four where one is over 255."""
 
     def work(batches):
         for batch in batches:
             bits = group_bits(batch.column(1).to_numpy())
-            points = [unpacked([c.as_py()], int(b), DIM_BITS)[0] for c, b in zip(batch.column(2), bits, strict=True)]
+            points = [unpacked([c.as_py()], int(b), min(int(b), FINE_BITS))[0] for c, b in zip(batch.column(2), bits, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array([p.astype(np.uint8 if p.max() < 256 else "<i4").tobytes() for p in points], pa.binary())], names=["node", "n", "point"])
         kit.release_memory()
 
@@ -275,14 +280,32 @@ def search_buckets(members: DataFrame, sets: DataFrame, similarity=SIMILARITY) -
 
         def search(t: pa.Table):
             node, part, n, own = (t.column(c).to_numpy() for c in ("node", "part", "n", "own"))
-            points = unpacked(t.column("point").to_pylist(), DIM_BITS, DIM_BITS).astype(np.int32)
-            if points.max(initial=0) < 1 << 15:
-                points = points.astype(np.int16)
-            left = own == t.column("lo")[0].as_py()
-            right = own == t.column("hi")[0].as_py()
+            given, bits = t.column("point").to_pylist(), np.minimum(group_bits(n), FINE_BITS)
+
+            @lru_cache
+            def points(to: int) -> np.ndarray:  # of the sets that have so many groups
+                out = np.zeros((len(n), 1 << to), np.int32)
+                for b in np.unique(bits[bits >= to]).tolist():
+                    at = np.flatnonzero(bits == b)
+                    out[at] = unpacked([given[i] for i in at], b, to)
+                return out.astype(np.int16) if out.max(initial=0) < 1 << 15 else out
+
+            def reach(a: np.ndarray, b: np.ndarray) -> np.ndarray:  # by all groups that both have
+                good, both = np.zeros(len(a), bool), np.minimum(bits[a], bits[b])
+                for to in np.unique(both).tolist():
+                    at = np.flatnonzero(both == to)
+                    for some in np.array_split(at, len(at) // 4096 + 1):
+                        shared = np.minimum(points(to)[a[some]], points(to)[b[some]]).sum(axis=1, dtype=np.int64)
+                        good[some] = shared >= needed(n[a[some]], n[b[some]], similarity)
+                return good
+
+            left = np.flatnonzero(own == t.column("lo")[0].as_py())
+            right = np.flatnonzero(own == t.column("hi")[0].as_py())
+            p = points(DIM_BITS)
             pairs = []
-            for q, m in RTree(points[left], n[left], part[left]).join(points[right], n[right], part[right], similarity):
-                a, b = node[right][q], node[left][m]
+            for q, m in RTree(p[left], n[left], part[left]).join(p[right], n[right], part[right], similarity):
+                good = reach(right[q], left[m])
+                a, b = node[right[q[good]]], node[left[m[good]]]
                 pairs.append(np.stack((np.minimum(a, b), np.maximum(a, b)), axis=1))
             if pairs:
                 found = np.unique(np.concatenate(pairs), axis=0)

@@ -73,3 +73,16 @@ def test_search_meets_a_pair_of_near_copies_a_few_times(shared, monkeypatch):
     assert got == {i: 3 if i == 24 else i for i in range(25)}
     met = Counter(r["key"] for r in searched)
     assert 0 < sum(m * (m - 1) // 2 for m in met.values()) <= 5 * 25 * 24 // 2  # a pair shares some twenty keys
+
+
+def test_search_drops_pairs_just_below_the_limit(spark):
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 320, dtype=np.uint64) * np.uint64(2)
+    sets = [np.concatenate((base, rng.integers(0, 1 << 63, 80, dtype=np.uint64) * np.uint64(2))) for _ in range(40)]  # 320 of 480 are shared
+    sets.append(np.concatenate((sets[0][:380], rng.integers(0, 1 << 63, 30, dtype=np.uint64) * np.uint64(2))))  # 380 of 430 with the first
+    size = np.array([len(s) for s in sets])
+    counts = op3_jaccard.group_counts(np.concatenate(sets), np.repeat(np.arange(41), size), size).to_pylist()
+    table = spark.createDataFrame([(i, int(n), c) for i, (n, c) in enumerate(zip(size, counts, strict=True))], "node long, n long, counts binary")
+    members = spark.createDataFrame([(1, i, i) for i in range(41)], "key long, node long, part long")
+    found = {(r.a, r.b) for r in op3_jaccard.search_buckets(members, table, (80, 100)).collect()}
+    assert (0, 40) in found and len(found) <= 41
