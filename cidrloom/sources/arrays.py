@@ -8,6 +8,8 @@ and the pieces of an element are joined again.  A bad element fails the job with
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -18,23 +20,48 @@ SPLIT = ["file_path", "file_block_start"]
 FILE_BITS = 40  # elements of a file; the rest of a log id is the file's number
 
 
-def _depth_change(text: Column) -> Column:
-    return F.length(F.regexp_replace(text, r"[^\[{]", F.lit(""))) - F.length(F.regexp_replace(text, r"[^\]}]", F.lit("")))
+CHANGE = "struct<quotes:int,out:int,in:int>"
+CHANGE_BYTES = 2_000_000  # pieces are worked on in runs of about this size; numpy takes some twenty times as much
+
+
+def changes_column(pieces: pa.Array) -> pa.Array:
+    """Quotes of each piece, and its change of depth when it starts outside or inside a string."""
+    # No escape crosses a comma: outside strings there is none, and inside a backslash does not stand before a comma.
+    _, offsets, data = pieces.buffers()
+    at = np.frombuffer(offsets, np.int32, len(pieces) + 1, pieces.offset * 4).astype(np.int64)
+    raw = np.frombuffer(data, np.uint8, int(at[-1] - at[0]), int(at[0])) if at[-1] > at[0] else np.zeros(0, np.uint8)
+    at = at - at[0]
+    if len(raw) > CHANGE_BYTES and len(pieces) > 1:
+        middle = min(max(1, int(np.searchsorted(at, len(raw) // 2))), len(pieces) - 1)
+        return pa.concat_arrays([changes_column(pieces[:middle]), changes_column(pieces[middle:])])
+    piece = np.repeat(np.arange(len(pieces)), np.diff(at))
+    # Of a run of backslashes every other one escapes the character behind it.
+    back = np.flatnonzero(raw == ord("\\"))
+    new = np.ones(len(back), bool)
+    new[1:] = (np.diff(back) > 1) | (piece[back[1:]] != piece[back[:-1]])
+    place = np.arange(len(back))
+    nth = place - np.maximum.accumulate(np.where(new, place, 0))
+    escaping = back[nth % 2 == 0]
+    escaping = escaping[escaping + 1 < len(raw)]
+    escaped = np.zeros(len(raw), bool)
+    escaped[escaping[piece[escaping] == piece[escaping + 1]] + 1] = True
+    quote = (raw == ord('"')) & ~escaped
+    step = ((raw == ord("[")) | (raw == ord("{"))).astype(np.int8) - ((raw == ord("]")) | (raw == ord("}")))
+    step[escaped] = 0
+    total = np.concatenate([[0], np.cumsum(quote)])
+    bracket = np.flatnonzero(step)
+    inside = (total[bracket] - total[at[piece[bracket]]]) % 2
+    quotes = (total[at[1:]] - total[at[:-1]]).astype(np.int32)
+    depth = [np.bincount(piece[bracket], step[bracket] * (inside == side), len(pieces)).astype(np.int32) for side in (0, 1)]
+    return pa.StructArray.from_arrays([pa.array(quotes), pa.array(depth[0]), pa.array(depth[1])], ["quotes", "out", "in"])
 
 
 def _pieces(spark: SparkSession, path: str) -> DataFrame:
     """`value` between commas with its place, its quotes, and its change of depth from either state at its start."""
     pieces = spark.read.option("lineSep", ",").text(path).select("value", *[f"_metadata.{c}" for c in SPLIT])
     pieces = pieces.withColumn("id", F.monotonically_increasing_id())
-    # No escape crosses a comma: outside strings there is none, and inside a backslash does not stand before a comma.
-    parts = F.split(F.regexp_replace("value", r"(?s)\\.", F.lit("")), '"', -1)
-
-    def every_other(first: int) -> Column:
-        return F.array_join(F.filter("_parts", lambda _, i: i % 2 == first), "")
-
-    rows = pieces.withColumn("_parts", parts).withColumn("quotes", F.size("_parts") - 1)
-    rows = rows.withColumn("out", _depth_change(every_other(0))).withColumn("in", _depth_change(every_other(1))).drop("_parts")
-    return rows.withColumn("bytes", F.octet_length("value") + 1)
+    rows = pieces.withColumn("_change", F.arrow_udf(changes_column, CHANGE)("value"))
+    return rows.select(*pieces.columns, "_change.*", (F.octet_length("value") + 1).alias("bytes"))
 
 
 def _before(column: str, keys: list[str], order: str) -> Column:
@@ -42,9 +69,9 @@ def _before(column: str, keys: list[str], order: str) -> Column:
 
 
 def array_elements(spark: SparkSession, path: str) -> DataFrame:
-    """`file_path, element, offset, text, last` of every element of the JSON arrays under `path`, brackets taken off.
+    """`file_path, number, element, offset, text, last, framed` of every element of the JSON arrays under `path`, brackets taken off.
 
-    `element` counts from 0 in each file and `offset` is the byte of the file where its first piece starts.
+    `number` counts the files by their path, `element` counts from 0 in each file, and `offset` is the byte of the file where its first piece starts.
     """
     local = _pieces(spark, path).withColumn("q", _before("quotes", SPLIT, "id"))
     # Change of depth when the split starts outside (0) or inside (1) a string.
@@ -65,17 +92,18 @@ def array_elements(spark: SparkSession, path: str) -> DataFrame:
     counts = known.groupBy(*SPLIT).agg(F.sum("ends").alias("ends"), F.max("nth").alias("nth"))
     counts = counts.withColumn("first", _before("ends", SPLIT[:1], SPLIT[1]))
     counts = counts.select(*SPLIT, "first", F.max(F.col("first") + F.col("nth")).over(Window.partitionBy(SPLIT[0])).alias("final"))
+    counts = counts.withColumn("number", F.dense_rank().over(Window.orderBy(SPLIT[0])) - 1)  # one row per split
     pieces = known.join(counts, SPLIT).withColumn("element", F.col("first") + F.col("nth"))
     # One element is one record, so what is gathered is bounded by the largest record.
     piece = F.struct(SPLIT[1], "id", "value")
-    whole = pieces.groupBy("file_path", "element").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min("offset").alias("offset"), F.first("final").alias("final"))
+    whole = pieces.groupBy("file_path", "element").agg(F.array_sort(F.collect_list(piece)).alias("p"), F.min("offset").alias("offset"), F.first("final").alias("final"), F.first("number").alias("number"))
     text = F.array_join(F.transform("p", lambda p: p["value"]), ",")
     last = F.col("element") == F.col("final")
     opened = F.when(F.col("element") == 0, F.regexp_replace(text, r"\A\s*+\[", F.lit(""))).otherwise(text)
     bare = F.when(last, F.regexp_replace(opened, r"\]\s*+\z", F.lit(""))).otherwise(opened)
     is_array = (F.col("element") > 0) | text.rlike(r"\A\s*+\[")
     is_closed = ~last | text.rlike(r"\]\s*+\z")
-    return whole.select("file_path", "element", "offset", bare.alias("text"), last.alias("last"), (is_array & is_closed).alias("framed"))
+    return whole.select("file_path", "number", "element", "offset", bare.alias("text"), last.alias("last"), (is_array & is_closed).alias("framed"))
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
@@ -86,6 +114,4 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
     record = F.coalesce(canonical(F.col("text")), F.raise_error(F.concat(F.lit("bad JSON array element"), where)).cast("string"))
     frame = F.raise_error(F.concat(F.lit("log file is no JSON array"), where)).cast("string")
     good = rows.filter(~empty).withColumn("record", F.when(F.col("framed"), record).otherwise(frame))
-    files = rows.select("file_path").distinct().withColumn("number", F.row_number().over(Window.orderBy("file_path")) - 1)
-    numbered = good.join(files, "file_path")
-    return numbered.select((F.col("number") * (1 << FILE_BITS) + F.col("element")).cast("bigint").alias("log_id"), "record")
+    return good.select((F.col("number") * (1 << FILE_BITS) + F.col("element")).cast("bigint").alias("log_id"), "record")

@@ -1,12 +1,13 @@
 """Readers, response parsers and sinks.  Files are staged from the tables in the shared folder first."""
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from cidrloom.functions.fields import ProjectedField
 from cidrloom.functions.ip import cidr_text, parse_cidr
 from cidrloom.functions.jsontext import canonical
 from cidrloom.plans.enrich import project_logs
-from cidrloom.session import staging_path
+from cidrloom.session import cut_lineage, staging_path
 from cidrloom.sources import readers, registry, sheets, sinks
 from cidrloom.sources.sheets import ColumnMapping, SheetConfig
 from cidrloom.sources.traces import parse_trace_docs
@@ -276,10 +277,15 @@ def write_enriched(spark, d):
 # The same logs as array files without line breaks.
 @query("s4_read_log_arrays", oracle("SELECT event_id AS id, concat(head, tail) AS record FROM z_log_texts"))
 def read_log_arrays(spark, d):
-    lines = shape(spark, d, "z_logs").select("event_id", "line")
-    whole = lines.groupBy(F.col("event_id") % 7).agg(F.concat(F.lit("[ "), F.array_join(F.collect_list("line"), " ,"), F.lit("]")).alias("value"))
+    lines = shape(spark, d, "z_logs").select((F.col("event_id") % 7).alias("file"), F.lit(1).alias("place"), F.col("line").alias("value"))
+    # Each array is written element by element, between two rows that hold its brackets.
+    files = lines.select("file").distinct()
+    brackets = files.select("file", F.explode(F.array(*[F.struct(F.lit(p).alias("place"), F.lit(v).alias("value")) for p, v in ((0, "["), (2, "]"))])).alias("b")).select("file", "b.*")
+    rows = lines.filter(F.col("value").isNotNull()).unionByName(brackets)
+    rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("file").orderBy("place"))).sortWithinPartitions("file", "n")
+    value = F.when((F.col("place") == 1) & (F.col("n") > 2), F.concat(F.lit(","), "value")).otherwise(F.col("value"))
     path = staging_path(spark, "log-arrays")
-    whole.select("value").write.option("maxRecordsPerFile", 1).option("lineSep", " ").text(path)
+    rows.select("file", value.alias("value")).write.partitionBy("file").option("lineSep", " ").text(path)
     record = readers.read_logs(spark, path).select("record")
     return record.select(F.get_json_object("record", "$.id").cast("bigint").alias("id"), "record")
 
@@ -300,7 +306,7 @@ def append_trace_stream(spark, d):
         FROM (SELECT DISTINCT destination, dest FROM docs WHERE kind = 'trace' AND trace_id % 103 <> 7) d
         JOIN (SELECT DISTINCT network, net, plen, size FROM z_nets WHERE plen >= 27) m ON m.net <= d.dest AND d.dest < m.net + m.size) t WHERE rn = 1""", docs=DOC_KINDS))
 def resume_trace_stream(spark, d):
-    lines = trace_docs(spark, d).select(F.col("doc").alias("value"))
+    lines = cut_lineage(trace_docs(spark, d).select(F.col("doc").alias("value")))
     nets = run(spark, d, "SELECT DISTINCT network, CAST(net AS BIGINT) AS first, CAST(size AS BIGINT) AS size FROM z_nets WHERE plen >= 27")
     planned = nets.select("network", F.explode(F.sequence("first", F.col("first") + F.col("size") - 1)).alias("ip"))
     targets = planned.select(parse_cidr(F.col("network")).alias("net"), "ip")
