@@ -6,6 +6,8 @@ from collections import Counter
 
 from pyspark.sql import functions as F
 
+from cidrloom.functions.ip import parse_cidr
+from cidrloom.operators.traces import current_traces
 from cidrloom.sources.traces import aggregate_probes, parse_trace_docs
 
 
@@ -49,3 +51,15 @@ def test_a_document_is_parsed_once(spark):
     assert [(r.i, r.h.hop, r.h.ip) for r in hops.collect()] == [(0, 2, "10.1.0.1")]
     plan = hops._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("parseJson(") == plan.count("from_json(") == 1
+
+
+def test_a_range_is_parsed_once_however_many_traces_it_has(spark):
+    ranges = ["10.0.0.0/8", "10.0.0.0/08", "10.0.0.1/8", "2001:DB8::/32", "2001:db8:0::/32", "x", None, "192.0.2.0/24"]
+    traces = spark.createDataFrame([(i, ranges[i % len(ranges)]) for i in range(80)], "trace_id int, range string")
+    nets = spark.createDataFrame([("10.0.0.0/8",), ("10.0.0.0/8",), ("2001:db8::/32",)], "t string").select(parse_cidr(F.col("t")).alias("net"))
+    kept = current_traces(traces, nets, "net")
+    assert kept.columns == ["trace_id", "range"]
+    want = {r.range for r in traces.select("range", parse_cidr(F.col("range")).alias("net")).join(nets, "net", "left_semi").select("range").collect()}
+    assert {"10.0.0.0/8", "2001:DB8::/32"} <= want
+    assert sorted((r.trace_id, r.range) for r in kept.collect()) == [(i, ranges[i % len(ranges)]) for i in range(80) if ranges[i % len(ranges)] in want]
+    assert "RLIKE" not in kept._jdf.queryExecution().optimizedPlan().toString().upper()
